@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_filters
+from . import exact_dedup, ngram_join, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.op2_url_filters,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 
