@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_join, url_filters
+from . import exact_dedup, ngram_join, token_counts, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_token_counts": token_counts.op7_token_counts,
 }
 
 ORACLE_SQL = {
