@@ -22,9 +22,9 @@ def _settled(rows: DataFrame) -> DataFrame:
 
 
 def _named(rows: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
-    """rows (row, blocks, pos, keys) with the integer name of each recurrent key: keys in sorted order, numbered upwards."""
-    recurrent = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    names = cut(recurrent.orderBy(*keys).withColumn("name", F.monotonically_increasing_id()))
+    """rows (row, blocks, pos, keys) with the integer name of each recurrent key: keys sorted by hash, then content, numbered upwards. (Ranges are cut by the hash alone, so that no contents are sampled to the driver.)"""
+    recurrent = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("kh", F.xxhash64(*keys))
+    names = cut(recurrent.repartitionByRange("kh").sortWithinPartitions("kh", *keys).drop("kh").withColumn("name", F.monotonically_increasing_id()))
     return cut(_settled(join_groups(rows, names, keys, n_rows).select("row", "blocks", "pos", "name")))
 
 
@@ -46,7 +46,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     maybe = _settled(join_groups(slim, again, keys, n_rows).drop("size")).select("row").distinct()
 
     # round 0 names contents, the others names of adjacent pairs; an odd last name is paired with -1
-    level = _named(blocks.join(maybe, "row", "left_semi").dropDuplicates(["row", "pos"]), ["block"], n_rows)
+    level = _named(cut(blocks.join(maybe, "row", "left_semi").dropDuplicates(["row", "pos"])), ["block"], n_rows)
     while width > 1:
         half = F.floor(F.col("pos") / 2).cast("int").alias("pos")
         side = lambda k: F.coalesce(F.max(F.when(F.col("pos") % 2 == k, F.col("name"))), F.lit(-1))
