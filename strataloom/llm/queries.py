@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_join, token_counts, url_filters
+from . import exact_dedup, ngram_join, suffix_dedup, token_counts, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
 }
 
 ORACLE_SQL = {
