@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_join, suffix_dedup, token_counts, url_filters
+from . import decontaminate, exact_dedup, html_text, ngram_join, suffix_dedup, token_counts, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.op2_url_filters,
@@ -10,6 +10,8 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_html_extraction": html_text.op9_html_extraction,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 ORACLE_SQL = {
