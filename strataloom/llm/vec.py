@@ -101,7 +101,7 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, k: int, n_docs: int) -> tuple[
     acc, size = np.zeros(len(hashes), U), np.minimum(left, k).astype(U)
     for j in range(k):
         nxt = np.zeros(len(hashes), U)
-        nxt[: len(hashes) - j] = hashes[j:]
+        nxt[: max(len(hashes) - j, 0)] = hashes[j:]
         acc = mix(acc * U(0xD6E8FEB86659FD93) + np.where(left > j, nxt, U(0)))
     d, h = doc[ok], mix(acc + size)[ok]
     order = np.lexsort((h, d))
