@@ -123,7 +123,7 @@ def jaccard_components(docs: DataFrame, k_words: int = WORDS, num: int = NUM, de
     clusters = components(candidate_edges(entries)).withColumnRenamed("root", "cluster")
     reps = cut(rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n")).alias("x")).select("node", "x.doc_id", "x.n"))
     members = cut(with_tasks(reps.join(clusters, "node"), num, den))
-    picked = docs.withColumnRenamed("doc_id", "id").join(members.select(F.col("doc_id").alias("id"), "node", "tasks"), "id").select("node", "tasks", "text")
+    picked = docs.withColumnRenamed("doc_id", "id").join(members.select(F.col("doc_id").alias("id"), "node", "tasks").hint("merge"), "id").select("node", "tasks", "text")
     edges = linked_pairs(picked.mapInArrow(_grams(k_words), "node long, tasks array<long>, grams binary"), num, den)
     linked = components(edges)
     of = linked.join(reps, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
