@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, ngram_join, suffix_dedup, token_counts, url_filters
+from . import decontaminate, exact_dedup, html_text, ngram_join, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_html_extraction": html_text.op9_html_extraction,
