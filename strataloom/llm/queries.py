@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, ngram_join, suffix_dedup, token_counts, toxicity, url_filters
+from . import decontaminate, exact_dedup, html_text, line_dedup, mixing, ngram_join, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_mixing": mixing.op4_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_token_counts": token_counts.op7_token_counts,
