@@ -14,8 +14,8 @@ from . import vec
 WINDOW, STEP = 32, 16
 WORD_ROWS = CHAR_ROWS = 8192
 DIM, HIDDEN, ATTENTION = 8, 8, 8
-TRAIN_TOXIC, TRAIN_CLEAN = 1200, 1800  # labelled rows that training sees, at most
-TRAIN_CHARS = 30_000  # of a longer text, training sees this many characters; scoring sees all
+TRAIN_TOXIC, TRAIN_CLEAN = 800, 1200  # labelled rows that training sees, at most
+TRAIN_CHARS = 16_000  # of a longer text, training sees this many characters; scoring sees all
 BATCH, WARM_STEPS, HARD_STEPS = 384, 60, 60
 _SIGN = np.zeros(256, bool)
 _SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -78,22 +78,26 @@ def _sigmoid(x):
     return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
 
 
-def score_windows(p: dict, x: np.ndarray, kind: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Logit of each window. Arrays are feature by window; windows are in order of falling size, so that the ones still running stand first."""
+def projected(p: dict, x: np.ndarray) -> dict:
+    """What each type adds to the gates of both directions, gate by type."""
+    return {d: np.ascontiguousarray((x @ p[f"x{d}"] + p[f"c{d}"]).T) for d in "fb"}
+
+
+def score_windows(p: dict, px: dict, kind: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Logit of each window, px being the projected types. Arrays are feature by window; windows are in order of falling size, so that the ones still running stand first."""
     by = np.argsort(-size, kind="stable")
     first, size = first[by], size[by]
     n, t_max = len(first), int(size[0]) if len(size) else 0
     running = [int(np.searchsorted(-size, -t, side="left")) for t in range(t_max)]  # windows with size > t
     states = {}
     for d in "fb":
-        px = np.ascontiguousarray((x @ p[f"x{d}"] + p[f"c{d}"]).T)
         u = p[f"u{d}"].T.copy()
         h = np.zeros((HIDDEN, n), np.float32)
         states[d] = np.zeros((t_max, HIDDEN, n), np.float32)
         for t in range(t_max):
             k = running[t]
             at = first[:k] + t if d == "f" else first[:k] + size[:k] - 1 - t
-            a = px.take(kind[at], axis=1)
+            a = px[d].take(kind[at], axis=1)
             g = u @ h[:, :k]
             rz = _sigmoid(a[: 2 * HIDDEN] + g[: 2 * HIDDEN])
             new = np.tanh(a[2 * HIDDEN :] + rz[:HIDDEN] * g[2 * HIDDEN :])
@@ -118,12 +122,14 @@ def score_windows(p: dict, x: np.ndarray, kind: np.ndarray, first: np.ndarray, s
 
 
 def gradients(p: dict, types, rows: np.ndarray, label: np.ndarray):
-    """Loss and gradients over windows `rows` (window by place: types, -1 after the end)."""
+    """Loss and gradients over windows `rows` (window by place: types, -1 after the end). The character rows of types are in order of their owner."""
     word_row, char_row, owner = types
     used, rows_u = np.unique(rows, return_inverse=True)
     used, rows_u = (used[1:], rows_u.reshape(rows.shape) - 1) if used[0] < 0 else (used, rows_u.reshape(rows.shape))
-    pick = np.isin(owner, used)
-    char_u, own_u = char_row[pick], np.searchsorted(used, owner[pick])
+    begin = np.searchsorted(owner, used)
+    n = np.searchsorted(owner, used, side="right") - begin
+    own_u = np.repeat(np.arange(len(used)), n)
+    char_u = char_row[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(len(own_u))]
     x = inputs(p, word_row[used], char_u, own_u)
     b, t_max = rows_u.shape
     mask = (rows_u >= 0).astype(np.float32)
@@ -184,19 +190,41 @@ def gradients(p: dict, types, rows: np.ndarray, label: np.ndarray):
     return float(loss), grads
 
 
+def _training_types(texts: list[str]):
+    """word_types of texts taken in slices, so that hashing needs little memory; a word that several slices have is a type in each."""
+    docs, kinds, tables, n_types, at = [], [], [], 0, 0
+    while at < len(texts):
+        raw, total = [], 0
+        while at + len(raw) < len(texts) and total < 1 << 19:
+            raw.append(texts[at + len(raw)].encode())
+            total += len(raw[-1])
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        if total:
+            doc, kind, word_row, char_row, own = word_types(np.frombuffer(b"".join(raw), np.uint8), offsets)
+            by = np.argsort(own, kind="stable")
+            docs.append(doc + at)
+            kinds.append((kind + n_types).astype(np.int32))
+            tables.append((word_row.astype(np.int32), char_row[by].astype(np.int32), (own[by] + n_types).astype(np.int32)))
+            n_types += len(word_row)
+        at += len(raw)
+    return np.concatenate(docs), np.concatenate(kinds), tuple(np.concatenate(x) for x in zip(*tables, strict=True))
+
+
+def _all_logits(p, types, kind, first, size) -> np.ndarray:
+    px = projected(p, inputs(p, *types))
+    return np.concatenate([score_windows(p, px, kind, first[i : i + 4096], size[i : i + 4096]) for i in range(0, len(first), 4096)])
+
+
 def train(texts: list[str], labels: list[int], seed: int = 5) -> dict:
     """The network, from labelled texts. Without both labels among them it is untrained and scores near 0."""
     p = fresh(seed)
     label = np.array(labels, np.float32)
-    raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-    if not len(data) or not 0 < label.sum() < len(label):
+    if not any(texts) or not 0 < label.sum() < len(label):
         p["out"][:], p["bias"][:] = 0, -6
         return p
-    doc, kind, *types = word_types(data, offsets)
+    doc, kind, types = _training_types(texts)
     owner, first, size = window_table(doc, len(texts))
-    rows = np.where(np.arange(WINDOW) < size[:, None], kind[np.minimum(first[:, None] + np.arange(WINDOW), len(kind) - 1)], -1)
+    rows = np.where(np.arange(WINDOW) < size[:, None], kind[np.minimum(first[:, None] + np.arange(WINDOW), max(len(kind) - 1, 0))] if len(kind) else -1, -1).astype(np.int32)
     rng = np.random.default_rng(seed)
     bad, good = np.flatnonzero(label[owner] == 1), np.flatnonzero(label[owner] == 0)
     if not len(bad) or not len(good):
@@ -206,7 +234,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> dict:
     done = 0
     for phase, steps in (("warm", WARM_STEPS), ("hard", HARD_STEPS // 3), ("hard", HARD_STEPS // 3), ("hard", HARD_STEPS // 3)):
         if phase == "hard":
-            s = score_windows(p, inputs(p, *types), kind, first, size)
+            s = _all_logits(p, types, kind, first, size)
             worst = np.zeros(len(texts), np.int64)
             order = np.argsort(s, kind="stable")
             worst[owner[order]] = order  # the last one written is the worst window
@@ -227,7 +255,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> dict:
                 square[k] = 0.99 * square[k] + 0.01 * g[k] * g[k]
                 p[k] = (p[k] - np.float32(0.02) * (moment[k] / (1 - 0.9**done)) / (np.sqrt(square[k] / (1 - 0.99**done)) + 1e-6)).astype(np.float32)
     # the text's score is its worst window's: set the bias where that parts the training texts best
-    s = score_windows(p, inputs(p, *types), kind, first, size)
+    s = _all_logits(p, types, kind, first, size)
     best = np.full(len(texts), -20.0)
     np.maximum.at(best, owner, s)
     cuts = np.sort(best)
@@ -248,11 +276,11 @@ def score_texts(p: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     doc, kind, *types = word_types(data, offsets)
     if not len(doc):
         return out
-    x = inputs(p, *types)
+    px = projected(p, inputs(p, *types))
     owner, first, size = window_table(doc, n)
     for i in range(0, len(owner), 8192):
         part = slice(i, i + 8192)
-        np.maximum.at(out, owner[part], 1 / (1 + np.exp(-score_windows(p, x, kind, first[part], size[part]).astype(np.float64))))
+        np.maximum.at(out, owner[part], 1 / (1 + np.exp(-score_windows(p, px, kind, first[part], size[part]).astype(np.float64))))
     return out
 
 
