@@ -1,0 +1,295 @@
+"""Queries of signals, portfolios, backtests, metrics, validation, search and monitoring, and their SQL."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from .catalogue import _T, BARS_SQL, DP, PANEL_SQL, query, rounded, sql_rank, sql_round, std
+from .operators import backtest, combine, ledger, metrics, portfolio, search, signal, validation
+from .plans.compiler import signals
+from .sources import bars as source
+from .streaming import monitor
+
+ALPHA = "rank(ts_delta(log(close), 5))"
+KEEP = ("ts", "ticker", "sector", "close", "volume", "returns", "simple_returns")
+
+
+def sig(s, d):
+    return signals(std(s, d), ALPHA, keep=KEEP)
+
+
+def weighted(s, d):
+    return portfolio.signal_weighted(sig(s, d))
+
+
+def leg(s, d):
+    return backtest.legs(weighted(s, d))
+
+
+def day(s, d):
+    return backtest.daily(leg(s, d))
+
+
+def series(s, d):
+    """Returns of the portfolio at a hundredth of its size: the bars' prices jump, and a whole position would lose more than all."""
+    return day(s, d).select("ts", (F.col("gross") * 0.01).alias("r"))
+
+
+_O = "OVER (PARTITION BY ticker ORDER BY ts)"
+_C = "OVER (PARTITION BY ts)"
+SIG_SQL = f"{PANEL_SQL}, x AS (SELECT *, ln(close) - lag(ln(close), 5) {_O} AS d FROM panel), sig AS (SELECT ts, ticker, sector, close, volume, returns, simple_returns, {sql_rank('d')} AS signal FROM x)"
+
+
+def l1_sql(value: str) -> str:
+    return f"CASE WHEN sum(abs({value})) {_C} > 0 THEN {value} / sum(abs({value})) {_C} ELSE 0 END"
+
+
+W_SQL = f"{SIG_SQL}, z AS (SELECT *, least(greatest(coalesce((signal - avg(signal) {_C}) / nullif(stddev_samp(signal) {_C}, 0), 0), -3), 3) AS z FROM sig), wts AS (SELECT *, {l1_sql('z')} AS weight FROM z)"
+LEG_SQL = f"{W_SQL}, pr AS (SELECT *, coalesce(close, 0) AS price FROM wts), l0 AS (SELECT *, CASE WHEN lag(price) {_O} <> 0 THEN price / lag(price) {_O} - 1 END AS change, coalesce(lag(weight) {_O}, 0) AS w0 FROM pr), legs AS (SELECT *, weight - w0 AS dw, coalesce(CASE WHEN count(change) OVER {_T.format(19)} >= 2 THEN stddev_samp(change) OVER {_T.format(19)} END, 0.02) AS vol FROM l0)"
+DAY_SQL = f"{LEG_SQL}, day AS (SELECT ts, sum(w0 * coalesce(change, 0)) AS gross, sum(CASE WHEN w0 > 0 THEN w0 * coalesce(change, 0) ELSE 0 END) AS long, sum(CASE WHEN w0 < 0 THEN w0 * coalesce(change, 0) ELSE 0 END) AS short, sum(abs(dw)) / 2 AS turnover, sum(greatest(-w0, 0)) * 0.005 / 252 AS borrow FROM legs GROUP BY ts), series AS (SELECT ts, gross * 0.01 AS r FROM day)"
+TD_SQL = "CASE WHEN count(*) < 2 THEN 252.0 ELSE count(*) / greatest(date_diff('day', min(ts), max(ts)) / 365.25, 1 / 365.25) END"
+
+# --- signal pipeline -----------------------------------------------------------------------------
+
+
+def price_signal(s, d):
+    return std(s, d).withColumn("signal", F.col("close")).select(*KEEP, "signal")
+
+
+_CUT = f"CASE WHEN close IS NOT NULL THEN least(greatest(close, quantile_cont(close, 0.05) {_C}), quantile_cont(close, 0.95) {_C}) END"
+query("signal_truncate", f"{PANEL_SQL} SELECT ts, ticker, round({_CUT}, {DP}) AS signal FROM panel")(lambda s, d: rounded(signal.truncate(price_signal(s, d)).select("ts", "ticker", "signal")))
+_D3 = "(3 * signal + 2 * lag(signal, 1) {o} + lag(signal, 2) {o}) / 6.0".format(o=_O)
+query("signal_decay", f"{SIG_SQL} SELECT ts, ticker, round({_D3}, {DP}) AS signal FROM sig")(lambda s, d: rounded(signal.decay(sig(s, d), 3).select("ts", "ticker", "signal")))
+query("signal_neutralise", f"{SIG_SQL} SELECT ts, ticker, round(signal - avg(signal) OVER (PARTITION BY ts, sector), {DP}) AS signal FROM sig")(lambda s, d: rounded(signal.neutralise(sig(s, d), "sector").select("ts", "ticker", "signal")))
+query("signal_delay", f"{SIG_SQL} SELECT ts, ticker, round(lag(signal, 2) {_O}, {DP}) AS signal FROM sig")(lambda s, d: rounded(signal.delay(sig(s, d), 2).select("ts", "ticker", "signal")))
+query("signal_burn_in_trim", f"{SIG_SQL} SELECT ts, ticker, round(signal, {DP}) AS signal FROM sig WHERE ts >= (SELECT min(ts) FROM sig WHERE signal IS NOT NULL)")(lambda s, d: rounded(signal.trim_burn_in(sig(s, d)).select("ts", "ticker", "signal")))
+query("signal_pipeline_full", f"{PANEL_SQL}, a AS (SELECT ts, ticker, sector, {_CUT} AS signal FROM panel), b AS (SELECT ts, ticker, sector, {_D3} AS signal FROM a), c AS (SELECT ts, ticker, signal - avg(signal) OVER (PARTITION BY ts, sector) AS signal FROM b) SELECT ts, ticker, round(lag(signal, 1) {_O}, {DP}) AS signal FROM c")(
+    lambda s, d: rounded(signal.process(price_signal(s, d), signal.SignalConfig(delay=1, decay=3, group="sector")).select("ts", "ticker", "signal"))
+)
+
+# --- portfolio -----------------------------------------------------------------------------------
+
+_OUT = ("ts", "ticker", "weight")
+
+
+def weights_query(name: str, value: str, build, ctes: str = "", table: str = "wts", base: str = W_SQL) -> None:
+    query(name, f"{base}{ctes} SELECT ts, ticker, round({value}, {DP}) AS weight FROM {table}")(lambda s, d: rounded(build(s, d).select(*_OUT)))
+
+
+weights_query(
+    "portfolio_decile",
+    f"CASE WHEN count(signal) {_C} < 2 THEN 0 WHEN sh THEN -1.0 / count(*) FILTER (sh) {_C} WHEN lo THEN 1.0 / count(*) FILTER (lo) {_C} ELSE 0 END",
+    lambda s, d: portfolio.decile(sig(s, d), 0.2),
+    f", q AS (SELECT ts, ticker, signal, coalesce(signal >= quantile_cont(signal, 0.8) {_C}, false) AS lo, coalesce(signal <= quantile_cont(signal, 0.2) {_C}, false) AS sh FROM sig)",
+    "q",
+    SIG_SQL,
+)
+weights_query("portfolio_signal_weighted", "weight", weighted)
+_MN = f", n AS (SELECT *, weight - avg(weight) {_C} AS v FROM wts)"
+weights_query("portfolio_market_neutral", l1_sql("v"), lambda s, d: portfolio.market_neutral(weighted(s, d)), _MN, "n")
+weights_query("portfolio_industry_neutral", l1_sql("v"), lambda s, d: portfolio.industry_neutral(weighted(s, d)), ", n AS (SELECT *, weight - avg(weight) OVER (PARTITION BY ts, sector) AS v FROM wts)", "n")
+_BETA = f", m AS (SELECT *, avg(returns) {_C} AS mm FROM wts), bt AS (SELECT *, CASE WHEN count(returns) OVER pf >= 10 AND var_pop(CASE WHEN returns IS NOT NULL THEN mm END) OVER pf > 1e-12 THEN covar_samp(returns, CASE WHEN returns IS NOT NULL THEN mm END) OVER pf / var_pop(CASE WHEN returns IS NOT NULL THEN mm END) OVER pf ELSE 1 END AS beta FROM m WINDOW pf AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))"
+weights_query("portfolio_beta_neutral", l1_sql("v"), lambda s, d: portfolio.beta_neutral(portfolio.with_beta(weighted(s, d))), f"{_BETA}, n AS (SELECT *, weight - sum(weight * beta) {_C} / count(*) {_C} AS v FROM bt)", "n")
+weights_query("portfolio_weight_cap", l1_sql("v"), lambda s, d: portfolio.cap_weight(weighted(s, d), 0.05), ", n AS (SELECT *, sign(weight) * least(abs(weight), 0.05) AS v FROM wts)", "n")
+_ADV = f", av0 AS (SELECT *, CASE WHEN count(volume * close) OVER {_T.format(19)} >= 10 THEN avg(volume * close) OVER {_T.format(19)} END AS a FROM wts), av AS (SELECT *, coalesce(first_value(a IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS adv FROM av0)"
+query("portfolio_adv", f"{W_SQL}{_ADV} SELECT ts, ticker, round(adv, 4) AS adv FROM av")(lambda s, d: rounded(portfolio.with_adv(weighted(s, d)).select("ts", "ticker", "adv"), 4))
+weights_query("portfolio_adv_cap", l1_sql("v"), lambda s, d: portfolio.cap_adv(portfolio.with_adv(weighted(s, d))), f"{_ADV}, n AS (SELECT *, sign(weight) * least(abs(weight), 0.1 * adv / 1e6) AS v FROM av)", "n")
+
+
+def traded(s, d):
+    rows = backtest.legs(portfolio.with_adv(weighted(s, d)))
+    return rows.withColumn("trade", F.when(F.abs("dw") >= 1e-10, F.abs("dw") * 1e6).otherwise(0.0))
+
+
+_TRADED = f"{LEG_SQL.replace('wts), l0 AS', 'av), l0 AS').replace(', pr AS', _ADV + ', pr AS')}, tr AS (SELECT *, CASE WHEN abs(dw) >= 1e-10 THEN abs(dw) * 1e6 ELSE 0 END AS trade FROM legs)"
+_SQRT = "CASE WHEN trade > 0 THEN 1.0 + 0.1 * vol * 1e4 * sqrt(CASE WHEN adv > 0 THEN trade / adv ELSE 0 END) ELSE 0 END"
+for _model, _sql in (("sqrt", _SQRT), ("linear", "CASE WHEN trade > 0 THEN 1.0 + 0.1 * vol * 1e4 ELSE 0 END")):
+    query(f"slippage_{_model}", f"{_TRADED} SELECT ts, ticker, round({_sql}, {DP}) AS bps FROM tr")(lambda s, d, m=_model: rounded(traded(s, d).select("ts", "ticker", portfolio.slippage_bps(F.col("trade"), F.col("adv"), F.col("vol"), model=m).alias("bps"))))
+query("trade_cost", f"{_TRADED} SELECT ts, ticker, round(CASE WHEN trade > 0 THEN greatest(trade * (5.0 + {_SQRT}) / 1e4, 1.0) ELSE 0 END, 4) AS cost FROM tr")(lambda s, d: rounded(traded(s, d).select("ts", "ticker", portfolio.trade_cost(F.col("trade"), portfolio.slippage_bps(F.col("trade"), F.col("adv"), F.col("vol"))).alias("cost")), 4))
+query("trade_log", f"{_TRADED}, g AS (SELECT *, {_SQRT} AS bps FROM tr WHERE abs(dw) >= 1e-10 AND close > 0) SELECT ts, ticker, CASE WHEN dw > 0 THEN 'BUY' ELSE 'SELL' END AS direction, round(trade / close, 4) AS shares, round(close, 4) AS price, round(bps, 4) AS slippage_bps, round(greatest(trade * (5.0 + bps) / 1e4, 1.0), 4) AS cost_usd, round(close * (1 + sign(dw) * bps / 1e4), 4) AS net_price FROM g")(
+    lambda s, d: rounded(portfolio.trade_log(backtest.legs(portfolio.with_adv(weighted(s, d)))), 4)
+)
+query("portfolio_mvo")(lambda s, d: rounded(portfolio.mvo(sig(s, d).withColumn("alpha_id", F.lit("a0")))))
+
+# --- backtest and metrics ------------------------------------------------------------------------
+
+query("backtest_daily", f"{DAY_SQL} SELECT ts, {sql_round('gross', 'long', 'short', 'turnover', 'borrow')} FROM day")(lambda s, d: rounded(day(s, d)))
+query("equity_fold")(lambda s, d: rounded(backtest.equity_curve(backtest.legs(portfolio.with_adv(weighted(s, d))))))
+query(
+    "metrics_summary",
+    f"""{DAY_SQL}, t AS (SELECT {TD_SQL} AS td, quantile_cont(r, 0.05) AS q FROM series),
+a AS (SELECT any_value(td) AS td, count(*) AS n, avg(r) AS mean, stddev_samp(r) AS sd, stddev_samp(CASE WHEN r < 0 THEN r END) AS down, any_value(q) AS q, avg(CASE WHEN r <= q THEN r END) AS tail, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS hit FROM series, t),
+b AS (SELECT *, pow(1 + mean, td) - 1 AS ret, sd * sqrt(td) AS vol FROM a), c AS (SELECT *, ret / vol AS sharpe FROM b)
+SELECT n, {sql_round('td', 'ret AS ann_return', 'vol AS ann_vol', 'sharpe', 'sharpe * sqrt(n) / sqrt(1 + sharpe * sharpe / 2) AS sharpe_t', 'ret / (down * sqrt(td)) AS sortino', '-q AS var5', '-tail AS cvar5', 'hit')} FROM c""",
+)(lambda s, d: rounded(metrics.summary(series(s, d))))
+_DD = f"{DAY_SQL}, e AS (SELECT ts, exp(sum(ln(1 + r)) OVER (ORDER BY ts)) AS equity FROM series), dd AS (SELECT ts, equity, equity / max(equity) OVER (ORDER BY ts) - 1 AS drawdown FROM e)"
+query("drawdown", f"{_DD} SELECT ts, {sql_round('equity', 'drawdown')} FROM dd")(lambda s, d: rounded(metrics.drawdown(series(s, d)).select("ts", "equity", "drawdown")))
+query("max_drawdown", f"{_DD}, low AS (SELECT ts AS trough, drawdown AS mdd FROM dd ORDER BY drawdown, ts LIMIT 1), pk AS (SELECT ts AS peak FROM dd, low WHERE ts <= trough ORDER BY equity DESC, ts LIMIT 1) SELECT round(mdd, {DP}) AS mdd, trough, peak, date_diff('day', peak, trough)::INT AS days FROM low, pk")(lambda s, d: rounded(metrics.max_drawdown(series(s, d))))
+query("rolling_sharpe", f"{DAY_SQL} SELECT ts, round(r, {DP}) AS r, round(CASE WHEN count(r) OVER w >= 30 AND stddev_samp(r) OVER w > 0 THEN avg(r) OVER w / stddev_samp(r) OVER w * sqrt(252) END, {DP}) AS sharpe FROM series WINDOW w AS (ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)")(lambda s, d: rounded(metrics.rolling_sharpe(series(s, d))))
+
+
+def ic_sql(horizon: int) -> str:
+    return f", f{horizon} AS (SELECT ts, ticker, signal, CASE WHEN close <> 0 THEN lead(close, {horizon}) {_O} / close - 1 END AS fwd FROM sig), k{horizon} AS (SELECT ts, (rank() OVER (PARTITION BY ts ORDER BY signal) + count(*) OVER (PARTITION BY ts ORDER BY signal)) / 2.0 AS a, (rank() OVER (PARTITION BY ts ORDER BY fwd) + count(*) OVER (PARTITION BY ts ORDER BY fwd)) / 2.0 AS b FROM f{horizon} WHERE signal IS NOT NULL AND fwd IS NOT NULL), ic{horizon} AS (SELECT ts, count(*) AS n, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS ic FROM k{horizon} GROUP BY ts HAVING count(*) >= 5)"
+
+
+query("rank_ic", f"{SIG_SQL}{ic_sql(1)} SELECT ts, n, round(ic, {DP}) AS ic FROM ic1")(lambda s, d: rounded(metrics.rank_ic(sig(s, d))))
+query("ic_ir", f"{SIG_SQL}{ic_sql(1)} SELECT {sql_round('avg(ic) AS ic_mean', 'stddev_samp(ic) AS ic_std', 'avg(ic) / stddev_samp(ic) AS ic_ir')}, count(ic) AS n_days FROM ic1")(lambda s, d: rounded(metrics.ic_ir(metrics.rank_ic(sig(s, d)))))
+query("ic_decay", f"{SIG_SQL}{''.join(ic_sql(h) for h in (1, 5, 10, 20, 60))} " + " UNION ALL ".join(f"SELECT {h} AS horizon, round(avg(ic), {DP}) AS ic_mean, count(ic) AS n_days FROM ic{h}" for h in (1, 5, 10, 20, 60)))(lambda s, d: rounded(metrics.ic_decay(sig(s, d))))
+query(
+    "decile_returns",
+    f"{SIG_SQL}, f AS (SELECT ts, signal, CASE WHEN close <> 0 THEN lead(close) {_O} / close - 1 END AS fwd FROM sig), v AS (SELECT * FROM f WHERE signal IS NOT NULL AND fwd IS NOT NULL), b AS (SELECT ts, fwd, (1 + {' + '.join(f'(quantile_cont(signal, {i / 10}) {_C} <= signal)::INT' for i in range(1, 10))})::INT AS bucket, count(*) {_C} AS n FROM v) SELECT bucket, round(avg(r), {DP}) AS mean_return, count(*) AS n_days FROM (SELECT ts, bucket, avg(fwd) AS r FROM b WHERE n >= 10 GROUP BY ts, bucket) GROUP BY bucket",
+)(lambda s, d: rounded(metrics.decile_returns(sig(s, d))))
+query("turnover_analysis", f"{DAY_SQL} SELECT {sql_round('avg(turnover) AS mean_turnover', f'avg(turnover) * ({TD_SQL}) AS ann_turnover', f'avg(turnover) * ({TD_SQL}) * 5 AS cost_drag_bps')} FROM day")(lambda s, d: rounded(metrics.turnover_analysis(day(s, d))))
+query("leg_analysis", f"{DAY_SQL}, lg AS (SELECT ts, 'long' AS leg, long AS r FROM day UNION ALL SELECT ts, 'short', short FROM day), a AS (SELECT leg, {TD_SQL} AS td, avg(r) AS mean, stddev_samp(r) AS sd FROM lg GROUP BY leg) SELECT leg, round(pow(1 + mean, td) - 1, {DP}) AS ann_return, round((pow(1 + mean, td) - 1) / (sd * sqrt(td)), {DP}) AS sharpe FROM a")(lambda s, d: rounded(metrics.leg_analysis(day(s, d))))
+
+
+def with_bench(s, d):
+    bench = std(s, d).groupBy("ts").agg(F.avg("simple_returns").alias("bench"))
+    return series(s, d).join(bench, "ts")
+
+
+_BENCH = f"{DAY_SQL}, rb AS (SELECT series.ts, r, bench FROM series JOIN (SELECT ts, avg(simple_returns) AS bench FROM panel GROUP BY ts) USING (ts))"
+query("benchmark_alpha_beta", f"{_BENCH}, a AS (SELECT covar_samp(r, bench) / var_samp(bench) AS beta, avg(r) AS mr, avg(bench) AS mb, stddev_samp(r - bench) * sqrt(252) AS te FROM rb WHERE bench IS NOT NULL) SELECT round((mr - beta * mb) * 252, 4) AS alpha, round(beta, 4) AS beta, round(te, 4) AS tracking_error, round((mr - mb) * 252 / te, 4) AS info_ratio FROM a")(lambda s, d: metrics.benchmark_stats(with_bench(s, d)))
+query("portfolio_beta", f"{_BENCH} SELECT round(covar_samp(r, bench) / var_pop(bench), {DP}) AS beta FROM rb")(lambda s, d: rounded(metrics.portfolio_beta(with_bench(s, d))))
+query("worst_month_quarter_year", f"{DAY_SQL} " + " UNION ALL ".join(f"(SELECT '{u}' AS period, p_start AS start_ts, round(pr, {DP}) AS r FROM (SELECT date_trunc('{u}', ts)::TIMESTAMP AS p_start, product(1 + r) - 1 AS pr FROM series GROUP BY 1) ORDER BY pr, p_start LIMIT 1)" for u in ("month", "quarter", "year")))(lambda s, d: rounded(metrics.worst_periods(series(s, d))))
+query("losing_streak", f"{DAY_SQL}, a AS (SELECT ts, r < 0 AS loss, row_number() OVER (ORDER BY ts) AS rn FROM series), b AS (SELECT rn - row_number() OVER (ORDER BY ts) AS island FROM a WHERE loss) SELECT max(n) AS longest_losing_streak FROM (SELECT count(*) AS n FROM b GROUP BY island)")(lambda s, d: metrics.losing_streak(series(s, d)))
+CRISES = [("spring", "1996-03-01", "1996-05-31"), ("autumn", "1998-08-01", "1998-10-31"), ("turn", "1999-12-01", "2000-02-01"), ("none", "2010-01-01", "2010-03-01")]
+query("crisis_windows", f"{DAY_SQL} SELECT crisis, count(*) AS n, round(product(1 + r) - 1, {DP}) AS r FROM series JOIN (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, TIMESTAMP {chr(39)}{a}{chr(39)}, TIMESTAMP {chr(39)}{b}{chr(39)})' for n, a, b in CRISES)}) c(crisis, a, b) ON ts BETWEEN a AND b GROUP BY crisis HAVING count(*) >= 5")(lambda s, d: rounded(metrics.crisis_windows(series(s, d), CRISES)))
+query("deflated_sharpe")(lambda s, d: rounded(metrics.deflated_sharpes(series(s, d).withColumn("alpha_id", F.lit("a0")))))
+query(
+    "quick_ic_eval",
+    f"{SIG_SQL}{ic_sql(1)}, p AS (SELECT ts, ticker, CASE WHEN signal IS NOT NULL THEN percent_rank() OVER (PARTITION BY ts ORDER BY signal NULLS LAST) END AS p FROM sig), t AS (SELECT avg(d) * 252 AS turnover FROM (SELECT abs(p - lag(p) {_O}) AS d FROM p)), i AS (SELECT avg(ic) AS ic, avg(ic) / (stddev_pop(ic) + 1e-9) AS ic_ir FROM ic1) SELECT {sql_round('ic', 'ic_ir', 'turnover', 'ic_ir + 0.5 * ic - 0.1 * turnover AS fitness')} FROM i, t",
+)(lambda s, d: rounded(metrics.quick_ic(sig(s, d))))
+query("alpha_evaluator", f"{SIG_SQL}{ic_sql(1)}, ax AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM sig)), sg AS (SELECT ic, CASE WHEN i < floor(ax.n * 0.7) THEN 'IS' ELSE 'OOS' END AS segment FROM ic1 JOIN ax USING (ts)), m AS (SELECT segment, avg(ic) / stddev_samp(ic) * sqrt(252) AS s FROM sg GROUP BY segment), w AS (SELECT max(s) FILTER (segment = 'IS') AS is_ir, max(s) FILTER (segment = 'OOS') AS oos_ir FROM m) SELECT {sql_round('is_ir', 'oos_ir', 'least(1, greatest(0, (is_ir - oos_ir) / abs(is_ir))) AS overfit')}, least(1, greatest(0, (is_ir - oos_ir) / abs(is_ir))) > 0.5 AS flagged FROM w")(
+    lambda s, d: rounded(_evaluator(s, d))
+)
+
+
+def _evaluator(s, d):
+    rows = validation.with_ratio_split(metrics.rank_ic(sig(s, d)).join(sig(s, d).select("ts").distinct(), "ts", "right"))
+    per = rows.groupBy("segment").agg((F.try_divide(F.avg("ic"), F.stddev_samp("ic")) * 252**0.5).alias("s"))
+    wide = per.agg(F.max(F.when(F.col("segment") == "IS", F.col("s"))).alias("is_ir"), F.max(F.when(F.col("segment") == "OOS", F.col("s"))).alias("oos_ir"))
+    over = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.col("is_ir") - F.col("oos_ir"), F.abs("is_ir"))))
+    return wide.withColumn("overfit", over).withColumn("flagged", F.col("overfit") > 0.5)
+
+
+# --- validation and combination ------------------------------------------------------------------
+
+_AXIS = "ax AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM panel))"
+query("is_oos_split", f"{PANEL_SQL}, {_AXIS} SELECT ts, ticker, CASE WHEN i < round(n * 0.7) THEN 'IS' WHEN i < round(n * 0.7) + 20 THEN 'EMBARGO' ELSE 'OOS' END AS segment FROM panel JOIN ax USING (ts)")(lambda s, d: validation.with_segment(std(s, d)).select("ts", "ticker", "segment"))
+query("ratio_split", f"{PANEL_SQL}, {_AXIS} SELECT segment, count(*) AS n, min(ts) AS first_ts FROM (SELECT ts, CASE WHEN i < floor(n * 0.7) THEN 'IS' ELSE 'OOS' END AS segment FROM panel JOIN ax USING (ts)) GROUP BY segment")(lambda s, d: validation.with_ratio_split(std(s, d)).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts")))
+_FOLDS = f"{_AXIS}, sz AS (SELECT (any_value(n) - 140) // 5 AS w FROM ax), fd AS (SELECT fold, segment, CASE WHEN segment = 'IS' THEN 0 ELSE 120 + fold * w + 20 END AS lo, CASE WHEN segment = 'IS' THEN 120 + fold * w - 1 ELSE 120 + (fold + 1) * w + 19 END AS hi FROM (SELECT unnest(range(5)) AS fold), (VALUES ('IS'), ('OOS')) v(segment), sz WHERE w >= 5)"
+query("walk_forward_folds", f"{PANEL_SQL}, {_FOLDS} SELECT fold::INT AS fold, segment, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM panel JOIN ax USING (ts) JOIN fd ON i BETWEEN lo AND hi GROUP BY fold, segment")(lambda s, d: validation.with_folds(std(s, d)).groupBy("fold", "segment").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n")))
+query(
+    "walk_forward_summary",
+    f"{DAY_SQL}, {_FOLDS}, pf AS (SELECT fold, segment, (pow(1 + avg(r), {TD_SQL}) - 1) / (stddev_samp(r) * sqrt({TD_SQL})) AS sharpe FROM series JOIN ax USING (ts) JOIN fd ON i BETWEEN lo AND hi GROUP BY fold, segment), w AS (SELECT fold, max(sharpe) FILTER (segment = 'IS') AS a, max(sharpe) FILTER (segment = 'OOS') AS b FROM pf GROUP BY fold) SELECT {sql_round('avg(b) AS mean_oos', 'stddev_pop(b) AS std_oos', 'min(b) AS min_oos', 'avg(CASE WHEN b > 0 THEN 1.0 ELSE 0.0 END) AS positive', 'avg(least(1, greatest(0, (a - b) / abs(a)))) AS overfit')} FROM w",
+)(lambda s, d: rounded(validation.fold_summary(metrics.summary(validation.with_folds(series(s, d)), ("fold", "segment")).select("fold", "segment", "sharpe"))))
+
+
+def _dataset_stats(s, d):
+    both = source.load_many(s, d, ["nation_week", "brand_week"]).groupBy("dataset", "ts").agg(F.avg(F.col("close") / F.col("open") - 1).alias("r"))
+    per = metrics.summary(both, ("dataset",))
+    return validation.across_datasets(per.select("dataset", "sharpe", F.col("n").alias("n_oos")))
+
+
+_DS = " UNION ALL ".join(f"SELECT '{n}' AS dataset, ts, r FROM ({BARS_SQL[n]} SELECT ts, avg(close / open - 1) AS r FROM bars GROUP BY ts)" for n in ("nation_week", "brand_week"))
+query("multi_dataset_weighted", f"WITH b AS ({_DS}), p AS (SELECT dataset, (pow(1 + avg(r), {TD_SQL}) - 1) / (stddev_samp(r) * sqrt({TD_SQL})) AS sharpe, count(*) AS n FROM b GROUP BY dataset) SELECT {sql_round('avg(sharpe) AS mean_sharpe', 'min(sharpe) AS min_sharpe', 'sum(sharpe * sqrt(n)) / sum(sqrt(n)) AS weighted_sharpe')} FROM p")(lambda s, d: rounded(_dataset_stats(s, d)))
+POOL = {"mom": ALPHA, "rev": "-zscore(returns)", "vol": "zscore(volume)"}
+
+
+def pool_signals(s, d):
+    wide = signals(std(s, d), POOL, keep=("ts", "ticker", "close"))
+    return wide.unpivot(["ts", "ticker", "close"], list(POOL), "alpha_id", "signal")
+
+
+_POOL = f"{SIG_SQL}, pl AS (SELECT 'mom' AS alpha_id, ts, ticker, close, signal FROM sig UNION ALL SELECT 'rev', ts, ticker, close, -((returns - avg(returns) {_C}) / nullif(stddev_samp(returns) {_C}, 0)) FROM sig UNION ALL SELECT 'vol', ts, ticker, close, (volume - avg(volume) {_C}) / nullif(stddev_samp(volume) {_C}, 0) FROM sig)"
+_CW = "OVER (PARTITION BY alpha_id, ts)"
+_WINS = f", wn AS (SELECT alpha_id, ts, ticker, CASE WHEN signal IS NOT NULL THEN least(greatest(signal, avg(signal) {_CW} - 3 * stddev_pop(signal) {_CW}), avg(signal) {_CW} + 3 * stddev_pop(signal) {_CW}) END AS signal FROM pl)"
+query("combine_equal", f"{_POOL}{_WINS} SELECT ts, ticker, round(coalesce(sum(signal / 3), 0), {DP}) AS signal FROM wn GROUP BY ts, ticker")(lambda s, d: rounded(combine.combine(pool_signals(s, d), combine.equal_weights(list(POOL)))))
+
+
+def _combine_ic(s, d):
+    rows = pool_signals(s, d)
+    ics = {r.alpha_id: r.ic_mean for r in metrics.ic_ir(metrics.rank_ic(rows, ("alpha_id",)), ("alpha_id",)).collect()}
+    return combine.combine(rows, combine.ic_weights(ics))
+
+
+_PIC = ", pf AS (SELECT alpha_id, ts, signal, CASE WHEN close <> 0 THEN lead(close) OVER (PARTITION BY alpha_id, ticker ORDER BY ts) / close - 1 END AS fwd FROM pl), pk AS (SELECT alpha_id, ts, (rank() OVER (PARTITION BY alpha_id, ts ORDER BY signal) + count(*) OVER (PARTITION BY alpha_id, ts ORDER BY signal)) / 2.0 AS a, (rank() OVER (PARTITION BY alpha_id, ts ORDER BY fwd) + count(*) OVER (PARTITION BY alpha_id, ts ORDER BY fwd)) / 2.0 AS b FROM pf WHERE signal IS NOT NULL AND fwd IS NOT NULL), pi AS (SELECT alpha_id, greatest(avg(ic), 0) AS w FROM (SELECT alpha_id, ts, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS ic FROM pk GROUP BY alpha_id, ts HAVING count(*) >= 5) GROUP BY alpha_id), pw AS (SELECT alpha_id, CASE WHEN (SELECT sum(w) FROM pi) > 0 THEN w / (SELECT sum(w) FROM pi) ELSE 1.0 / 3 END AS w FROM pi)"
+query("combine_ic", f"{_POOL}{_WINS}{_PIC} SELECT ts, ticker, round(coalesce(sum(signal * w), 0), {DP}) AS signal FROM wn JOIN pw USING (alpha_id) GROUP BY ts, ticker")(lambda s, d: rounded(_combine_ic(s, d)))
+query("pool_fingerprint", f"{_POOL} SELECT alpha_id, ts, round(avg(signal), {DP}) AS level FROM pl GROUP BY alpha_id, ts")(lambda s, d: rounded(combine.fingerprint(pool_signals(s, d))))
+
+
+def _prints(s, d):
+    return std(s, d).groupBy("ticker", "ts").agg(F.first("close").alias("level")).where("ticker IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4')").withColumnRenamed("ticker", "alpha_id")
+
+
+query("pool_pairwise_corr", f"{PANEL_SQL}, p AS (SELECT ticker, ts, close AS level FROM panel WHERE ticker IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4') AND close IS NOT NULL) SELECT a.ticker AS a_id, b.ticker AS b_id, count(*) AS n, round(corr(a.level, b.level), {DP}) AS corr FROM p a JOIN p b ON a.ts = b.ts AND a.ticker < b.ticker GROUP BY 1, 2 HAVING count(*) >= 10")(lambda s, d: rounded(combine.pairwise_corr(_prints(s, d))))
+
+
+def market(s, d):
+    return std(s, d).groupBy("ts").agg(F.coalesce(F.avg("simple_returns"), F.lit(0.0)).alias("r"))
+
+
+_REG = f"{PANEL_SQL}, mk AS (SELECT ts, coalesce(avg(simple_returns), 0) AS r FROM panel GROUP BY ts), rg AS (SELECT ts, CASE WHEN count(*) OVER (ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) >= 60 THEN exp(sum(ln(1 + r)) OVER (ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) - 1 END AS drift, CASE WHEN count(*) OVER (ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) >= 20 THEN stddev_samp(r) OVER (ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS vol FROM mk), rl AS (SELECT ts, drift, vol, CASE WHEN drift IS NULL THEN NULL WHEN vol > (SELECT quantile_cont(vol, 0.8) FROM rg) THEN 'high_vol' WHEN drift > 0.05 THEN 'bull' WHEN drift < -0.05 THEN 'bear' ELSE 'sideways' END AS regime FROM rg)"
+query("regime_labels", f"{_REG} SELECT ts, {sql_round('drift', 'vol')}, regime FROM rl")(lambda s, d: rounded(combine.regimes(market(s, d))))
+query("regime_predict", f"{_REG} SELECT a.ts + INTERVAL 3 DAY AS ts, regime FROM rl a")(lambda s, d: combine.regime_at(combine.regimes(market(s, d)), market(s, d).select((F.col("ts") + F.expr("INTERVAL 3 DAY")).alias("ts"))))
+
+# --- ledger and monitoring -----------------------------------------------------------------------
+
+
+def _ledger(s, d):
+    status = F.when(F.col("c_mktsegment") == "BUILDING", "live").when(F.col("c_mktsegment") == "MACHINERY", "retired").otherwise("paper")
+    return source.read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("alpha_id"), F.round(F.col("c_acctbal") / 1000, 6).alias("sharpe"), status.alias("status"))
+
+
+def _history(s, d):
+    return source.read(s, d, "events").groupBy(F.col("user_id").cast("string").alias("alpha_id"), F.to_date("ts").alias("date")).agg((F.avg("value") - 50).alias("realized_ic"))
+
+
+_LEDGER = "ledger AS (SELECT c_custkey::VARCHAR AS alpha_id, round(c_acctbal / 1000, 6) AS sharpe, CASE c_mktsegment WHEN 'BUILDING' THEN 'live' WHEN 'MACHINERY' THEN 'retired' ELSE 'paper' END AS status FROM customer)"
+_HIST = "hist AS (SELECT user_id::VARCHAR AS alpha_id, ts::DATE AS date, avg(value) - 50 AS realized_ic FROM events GROUP BY 1, 2)"
+query("ledger_topk", f"WITH {_LEDGER} SELECT * FROM ledger WHERE sharpe >= 1 AND status = 'live' ORDER BY sharpe DESC, alpha_id LIMIT 20")(lambda s, d: ledger.query_ledger(_ledger(s, d), 1.0, "live", 20))
+query("ic_upsert", f"WITH {_HIST} SELECT alpha_id, date, round(CASE WHEN date > DATE '2024-01-15' THEN realized_ic * 2 ELSE realized_ic END, {DP}) AS realized_ic, CASE WHEN date > DATE '2024-01-15' THEN 1 ELSE 0 END AS batch FROM hist")(
+    lambda s, d: rounded(ledger.upsert(_history(s, d).withColumn("batch", F.lit(0)), _history(s, d).where("date > DATE '2024-01-15'").withColumn("realized_ic", F.col("realized_ic") * 2).withColumn("batch", F.lit(1)), ["alpha_id", "date"], "batch"))
+)
+query("ic_history_last", f"WITH {_HIST} SELECT alpha_id, date, round(realized_ic, {DP}) AS realized_ic FROM hist QUALIFY row_number() OVER (PARTITION BY alpha_id ORDER BY date DESC) <= 5")(lambda s, d: rounded(ledger.ic_history(_history(s, d), 5)))
+query("decay_alert", f"WITH {_HIST}, r AS (SELECT *, row_number() OVER w AS rn, sum(CASE WHEN realized_ic < 0 THEN 0 ELSE 1 END) OVER w AS good FROM hist WINDOW w AS (PARTITION BY alpha_id ORDER BY date DESC)), a AS (SELECT alpha_id, count(*) AS n, count(*) FILTER (good = 0) AS negative_run, avg(realized_ic) FILTER (rn <= 20) AS recent_ic FROM r GROUP BY alpha_id) SELECT alpha_id, n, negative_run, round(recent_ic, {DP}) AS recent_ic, negative_run >= 10 OR recent_ic < -0.01 AS alert FROM a WHERE n >= 20")(lambda s, d: rounded(ledger.decay_alerts(_history(s, d))))
+
+
+def _changes(s, d):
+    status = F.element_at(F.array(*map(F.lit, ("draft", "testing", "paper", "live", "rejected"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return source.read(s, d, "orders").select(F.col("o_custkey").alias("alpha_id"), F.struct("o_orderdate", "o_orderkey").alias("at"), status.alias("status"))
+
+
+query(
+    "lifecycle_illegal",
+    "WITH c AS (SELECT o_custkey AS alpha_id, o_orderkey, list_extract(['draft', 'testing', 'paper', 'live', 'rejected'], (o_orderkey % 5 + 1)::INT) AS status, lag(list_extract(['draft', 'testing', 'paper', 'live', 'rejected'], (o_orderkey % 5 + 1)::INT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) SELECT alpha_id, o_orderkey, before, status FROM c WHERE before IS NOT NULL AND before <> status AND NOT ((before = 'draft' AND status IN ('testing', 'rejected')) OR (before = 'testing' AND status IN ('paper', 'rejected')) OR (before = 'paper' AND status IN ('live', 'rejected', 'testing')) OR (before = 'live' AND status IN ('decaying', 'retired')))",
+)(lambda s, d: ledger.illegal_transitions(_changes(s, d)).select("alpha_id", F.col("at.o_orderkey").alias("o_orderkey"), "before", "status"))
+query("alpha_dashboard", f"WITH {_LEDGER}, {_HIST}, r AS (SELECT alpha_id, avg(realized_ic) AS ic20 FROM (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY alpha_id ORDER BY date DESC) <= 20) GROUP BY alpha_id) SELECT l.alpha_id, sharpe, status, round(ic20, {DP}) AS ic20 FROM ledger l LEFT JOIN r USING (alpha_id) WHERE status NOT IN ('rejected', 'retired')")(lambda s, d: rounded(ledger.dashboard(_ledger(s, d), _history(s, d))))
+query("alpha_diagnosis", "WITH m AS (SELECT c_custkey AS alpha_id, c_acctbal / 5000 AS sharpe, (c_custkey % 7) / 10.0 AS overfit, -(c_custkey % 5) / 10.0 AS mdd, (c_custkey % 3) * 0.6 AS turnover FROM customer) SELECT alpha_id, CASE WHEN overfit > 0.5 THEN 'overfit' WHEN sharpe < 0 THEN 'negative' WHEN mdd < -0.3 THEN 'deep drawdown' WHEN turnover > 1 THEN 'high turnover' WHEN sharpe < 0.5 THEN 'weak' ELSE 'ok' END AS diagnosis FROM m")(
+    lambda s, d: search.diagnose(source.read(s, d, "customer").select(F.col("c_custkey").alias("alpha_id"), (F.col("c_acctbal") / 5000).alias("sharpe"), (F.col("c_custkey") % 7 / 10).alias("overfit"), (-(F.col("c_custkey") % 5) / 10).alias("mdd"), ((F.col("c_custkey") % 3) * 0.6).alias("turnover"))).select("alpha_id", "diagnosis")
+)
+
+
+def _stream(s, d):
+    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strataloom-")
+    at = f"{base.rstrip('/')}/stream/{uuid.uuid4().hex}"
+    metric = monitor.daily_metric(monitor.read_events(s, f"{d}/events.parquet", s.read.parquet(f"{d}/events.parquet").schema), centre=50.0)
+    monitor.run_available(metric, f"{at}/metric", f"{at}/metric-state")
+    stored = s.readStream.schema("alpha_id string, ts timestamp, realized_ic double").parquet(f"{at}/metric")
+    monitor.run_available(monitor.alerts(stored), f"{at}/out", f"{at}/state")
+    return s.read.schema(monitor.ALERT).parquet(f"{at}/out")
+
+
+query("stream_ic_monitor")(lambda s, d: _stream(s, d))
+query("gp_generation")(lambda s, d: _generation(s, d))
+query("config_search")(lambda s, d: rounded(search.config_search(std(s, d), ALPHA, [{"delay": a, "decay": b, "q": 0.05} for a in (0, 1) for b in (0, 3)])))
+
+
+def _generation(s, d):
+    people, _ = search.evolve(std(s, d), generations=1, size=10, seed=3)
+    rows = [(i, str(p.tree), None if p.score == float("-inf") else float(p.score)) for i, p in enumerate(people)]
+    return s.createDataFrame(rows, "place int, dsl string, score double")
