@@ -277,7 +277,7 @@ query("alpha_diagnosis", "WITH m AS (SELECT c_custkey AS alpha_id, c_acctbal / 5
 def _stream(s, d):
     base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strataloom-")
     at = f"{base.rstrip('/')}/stream/{uuid.uuid4().hex}"
-    metric = monitor.daily_metric(monitor.read_events(s, f"{d}/events.parquet", s.read.parquet(f"{d}/events.parquet").schema), centre=50.0)
+    metric = monitor.daily_metric(monitor.read_events(s, d, "events.parquet", s.read.parquet(f"{d}/events.parquet").schema), centre=50.0)
     monitor.run_available(metric, f"{at}/metric", f"{at}/metric-state")
     stored = s.readStream.schema("alpha_id string, ts timestamp, realized_ic double").parquet(f"{at}/metric")
     monitor.run_available(monitor.alerts(stored), f"{at}/out", f"{at}/state")

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, path: str, schema=EVENTS) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def read_events(spark: SparkSession, folder: str, files: str = "*.parquet", schema=EVENTS) -> DataFrame:
+    """Stream of the Parquet files of a folder whose names match files."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
 
 
 def daily_metric(events: DataFrame, late: str = "1 day", centre: float = 0.0) -> DataFrame:
