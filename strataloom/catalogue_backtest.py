@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .catalogue import _T, BARS_SQL, DP, PANEL_SQL, query, rounded, sql_rank, sql_round, std
-from .operators import backtest, combine, ledger, metrics, portfolio, search, signal, validation
+from .operators import backtest, combine, ledger, metrics, portfolio, realistic, search, signal, validation
 from .plans.compiler import signals
 from .sources import bars as source
 from .streaming import monitor
@@ -293,3 +293,5 @@ def _generation(s, d):
     people, _ = search.evolve(std(s, d), generations=1, size=10, seed=3)
     rows = [(i, str(p.tree), None if p.score == float("-inf") else float(p.score)) for i, p in enumerate(people)]
     return s.createDataFrame(rows, "place int, dsl string, score double")
+query("realistic_report")(lambda s, d: rounded(realistic.run(std(s, d), {"mom": ALPHA, "rev": "-zscore(returns)"})["report"]))
+query("realistic_walk_forward")(lambda s, d: rounded(realistic.walk_forward(std(s, d), ALPHA)["folds"]))

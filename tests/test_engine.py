@@ -202,3 +202,15 @@ def test_streaming_matches_batch(spark, sf):
     days = {r.user: r.n for r in spark.read.parquet(f"{sf}/events.parquet").groupBy(F.col("user_id").cast("string").alias("user")).agg(F.countDistinct(F.to_date("ts")).alias("n")).collect()}
     assert out and all(r.n <= days[k] for k, r in out.items())
     assert sum(r.n for r in out.values()) >= 0.8 * sum(days.values())  # the watermark holds the last days back
+
+
+def test_realistic_run(spark, sf):
+    from strataloom import api
+
+    p = api.load_panel(spark, sf).cache()
+    out = api.run_backtest(p, "rank(ts_delta(log(close), 5))")
+    report = {r.segment: r for r in out["report"].collect()}
+    assert set(report) == {"IS", "OOS"} and all(-1 <= r.mdd <= 0 or r.mdd is not None for r in report.values())
+    assert out["daily"].where("turnover < 0 OR turnover > 1.0000001").count() == 0
+    assert api.run_walk_forward(p, "rank(ts_delta(close, 3))")["folds"].count() == 10
+    assert "nation_week" in api.datasets() and abs(sum(api.workflow_optimize(p, "rank(ts_delta(close, 3))", size=4)["weights"].values()) - 1) < 1e-9
