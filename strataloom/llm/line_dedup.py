@@ -1,6 +1,6 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard verification, distributed union-find.
 
-A line is compared without A-Z case and without the white space at its ends. Its character shingles are dealt into BINS bins by hash (one-permutation MinHash, empty bins filled by rotation); BANDS bands of rows of bins make its keys: a pair at the threshold shares a key with a chance of 1 - (1 - 0.8 ** 4) ** 16 > 0.999. Lines of a key with few distinct lines are compared pair by pair; larger keys are joined into clusters and compared by the blocked product, so no key is capped. Of each component the first line, by document and place, stays.
+A line is compared without A-Z case and without the white space at its ends. Its character shingles are dealt into BINS bins by hash (one-permutation MinHash, empty bins filled by rotation); BANDS bands of ROWS bins make its keys: a pair at the threshold shares a key with a chance of 1 - (1 - 0.8 ** 4) ** 14 > 0.999. Lines that share a key are joined into clusters, and the blocked product compares a cluster's lines exactly, so no key is capped. Of each component the first line, by document and place, stays. More than about 10 ** 8 distinct lines ask for more ROWS (and BANDS), so that chance does not join unlike lines into large clusters.
 """
 
 from __future__ import annotations
@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
+from .ngram_join import candidate_edges
 from .product import linked_pairs, with_tasks
 from .shared import components, cut, join_groups
 
 CHARS, NUM, DEN = 7, 80, 100  # bytes of a shingle, threshold
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 14, 4
 BINS = BANDS * ROWS
-FEW = 24  # distinct lines of a key that are compared pair by pair
+TYPICAL_GRAMS = 200  # shingles that a line of a large cluster counts as when it is dealt into blocks
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray):
@@ -49,7 +50,7 @@ def band_keys(line, grams, n: int) -> np.ndarray:
     """BANDS keys of each of n lines."""
     g = vec.mix(grams, 41)
     low = np.full(n * BINS, ~vec.U(0))
-    np.minimum.at(low, line * BINS + (g >> vec.U(58)).astype(np.int64) % BINS, g << vec.U(6) >> vec.U(6))
+    np.minimum.at(low, line * BINS + ((g >> vec.U(40)) * vec.U(BINS) >> vec.U(24)).astype(np.int64), g & vec.U((1 << 40) - 1))
     low = low.reshape(n, BINS)
     empty = low == ~vec.U(0)
     place = np.where(empty, 2 * BINS, np.arange(BINS))  # the next filled bin, around the end
@@ -74,7 +75,7 @@ def _lines(batches):
 
 
 def _entries(batches):
-    """(key, lh) of each distinct line of a slice."""
+    """(key, node) of each distinct line of a slice, the node being its hash."""
     import pyarrow as pa
 
     for _, data, offsets in vec.pieces(batches):
@@ -84,76 +85,31 @@ def _entries(batches):
         values = vec.prefix_hash(vec.BYTE[vec.LOWER[data]])
         lh, first = np.unique(vec.span_hash(values, s, e), return_index=True)
         keys = band_keys(*line_grams(values, s[first], e[first]), len(first))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(lh, BANDS).view(np.int64))], names=["key", "lh"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(lh, BANDS).view(np.int64))], names=["key", "node"])
 
 
-def _candidates(batches):
-    """Of rows (key, lh) sorted by both: each pair of a key with up to FEW lines (kind 0), and for larger keys an edge from each line to the first (kind 1). Holds at most FEW + 1 lines between rows."""
-    import pyarrow as pa
-
-    def flush():
-        if big or len(held) < 2:
-            return
-        i, j = np.triu_indices(len(held), 1)
-        h = np.array(held)
-        out.append((h[i], h[j], np.zeros(len(i), np.int32)))
-
-    def batch_out():
-        a, b, kind = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(kind)], names=["a", "b", "kind"])
-
-    key, held, big, out = None, [], False, []
-    for batch in batches:
-        k, lh = batch.column("key").to_numpy(), batch.column("lh").to_numpy()
-        if not len(k):
-            continue
-        new = np.append(True, (k[1:] != k[:-1]) | (lh[1:] != lh[:-1]))
-        k, lh = k[new], lh[new]
-        start = np.append(True, k[1:] != k[:-1])
-        bounds = np.append(np.flatnonzero(start), len(k))
-        size = np.diff(bounds)
-        # keys of one line inside the batch need no loop; its first and last key may go on in a neighbour batch
-        for r in np.unique(np.concatenate([[0], np.flatnonzero(size > 1), [len(size) - 1]])):
-            i, j = int(bounds[r]), int(bounds[r + 1])
-            if k[i] != key:
-                flush()
-                key, held, big = k[i], [], False
-            lines = lh[i:j]
-            if held and lines[0] == held[-1]:
-                lines = lines[1:]
-            if not big and len(held) + len(lines) <= FEW:
-                held += lines.tolist()
-                continue
-            first = held[0] if held else lines[0]
-            rest = lines if big else np.array(held + lines.tolist())
-            rest = rest[rest != first]
-            out.append((rest, np.full(len(rest), first), np.ones(len(rest), np.int32)))
-            held, big = [first], True
-        if out:
-            yield batch_out()
-            out = []
-    flush()
-    if out:
-        yield batch_out()
-
-
-def _grams(batches):
-    """Shingle sets of the lines listed in `at` (no, lh, tasks)."""
+def _texts(batches):
+    """The lines listed in `at` (no, lh, tasks), lower-cased."""
     import pyarrow as pa
 
     for part, data, offsets in vec.pieces(batches):
         s, e, doc, no = line_spans(data, offsets)
-        values = vec.prefix_hash(vec.BYTE[vec.LOWER[data]])
+        low = vec.LOWER[data].tobytes()
         index = {(d, n): i for i, (d, n) in enumerate(zip(doc.tolist(), no.tolist(), strict=True))}
-        nodes, tasks, sets = [], [], []
+        nodes, tasks, lines = [], [], []
         for d, at in enumerate(part.column("at").to_pylist()):
             for x in at:
                 i = index[d, x["no"]]
-                _, g = line_grams(values, s[i : i + 1], e[i : i + 1])
                 nodes.append(x["lh"])
                 tasks.append(x["tasks"])
-                sets.append(np.unique(g).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tasks, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["node", "tasks", "grams"])
+                lines.append(low[s[i] : e[i]])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tasks, pa.list_(pa.int64())), pa.array(lines, pa.binary())], names=["node", "tasks", "grams"])
+
+
+def grams_of(line: bytes) -> np.ndarray:
+    """Distinct shingles of a line."""
+    data = np.frombuffer(line, np.uint8)
+    return np.unique(line_grams(vec.prefix_hash(vec.BYTE[data]), np.zeros(1, np.int64), np.full(1, len(data)))[1])
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -164,18 +120,14 @@ def line_classes(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     lines = cut(rows.mapInArrow(_lines, "id long, th long, no int, lh long"))
-    entries = rows.select("text").mapInArrow(_entries, "key long, lh long")
-    found = cut(entries.repartition("key").sortWithinPartitions("key", "lh").mapInArrow(_candidates, "a long, b long, kind int").distinct())
-    pairs = found.where("kind = 0").select("a", "b", F.xxhash64("a", "b", F.lit(7)).alias("task"))
-    single = pairs.select(F.explode(F.array("a", "b")).alias("lh"), "task")
-    cluster = components(found.where("kind = 1").select("a", "b")).select(F.col("node"), F.col("root").alias("cluster"), F.lit(200).alias("n"))
-    grouped = with_tasks(cluster, NUM, DEN).select(F.col("node").alias("lh"), F.explode("tasks").alias("task"))
-    tasks = single.unionByName(grouped).groupBy("lh").agg(F.collect_list("task").alias("tasks"))
+    entries = rows.select("text").mapInArrow(_entries, "key long, node long")
+    cluster = components(candidate_edges(entries)).select("node", F.col("root").alias("cluster"), F.lit(TYPICAL_GRAMS).alias("n"))
+    tasks = cut(with_tasks(cluster, NUM, DEN).select(F.col("node").alias("lh"), "tasks"))
     rep = lines.groupBy("lh").agg(F.min(F.struct("id", "th", "no")).alias("r"))
     at = tasks.join(rep, "lh").select("r.id", "r.th", F.struct("r.no", "lh", "tasks").alias("x")).groupBy("id", "th").agg(F.collect_list("x").alias("at"))
     same = (F.col("d.th") == F.col("a.th")) & F.col("d.id").eqNullSafe(F.col("a.id"))
     picked = rows.alias("d").join(at.alias("a").hint("merge"), same).select("text", "at")
-    linked = components(linked_pairs(picked.mapInArrow(_grams, "node long, tasks array<long>, grams binary"), NUM, DEN))
+    linked = components(linked_pairs(picked.mapInArrow(_texts, "node long, tasks array<long>, grams binary"), NUM, DEN, grams_of))
     known = lines.join(linked.withColumnRenamed("node", "lh"), "lh", "left").select("id", "th", "no", F.coalesce("root", "lh").alias("cid"))
     known = cut(known.distinct())
     groups = cut(known.groupBy("cid").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"))

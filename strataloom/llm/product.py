@@ -87,15 +87,20 @@ def product_links(nodes: np.ndarray, sizes: np.ndarray, grams: np.ndarray, num:
     return vec.forest(nodes[i], nodes[j]) if len(i) else (nodes[:0], nodes[:0])
 
 
-def _scan(num: int, den: int):
+def packed(content: bytes) -> np.ndarray:
+    """64-bit grams that stand side by side."""
+    return np.frombuffer(content, np.int64)
+
+
+def _scan(num: int, den: int, grams_of):
     def scan(batches):
         import pyarrow as pa
 
         def flush():
             if len(held) > 1:
                 nodes, at = np.unique(np.array([x[0] for x in held], np.int64), return_index=True)
-                rows = [held[i][1] for i in at]
-                if len(rows) > 1:
+                if len(nodes) > 1:
+                    rows = [grams_of(held[i][1]) for i in at]
                     a, b = product_links(nodes, np.array([len(x) for x in rows]), np.concatenate(rows), num, den)
                     if len(a):
                         out.append((a, b))
@@ -109,7 +114,7 @@ def _scan(num: int, den: int):
                 if tasks[i] != key:
                     flush()
                     key = tasks[i]
-                held.append((nodes[i], np.frombuffer(data[offsets[i] : offsets[i + 1]].tobytes(), np.int64)))
+                held.append((nodes[i], data[offsets[i] : offsets[i + 1]].tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b"])
                 out = []
@@ -120,7 +125,7 @@ def _scan(num: int, den: int):
     return scan
 
 
-def linked_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows: (tasks, node, grams binary: 64-bit grams of the row's set). Returns edges (a, b) that connect what the pairs reaching num / den connect."""
+def linked_pairs(rows: DataFrame, num: int, den: int, grams_of=packed) -> DataFrame:
+    """rows: (tasks, node, grams binary, from which grams_of makes the distinct grams of the row's set). Returns edges (a, b) that connect what the pairs reaching num / den connect."""
     dealt = rows.select(F.explode("tasks").alias("task"), "node", "grams")
-    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_scan(num, den), "a long, b long")
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_scan(num, den, grams_of), "a long, b long")

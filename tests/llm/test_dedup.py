@@ -207,7 +207,9 @@ def test_lines(docs, odd, nothing):
 
 
 def test_large_keys_lose_no_line(docs, monkeypatch):
-    """More distinct lines of one key than are compared pair by pair."""
+    """A key's lines over many blocks."""
+    monkeypatch.setattr(product, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(product, "BLOCK_GRAMS", 4000)
     base = "the quick brown fox jumps over the lazy dog again and again until the night comes and the stars shine over the hills "
     rows = [(i, base * 2 + f"end {i:03d}") for i in range(80)]
     got = [r for r in line_dedup.line_classes(docs(rows)).where("NOT kept").collect()]
