@@ -214,3 +214,18 @@ def test_realistic_run(spark, sf):
     assert out["daily"].where("turnover < 0 OR turnover > 1.0000001").count() == 0
     assert api.run_walk_forward(p, "rank(ts_delta(close, 3))")["folds"].count() == 10
     assert "nation_week" in api.datasets() and abs(sum(api.workflow_optimize(p, "rank(ts_delta(close, 3))", size=4)["weights"].values()) - 1) < 1e-9
+
+
+def test_providers(spark, tmp_path):
+    from strataloom.sources import provider
+
+    p = provider.fetch(spark, ["nosuch", "synthetic"], ["T000", "T001"], "2022-01-03", "2022-02-01")
+    rows = p.toPandas()
+    assert set(rows.ticker) == {"T000", "T001"} and (rows.high >= rows.close).all() and (rows.ts.dt.weekday < 5).all()
+    local = provider.LocalParquet(str(tmp_path / "panel"))
+    local.save(p)
+    back = local.fetch_panel(spark, ["T001"], "2022-01-05", "2022-01-20", ["close"])
+    assert back.columns == ["ts", "ticker", "close"] and 0 < back.count() < 15
+    provider.register_provider("local", local)
+    with pytest.raises(LookupError):
+        provider.fetch(spark, ["local"], ["nosuch"], "2022-01-05", "2022-01-20")
