@@ -16,6 +16,7 @@ from . import vec
 BLOCK_ROWS = 1024
 BLOCK_GRAMS = 1 << 20
 COLUMNS = 2048
+DENSE_ROWS = 64  # more rows than that: columns of few rows are multiplied pair by pair, the others densely
 
 
 def level(n, num: int, den: int):
@@ -46,6 +47,24 @@ def with_tasks(members: DataFrame, num: int, den: int) -> DataFrame:
     return rows.withColumn("tasks", tasks).drop("lv", "tc", "tw", "nb", "nb_next", "nb_prev", "blk")
 
 
+def _rare_pairs(owner: np.ndarray, col: np.ndarray, most: int = 1 << 22):
+    """The pairs of rows (i, j) that share a column, once for each such column, in parts of about `most` pairs. Columns stand in order; those with equally many rows are taken together."""
+    count = np.bincount(col)
+    held, n = [], 0
+    for d in np.unique(count[count > 1]):
+        rows = np.sort(owner[count[col] == d].reshape(-1, d), axis=1)
+        a, b = np.triu_indices(d, 1)
+        step = max(1, most // len(a))
+        for k in range(0, len(rows), step):
+            held.append((rows[k : k + step][:, a].ravel(), rows[k : k + step][:, b].ravel()))
+            n += len(held[-1][0])
+            if n >= most:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def product_links(nodes: np.ndarray, sizes: np.ndarray, grams: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest (a, b) of the row pairs with den * overlap >= num * union. grams: the rows' distinct grams, one row after another."""
     r = len(nodes)
@@ -70,6 +89,23 @@ def product_links(nodes: np.ndarray, sizes: np.ndarray, grams: np.ndarray, num:
     acc = np.zeros((r, r), np.float32)
     order = np.argsort(col, kind="stable")
     owner, col = owner[order], col[order]
+    if r > DENSE_ROWS:  # rare columns first, pair by pair of the few rows that have them
+        count = np.bincount(col, minlength=width)
+        rare = count[col] <= max(2, r // 16)
+        for i, j in _rare_pairs(owner[rare], col[rare]):
+            acc += np.bincount(i * r + j, minlength=r * r).reshape(r, r)
+        acc += acc.T
+        owner, col = owner[~rare], col[~rare]
+        left = np.bincount(owner, minlength=r).astype(np.float32)
+        alive = acc + np.minimum(left[:, None], left[None, :]) >= need - 1e-3
+        np.fill_diagonal(alive, False)
+        keep = alive.any(axis=1)
+        if not keep.any():
+            return nodes[:0], nodes[:0]
+        used = keep[owner]  # the other rows' pairs cannot reach their bounds any more
+        owner, col = (np.cumsum(keep) - 1)[owner[used]], np.unique(col[used], return_inverse=True)[1]
+        nodes, sizes, left, need, acc = nodes[keep], sizes[keep], left[keep], need[np.ix_(keep, keep)], acc[np.ix_(keep, keep)]
+        r, width = len(nodes), int(col.max(initial=-1)) + 1
     step = max(COLUMNS, min(width, (1 << 21) // r))
     for c in range(0, width, step):
         lo, hi = np.searchsorted(col, [c, c + step])

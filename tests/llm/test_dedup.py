@@ -127,7 +127,9 @@ def test_blocks_lose_no_pair():
             assert set(keys[owner == 0]) & set(keys[owner == 1])
 
 
-def test_product():
+@pytest.mark.parametrize("dense_rows", [64, 4])
+def test_product(monkeypatch, dense_rows):
+    monkeypatch.setattr(product, "DENSE_ROWS", dense_rows)
     rng = np.random.default_rng(4)
     for _ in range(10):
         base = rng.integers(0, 1 << 60, 120)
