@@ -1,6 +1,6 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard verification, distributed union-find.
 
-A line is compared without A-Z case and without the white space at its ends. Its character shingles are dealt into BINS bins by hash (one-permutation MinHash, empty bins filled by rotation); BANDS bands of ROWS bins make its keys: a pair at the threshold shares a key with a chance of 1 - (1 - 0.8 ** 4) ** 14 > 0.999. Lines that share a key are joined into clusters, and the blocked product compares a cluster's lines exactly, so no key is capped. Of each component the first line, by document and place, stays. More than about 10 ** 8 distinct lines ask for more ROWS (and BANDS), so that chance does not join unlike lines into large clusters.
+A line is compared without A-Z case and without the white space at its ends. Its character shingles are dealt into BINS bins by hash (one-permutation MinHash, empty bins filled by rotation); BANDS bands of ROWS bins make its keys. A pair at the threshold shares a key with a chance of 1 - 0.59 ** 14 > 0.999 and two keys with one of 0.993 (at 0.85, 0.9995); two are asked for, since one alone joins unlike lines into clusters that grow with the corpus. The lines of a key with over FEW lines are joined without that, so no key is capped. The blocked product compares a cluster's lines exactly. Of each component the first line, by document and place, stays.
 """
 
 from __future__ import annotations
@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .ngram_join import candidate_edges
 from .product import linked_pairs, with_tasks
 from .shared import components, cut, join_groups
 
 CHARS, NUM, DEN = 7, 80, 100  # bytes of a shingle, threshold
 BANDS, ROWS = 14, 4
 BINS = BANDS * ROWS
+SHARED = 2  # keys that a pair shares to be compared
+FEW = 24  # distinct lines of a key that are met pair by pair; those of a larger key are met through its first line, whatever else they share
 TYPICAL_GRAMS = 200  # shingles that a line of a large cluster counts as when it is dealt into blocks
 
 
@@ -88,6 +89,56 @@ def _entries(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(lh, BANDS).view(np.int64))], names=["key", "node"])
 
 
+def _candidates(batches):
+    """Of rows (key, node) sorted by both: each pair of a key with up to FEW lines (kind 0), and for larger keys an edge from each line to the first (kind 1). Holds at most FEW + 1 lines between rows."""
+    import pyarrow as pa
+
+    def flush():
+        if big or len(held) < 2:
+            return
+        i, j = np.triu_indices(len(held), 1)
+        h = np.array(held)
+        out.append((h[i], h[j], np.zeros(len(i), np.int32)))
+
+    def batch_out():
+        a, b, kind = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(kind)], names=["a", "b", "kind"])
+
+    key, held, big, out = None, [], False, []
+    for batch in batches:
+        k, lh = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+        if not len(k):
+            continue
+        new = np.append(True, (k[1:] != k[:-1]) | (lh[1:] != lh[:-1]))
+        k, lh = k[new], lh[new]
+        start = np.append(True, k[1:] != k[:-1])
+        bounds = np.append(np.flatnonzero(start), len(k))
+        size = np.diff(bounds)
+        # keys of one line inside the batch need no loop; its first and last key may go on in a neighbour batch
+        for r in np.unique(np.concatenate([[0], np.flatnonzero(size > 1), [len(size) - 1]])):
+            i, j = int(bounds[r]), int(bounds[r + 1])
+            if k[i] != key:
+                flush()
+                key, held, big = k[i], [], False
+            lines = lh[i:j]
+            if held and lines[0] == held[-1]:
+                lines = lines[1:]
+            if not big and len(held) + len(lines) <= FEW:
+                held += lines.tolist()
+                continue
+            first = held[0] if held else lines[0]
+            rest = lines if big else np.array(held + lines.tolist())
+            rest = rest[rest != first]
+            out.append((rest, np.full(len(rest), first), np.ones(len(rest), np.int32)))
+            held, big = [first], True
+        if out:
+            yield batch_out()
+            out = []
+    flush()
+    if out:
+        yield batch_out()
+
+
 def _texts(batches):
     """The lines listed in `at` (no, lh, tasks), lower-cased."""
     import pyarrow as pa
@@ -121,7 +172,9 @@ def line_classes(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     lines = cut(rows.mapInArrow(_lines, "id long, th long, no int, lh long"))
     entries = rows.select("text").mapInArrow(_entries, "key long, node long")
-    cluster = components(candidate_edges(entries)).select("node", F.col("root").alias("cluster"), F.lit(TYPICAL_GRAMS).alias("n"))
+    met = entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "a long, b long, kind int")
+    edges = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"), F.max("kind").alias("kind")).where((F.col("keys") >= SHARED) | (F.col("kind") == 1)).select("a", "b")
+    cluster = components(edges).select("node", F.col("root").alias("cluster"), F.lit(TYPICAL_GRAMS).alias("n"))
     tasks = cut(with_tasks(cluster, NUM, DEN).select(F.col("node").alias("lh"), "tasks"))
     rep = lines.groupBy("lh").agg(F.min(F.struct("id", "th", "no")).alias("r"))
     at = tasks.join(rep, "lh").select("r.id", "r.th", F.struct("r.no", "lh", "tasks").alias("x")).groupBy("id", "th").agg(F.collect_list("x").alias("at"))
