@@ -145,6 +145,31 @@ def test_slots_must_agree(spark, docs):
     assert got == {1}
 
 
+def test_slots_of_several_occurrences(spark, docs):
+    """One whole occurrence is enough, whatever other occurrences or repeated template windows stand beside it."""
+    box = "A box has 3 red, 4 blue and 5 green balls"
+    add = "Add 3 and 4 then add 5 and 6 then add 7 and 8"
+    rows = [(i, " . ".join(x)) for i, x in enumerate([[box, box.translate(str.maketrans("345", v))] for v in ("678", "128", "971")])]
+    rows += [(10, add), (11, "Add 1 and 2 then add 9 and 0 then add 13 and 14"), (12, "Add 3 and 4 then add 5 and 4 then add 5 and 4")]
+    bench = spark.createDataFrame([(1, box), (2, add)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.share) for r in decontaminate.contaminated(docs(rows), bench).collect())
+    assert [x for x in got if x[0] < 12] == [(0, 1, 1.0), (1, 1, 1.0), (2, 1, 1.0), (10, 2, 1.0), (11, 2, 1.0)]
+
+
+def test_assignment_is_the_best():
+    """The search finds what trying all assignments finds."""
+    import itertools
+
+    rng = random.Random(5)
+    for _ in range(200):
+        matches = [(rng.randrange(6), tuple(rng.choice((0, 1, 2, 3)) for _ in range(3)), tuple(rng.randrange(1, 4) for _ in range(3))) for _ in range(rng.randrange(1, 25))]
+        want = 0
+        for values in itertools.product((1, 2, 3), repeat=3):
+            fill = dict(zip((1, 2, 3), values, strict=True))
+            want = max(want, len({w for w, t, o in matches if all(a == 0 or fill[a] == b for a, b in zip(t, o, strict=True))}))
+        assert decontaminate.most_held(matches, 0) == want
+
+
 def test_leaks_in_the_table(spark):
     """Every document that holds an item word for word is found, and no other one that shares few of its words."""
     import re
