@@ -170,6 +170,18 @@ def test_assignment_is_the_best():
         assert decontaminate.most_held(matches, 0) == want
 
 
+def test_names_in_any_case_and_place(spark, docs):
+    """Copies in lower case and in capitals, and other names that open sentences."""
+    story = "Tom has 5 apples. Ann gives 7 apples to him. Tom eats 2 of them. Ann sells 3 of hers. How many apples are left for Tom?"
+    other = story.replace("Tom", "Bob").replace("Ann", "Eve").replace("5", "8")
+    numbers = "Sum 1 2 3 4 5 6 7 8 9"
+    rows = [(1, ITEM.lower()), (2, ITEM.upper()), (3, "before it. " + ITEM.lower().replace("5", "6") + " after it"), (4, other), (5, story.upper()), (6, numbers.lower()), (7, ITEM.lower().replace("apples", "pears").replace("buys", "sells"))]
+    bench = spark.createDataFrame([(1, ITEM), (2, story), (3, numbers)], "item_id long, text string")
+    for index_windows in (decontaminate.INDEX_WINDOWS, 0):
+        got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(rows), bench, index_windows=index_windows).collect())
+        assert got == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3)]
+
+
 def test_leaks_in_the_table(spark):
     """Every document that holds an item word for word is found, and no other one that shares few of its words."""
     import re
