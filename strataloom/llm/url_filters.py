@@ -39,7 +39,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def _level(counts: DataFrame, key: str, parent: str, prior: DataFrame) -> DataFrame:
-    """(key, mean, weight): posterior mean and pseudo-counts of each key, its prior the parent's mean (prior has parent, mean). The strength comes from the variance of all keys' rates around their priors beyond the binomial one."""
+    """(key, mean, weight, seen_n, strength): posterior mean and pseudo-counts of each key, its prior the parent's mean (prior has parent, mean). The strength comes from the variance of all keys' rates around their priors beyond the binomial one."""
     rows = counts.groupBy(key, parent).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(prior.select(F.col(parent), F.col("mean").alias("m0")), parent)
     moments = rows.where("n > 1").agg(
         F.sum((F.col("bad") - F.col("n") * F.col("m0")) ** 2).alias("seen"),
@@ -50,7 +50,30 @@ def _level(counts: DataFrame, key: str, parent: str, prior: DataFrame) -> DataFr
     rho = F.try_divide(F.col("seen") - F.col("noise"), F.col("spread"))
     strength = F.coalesce(F.when(rho > 0, F.try_divide(F.lit(1.0), rho) - 1).when(rho <= 0, F.lit(STRENGTHS[1])), F.lit(STRENGTHS[0]))
     one = moments.select(F.least(F.lit(STRENGTHS[1]), F.greatest(F.lit(STRENGTHS[0]), strength)).alias("s"))
-    return rows.join(F.broadcast(one)).select(key, ((F.col("bad") + F.col("s") * F.col("m0")) / (F.col("n") + F.col("s"))).alias("mean"), (F.col("n") + F.col("s")).alias("weight"), F.col("n").alias("seen_n"))
+    return rows.join(F.broadcast(one)).select(key, ((F.col("bad") + F.col("s") * F.col("m0")) / (F.col("n") + F.col("s"))).alias("mean"), (F.col("n") + F.col("s")).alias("weight"), F.col("n").alias("seen_n"), F.col("s").alias("strength"))
+
+
+def _domain_suffix(host: Column) -> dict[str, Column]:
+    """registered domain: the last two labels; suffix: the last."""
+    domain = F.when(F.size(F.split(host, r"\.")) > 1, F.substring_index(host, ".", -2)).otherwise(host)
+    return {"domain": domain, "suffix": F.element_at(F.split(host, r"\."), -1)}
+
+
+def _lower(mean: Column, weight: Column) -> Column:
+    return F.greatest(F.lit(0.0), mean - Z * F.sqrt(mean * (1 - mean) / (weight + 1)))
+
+
+def _levels(outcomes: DataFrame) -> dict[str, DataFrame]:
+    """The posteriors by level: root, suffix, domain, host."""
+    counts = cut(outcomes.where("bad IS NOT NULL AND host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("double")).alias("bad")).withColumns({**_domain_suffix(F.col("host")), "root": F.lit("")}))
+    levels = {"root": counts.groupBy("root").agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("mean"))}
+    for key, parent in (("suffix", "root"), ("domain", "suffix"), ("host", "domain")):
+        levels[key] = cut(_level(counts, key, parent, levels[parent]))
+    return levels
+
+
+def _own(levels: dict[str, DataFrame]) -> DataFrame:
+    return levels["host"].select("host", F.col("seen_n").alias("n"), "mean", _lower(F.col("mean"), F.col("weight")).alias("lower"))
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
@@ -58,29 +81,37 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
 
     registered domain: the last two labels; suffix: the last. Null outcomes and empty hosts are left out. Only sums per host go on, so a host with a third of all pages costs no more than another.
     """
-    last = F.element_at(F.split("host", r"\."), -1)
-    domain = F.when(F.size(F.split("host", r"\.")) > 1, F.substring_index("host", ".", -2)).otherwise(F.col("host"))
-    counts = cut(outcomes.where("bad IS NOT NULL AND host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("double")).alias("bad")).withColumns({"domain": domain, "suffix": last, "root": F.lit("")}))
-    root = counts.groupBy("root").agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("mean"))
-    prior = root
-    for key, parent in (("suffix", "root"), ("domain", "suffix"), ("host", "domain")):
-        prior = cut(_level(counts, key, parent, prior))
-    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
-    return prior.select("host", F.col("seen_n").alias("n"), "mean", F.greatest(F.lit(0.0), F.col("mean") - Z * sd).alias("lower"))
+    return _own(_levels(outcomes))
+
+
+def _inherited(hosts: DataFrame, levels: dict[str, DataFrame]) -> DataFrame:
+    """(host, inherited) of hosts (host, distinct) without outcomes: the bound of the prior that the nearest known parent gives, its mean with the strength of the level below it. No outcomes at all give null."""
+    rows = hosts.where("host <> ''").join(levels["host"].select("host"), "host", "left_anti").withColumns(_domain_suffix(F.col("host")))
+    mean = weight = F.lit(None).cast("double")
+    for parent, child in (("root", "suffix"), ("suffix", "domain"), ("domain", "host")):
+        strength = levels[child].agg(F.max("strength").alias(f"{parent}_s"))
+        known = levels[parent].select(F.col(parent), F.col("mean").alias(f"{parent}_mean"))
+        rows = rows.crossJoin(F.broadcast(strength))
+        rows = rows.crossJoin(F.broadcast(known.drop("root").agg(F.max("root_mean").alias("root_mean")))) if parent == "root" else rows.join(known, parent, "left")
+        here = F.col(f"{parent}_mean")
+        mean, weight = F.coalesce(here, mean), F.when(here.isNotNull(), F.col(f"{parent}_s")).otherwise(weight)
+    return rows.select("host", F.when(mean.isNotNull(), _lower(mean, weight)).alias("inherited"))
 
 
 def url_filter(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = RULES, block_rate: float = BLOCK_RATE) -> DataFrame:
     """Judges each row of pages (page_id, url): page_id, host, path, rule, verdict, bad_rate_lower.
 
-    outcomes: (page_id, bad). A rule decides where one fits; else the host is blocked when its lower bound exceeds block_rate; a host without outcomes is allowed (bad_rate_lower null). A null url, or one without '://', has empty host and path, fits no rule and is allowed. Rows that repeat are judged each.
+    outcomes: (page_id, bad). A rule decides where one fits; else the host is blocked when its lower bound exceeds block_rate; a host without outcomes has bad_rate_lower null and is judged by the bound that its registered domain, else its suffix, else all pages give as its prior. Without any outcomes all such hosts are allowed. A null url, or one without '://', has empty host and path, fits no rule and is allowed. Rows that repeat are judged each.
     """
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     seen = rows.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id")
-    reputation = host_reputation(seen).select("host", F.col("lower").alias("bad_rate_lower"))
+    levels = _levels(seen)
+    known = _own(levels).select("host", F.col("lower").alias("bad_rate_lower"), F.col("lower").alias("bound"))
+    reputation = known.unionByName(_inherited(rows.select("host").distinct(), levels).select("host", F.lit(None).cast("double").alias("bad_rate_lower"), F.col("inherited").alias("bound")))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.join(reputation, "host", "left").withColumns({"rule": rule, "by_rule": verdict})
-    own = F.when(F.coalesce(F.col("bad_rate_lower") > block_rate, F.lit(False)), "block").otherwise("allow")
+    own = F.when(F.coalesce(F.col("bound") > block_rate, F.lit(False)), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"), F.round("bad_rate_lower", 6).alias("bad_rate_lower"))
 
 

@@ -35,6 +35,18 @@ def test_reputation_shrinks(spark):
     assert got["bad.org"].lower > 0.5 > got["good.org"].mean and got["new.org"].mean < got["bad.org"].mean and got["new.org"].lower < got["new.org"].mean
 
 
+def test_hosts_without_outcomes_inherit(spark):
+    """A host without outcomes is judged by its domain, else its suffix; its own bound stays null."""
+    hosts = [f"h{i}.bad.org" for i in range(6)] + [f"h{i}.good.net" for i in range(6)]
+    seen = [(i, f"http://{h}/x") for i, h in enumerate(h for h in hosts for _ in range(40))]
+    outcomes = spark.createDataFrame([(i, int("bad" in u)) for i, u in seen], "page_id long, bad int")
+    new = [(1000, "http://new.bad.org/a"), (1001, "http://new.good.net/a"), (1002, "http://other.net/a"), (1003, None), (1004, "http://a.unseen/")]
+    pages = spark.createDataFrame(seen + new, "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.bad_rate_lower) for r in url_filters.url_filter(pages, outcomes, rules=[]).where("page_id >= 1000").collect()}
+    assert got[1000] == ("block", None) and {got[i] for i in (1001, 1002, 1003)} == {("allow", None)} and got[1004][1] is None
+    assert url_filters.url_filter(pages, outcomes, rules=[]).count() == len(seen) + len(new)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_match_sql(spark, sf, name):
     con = duckdb.connect()
