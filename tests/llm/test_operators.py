@@ -233,6 +233,17 @@ def test_raking_by_frames_agrees(spark, monkeypatch):
     assert all(abs(one[k] - two[k]) < 1e-4 for k in one)
 
 
+def test_raking_by_frames_agrees_on_hard_cells(spark, monkeypatch):
+    """Probabilities bounded by 1 that converge slowly, and a topic without tokens: the same rounds give the same."""
+    cells = [("a", "x", 0, 10), ("a", "y", 1, 5000), ("b", "x", 1, 40), ("b", "y", 0, 900), ("c", "x", 2, 30), ("c", "y", 2, 0), ("a", "x", -1, 0), ("b", "x", -1, 0)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic int, tokens long")
+    monkeypatch.setattr(mixing, "ROUNDS", 6)
+    one = {(r.source, r.lang, r.topic): r.prob for r in mixing.rake(df, 0.5).collect()}
+    monkeypatch.setattr(mixing, "CELLS_ON_DRIVER", 1)
+    two = {(r.source, r.lang, r.topic): r.prob for r in mixing.rake(df, 0.5).collect()}
+    assert max(one.values()) == 1 and set(one) == set(two) and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+
+
 def test_mixing(spark, sf, odd, nothing):
     rows = mixing.op4_mixing(spark, sf).toPandas()
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
