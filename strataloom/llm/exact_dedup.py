@@ -1,13 +1,13 @@
 """Exact dedup by deterministic block naming, in DataFrame operations only.
 
-A text is cut into fixed-size blocks. Equal blocks get one integer name, adjacent pairs of names are named in turn, and after about log2(blocks) rounds each text has one name: equal names, equal texts, with no fingerprint in the decision. Names follow the sorted order of the blocks' first places, so they do not depend on partitions.
+A text is cut into fixed-size blocks. Equal blocks get one integer name, adjacent pairs of names are named in turn, and after about log2(blocks) rounds each text has one name: equal names, equal texts, with no fingerprint in the decision. A round's names count its distinct keys upwards in the order of (hash, content), so they depend on the corpus alone, not on partitions.
 
-A name that occurs once in the whole corpus settles its document (no other text can equal it), so a hash count of 16-byte rows first tells which blocks may recur, and only those are sorted by content.
+A block that occurs once in the whole corpus settles its document: no other text can equal it, and it needs no name. So a hash count of 16-byte rows first tells which blocks may recur, and only those are sorted by content; only texts that some other text equals get a name of the whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, drop_cut, join_groups, lower_ascii
@@ -22,31 +22,48 @@ def _settled(rows: DataFrame) -> DataFrame:
 
 
 def _named(rows: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
-    """rows (row, blocks, pos, keys) with the integer name of each recurrent key: keys sorted by hash, then content, numbered upwards. (Ranges are cut by the hash alone, so that no contents are sampled to the driver.)"""
+    """rows (row, blocks, pos, keys) with the integer name of each recurrent key: keys sorted by hash, then content, numbered upwards from 0. (Ranges are cut by the hash alone, so that no contents are sampled to the driver.)"""
     recurrent = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("kh", F.xxhash64(*keys))
-    names = cut(recurrent.repartitionByRange("kh").sortWithinPartitions("kh", *keys).drop("kh").withColumn("name", F.monotonically_increasing_id()))
+    at = cut(recurrent.repartitionByRange("kh").sortWithinPartitions("kh", *keys).drop("kh").withColumn("at", F.monotonically_increasing_id()))
+    # (range, place in it) to a number: the ranges before it, one row each, tell where it begins
+    range_ = F.shiftright("at", 33)
+    begins = at.groupBy(range_.alias("range")).agg(F.count(F.lit(1)).alias("c")).withColumn("begin", F.sum("c").over(Window.orderBy("range")) - F.col("c"))
+    names = at.join(F.broadcast(begins.select("range", "begin")), range_ == F.col("range")).withColumn("name", F.col("begin") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "range", "begin")
     return cut(_settled(join_groups(rows, names, keys, n_rows).select("row", "blocks", "pos", "name")))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _slim(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> DataFrame:
+    """(row, text_sha256, bhs: a 64-bit hash of each block) of each document, as a cut table, so that the texts are hashed once."""
+    text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.length("t") / block_chars)).cast("int")
+    each = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64(F.substring(F.col("t"), i * block_chars + 1, F.lit(block_chars))))
+    return cut(base.select(F.struct("id", F.xxhash64("t").alias("h")).alias("row"), F.sha2("t", 256).alias("text_sha256"), each.alias("bhs")))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, slim: DataFrame | None = None) -> DataFrame:
     """Texts that some other text equals (A-Z lower-cased, null as empty): (row, name), equal names for equal texts.
 
     row is the struct (id, 64-bit text hash) that stands for a document, so rows that repeat an id with another text stay apart, and rows that repeat an id and its text are one. Null ids are an id of their own. Empty table: empty result. Only the two named columns are read.
     """
-    text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"))
-    base = base.select(F.struct("id", F.xxhash64("t").alias("h")).alias("row"), "t", F.greatest(F.lit(1), F.ceil(F.length("t") / block_chars)).cast("int").alias("blocks"))
-    blocks = base.select("row", "blocks", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.substring(F.col("t"), i * block_chars + 1, F.lit(block_chars)))).alias("pos", "block"))
+    slim = _slim(docs, id_col, text_col, block_chars) if slim is None else slim
 
     # which blocks may recur at their place, by 64-bit hashes: a superset of the truth
-    slim = blocks.select("row", "blocks", "pos", F.xxhash64("block").alias("bh")).distinct()
+    hashes = slim.select("row", F.size("bhs").alias("blocks"), F.posexplode("bhs").alias("pos", "bh")).distinct()
     keys = ["blocks", "pos", "bh"]
-    again = cut(slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    hashes = cut(hashes)
+    again = cut(hashes.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     n_rows, width = (x or 0 for x in again.agg(F.sum("size"), F.max("blocks")).first())
-    maybe = _settled(join_groups(slim, again, keys, n_rows).drop("size")).select("row").distinct()
+    maybe = cut(_settled(join_groups(hashes, again, keys, n_rows).drop("size")).select("row").distinct())
+
+    text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"))
+    base = base.select(F.struct("id", F.xxhash64("t").alias("h")).alias("row"), "t", F.greatest(F.lit(1), F.ceil(F.length("t") / block_chars)).cast("int").alias("blocks"))
+    twins = base.join(maybe, "row", "left_semi").dropDuplicates(["row"])
+    blocks = twins.select("row", "blocks", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.substring(F.col("t"), i * block_chars + 1, F.lit(block_chars)))).alias("pos", "block"))
 
     # round 0 names contents, the others names of adjacent pairs; an odd last name is paired with -1
-    level = _named(cut(blocks.join(maybe, "row", "left_semi").dropDuplicates(["row", "pos"])), ["block"], n_rows)
+    level = _named(cut(blocks), ["block"], n_rows)
     while width > 1:
         half = F.floor(F.col("pos") / 2).cast("int").alias("pos")
         side = lambda k: F.coalesce(F.max(F.when(F.col("pos") % 2 == k, F.col("name"))), F.lit(-1))
@@ -58,24 +75,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per input row: id, keep_id, group_size (rows), kept, text_sha256 of the normalised text. Of equal texts the row with the largest id stays.
+    """One row per input row: id, th (64-bit hash of the normalised text), keep_id, group_size (rows), kept, text_sha256 of the normalised text. Of equal texts the row with the largest id stays.
 
     Null text counts as empty; an empty table gives an empty result; rows that repeat an id and its text count in group_size and share one verdict; a null id stays only if no equal text has an id.
     """
-    text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t")).select("id", F.xxhash64("t").alias("h"), F.sha2("t", 256).alias("text_sha256"))
-    each = slim.groupBy("id", "h", "text_sha256").agg(F.count(F.lit(1)).alias("times")).withColumn("row", F.struct("id", "h"))
-    named = cut(each.join(exact_groups(docs, id_col, text_col, block_chars), "row", "left").drop("row"))
+    slim = _slim(docs, id_col, text_col, block_chars)
+    each = slim.groupBy("row", "text_sha256").agg(F.count(F.lit(1)).alias("times"))
+    named = cut(each.join(exact_groups(docs, id_col, text_col, block_chars, slim), "row", "left"))
     twins = named.where("name IS NOT NULL")
-    groups = cut(twins.groupBy("name").agg(F.sum("times").alias("size"), F.max("id").alias("keep_id")))
+    groups = cut(twins.groupBy("name").agg(F.sum("times").alias("size"), F.max("row.id").alias("keep_id")))
     n_rows = groups.agg(F.sum("size")).first()[0] or 0
-    alone = named.where("name IS NULL").withColumns({"size": F.col("times"), "keep_id": F.col("id")})
+    alone = named.where("name IS NULL").withColumns({"size": F.col("times"), "keep_id": F.col("row.id")})
     out = join_groups(twins, groups, ["name"], n_rows).unionByName(alone).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return out.select(F.col("id").alias(id_col), "keep_id", F.col("size").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select(F.col("row.id").alias(id_col), F.col("row.h").alias("th"), "keep_id", F.col("size").cast("long").alias("group_size"), F.col("row.id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("th")
 
 
 OP5_SQL = """

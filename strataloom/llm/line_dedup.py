@@ -1,24 +1,24 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard verification, distributed union-find.
 
-A line is compared without A-Z case and without the white space at its ends. Its character shingles are dealt into BINS bins by hash (one-permutation MinHash, empty bins filled by rotation); BANDS bands of ROWS bins make its keys. A pair at the threshold shares a key with a chance of 1 - 0.59 ** 14 > 0.999 and two keys with one of 0.993 (at 0.85, 0.9995); two are asked for, since one alone joins unlike lines into clusters that grow with the corpus. The lines of a key with over FEW lines are joined without that, so no key is capped. The blocked product compares a cluster's lines exactly. Of each component the first line, by document and place, stays.
+A line is compared without A-Z case and without the white space at its ends. Its character shingles are dealt into BINS bins by hash (one-permutation MinHash; empty bins are filled by dealing the shingles again); BANDS bands of ROWS bins make its keys, the bins of a band standing far apart so that one shingle of a short line does not fill a band. Two lines that share a key are compared: at a similarity of 0.8 that has a chance of 1 - (1 - 0.8 ** 5) ** 14 = 0.996, at 0.85 of 0.9996. The blocked product compares the lines of a cluster exactly, whatever its size. Of each component the first line, by document and place, stays.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .product import linked_pairs, with_tasks
+from .buckets import SCHEMA, collapsed, star_edges
+from .product import linked_components
 from .shared import components, cut, join_groups
 
-CHARS, NUM, DEN = 7, 80, 100  # bytes of a shingle, threshold
-BANDS, ROWS = 14, 4
+CHARS, NUM, DEN = 7, 80, 100  # bytes of a shingle (7 at most, so that shingles are compared as they are), threshold
+BANDS, ROWS = 14, 5
 BINS = BANDS * ROWS
-SHARED = 2  # keys that a pair shares to be compared
-FEW = 24  # distinct lines of a key that are met pair by pair; those of a larger key are met through its first line, whatever else they share
-TYPICAL_GRAMS = 200  # shingles that a line of a large cluster counts as when it is dealt into blocks
+DEALS = 6  # of the shingles into bins, while bins are empty
+SLICE_BYTES, SLICE_LINES = 1 << 18, 4096  # what is hashed at a time
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray):
@@ -32,179 +32,150 @@ def line_spans(data: np.ndarray, offsets: np.ndarray):
     ends = np.append(starts[1:], len(data)) if len(starts) else starts
     first = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.zeros(0, bool)
     number = np.arange(len(doc)) - np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0)) if len(doc) else doc
-    inside = np.concatenate([[0], np.cumsum(~vec.SPACE[data])])
-    some = inside[ends] > inside[starts]
-    starts, ends, doc, number = starts[some], ends[some], doc[some], number[some]
-    where = np.flatnonzero(~vec.SPACE[data])
-    return where[inside[starts]], where[inside[ends] - 1] + 1, doc, number
+    starts, ends = vec.trimmed(starts, ends, ~vec.SPACE[data])
+    some = starts < ends
+    some[some] = ~vec.SPACE[data[starts[some]]]
+    return starts[some], ends[some], doc[some], number[some]
 
 
-def line_grams(values, starts, ends):
-    """(line, hash) of the distinct character shingles of each line; a shorter line is one shingle."""
+def line_grams(data, starts, ends):
+    """(line, shingle) of the character shingles of each line; a shorter line is one shingle."""
     count = np.maximum(ends - starts - CHARS + 1, 1)
     line = np.repeat(np.arange(len(starts)), count)
-    at = starts[line] + np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
-    return line, vec.span_hash(values, at, np.minimum(at + CHARS, ends[line]))
+    at = np.repeat(starts - np.cumsum(count) + count, count) + np.arange(len(line))
+    return line, vec.short_grams(data, at, np.minimum(ends[line] - at, CHARS))
 
 
 def band_keys(line, grams, n: int) -> np.ndarray:
-    """BANDS keys of each of n lines."""
-    g = vec.mix(grams, 41)
-    low = np.full(n * BINS, ~vec.U(0))
-    np.minimum.at(low, line * BINS + ((g >> vec.U(40)) * vec.U(BINS) >> vec.U(24)).astype(np.int64), g & vec.U((1 << 40) - 1))
-    low = low.reshape(n, BINS)
+    """BANDS keys of each of n lines. line is in order."""
+    low = np.full((n, BINS), ~vec.U(0))
+    todo = np.arange(n)  # lines with empty bins: their shingles are dealt again, by another hash, and fill only those
+    for deal in range(DEALS):
+        g = vec.mix(grams, 41 + deal)
+        part = np.full(len(todo) * BINS, ~vec.U(0))
+        np.minimum.at(part, line * BINS + ((g >> vec.U(40)) * vec.U(BINS) >> vec.U(24)).astype(np.int64), (g & vec.U((1 << 40) - 1)) + vec.U(deal << 40))
+        low[todo] = np.minimum(low[todo], part.reshape(-1, BINS))
+        left = (low[todo] == ~vec.U(0)).any(axis=1)
+        if not left.any():
+            break
+        todo, used = todo[left], left[line]
+        line, grams = (np.cumsum(left) - 1)[line[used]], grams[used]
     empty = low == ~vec.U(0)
-    place = np.where(empty, 2 * BINS, np.arange(BINS))  # the next filled bin, around the end
+    place = np.where(empty, 2 * BINS, np.arange(BINS))  # at last the next filled bin, around the end
     twice = np.minimum.accumulate(np.concatenate([place, place + BINS], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :BINS]
     filled = np.take_along_axis(low, twice % BINS, axis=1) + (twice - np.arange(BINS)).astype(vec.U) * vec.U(0x9E3779B97F4A7C15)
     acc = np.zeros((n, BANDS), vec.U)
     for r in range(ROWS):
-        acc = vec.mix(acc * vec.U(0xD6E8FEB86659FD93) + filled[:, r::ROWS])
+        acc = vec.mix(acc * vec.PAIR + filled[:, r * BANDS : (r + 1) * BANDS])
     return vec.mix(acc + np.arange(BANDS, dtype=vec.U), 42)
 
 
+def keys_of(data, starts, ends) -> np.ndarray:
+    """band_keys of lines, SLICE_LINES lines or about SLICE_BYTES bytes (or one long line) at a time."""
+    upto = np.cumsum(ends - starts)
+    out, i = [np.zeros((0, BANDS), vec.U)], 0
+    while i < len(starts):
+        j = max(i + 1, min(i + SLICE_LINES, int(np.searchsorted(upto, upto[i] + SLICE_BYTES))))
+        out.append(band_keys(*line_grams(data, starts[i:j], ends[i:j]), j - i))
+        i = j
+    return np.concatenate(out)
+
+
 def _lines(batches):
-    """(id, th, no, lh) of each line."""
+    """(id, th, no, lh, lh2) of each line; lh and lh2 together are a line's identity."""
     import pyarrow as pa
 
-    for part, data, offsets in vec.pieces(batches):
+    for part, data, offsets in vec.pieces(batches, most=SLICE_BYTES):
         s, e, doc, no = line_spans(data, offsets)
         if len(s):
-            lh = vec.span_hash(vec.prefix_hash(vec.BYTE[vec.LOWER[data]]), s, e)
-            at = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("th").take(at), pa.array(no.astype(np.int32)), pa.array(lh.view(np.int64))], names=["id", "th", "no", "lh"])
+            low, at = vec.LOWER[data], pa.array(doc)
+            both = (pa.array(vec.span_hash(low, s, e, salt).view(np.int64)) for salt in (0, 8))
+            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("th").take(at), pa.array(no.astype(np.int32)), *both], names=["id", "th", "no", "lh", "lh2"])
 
 
 def _entries(batches):
-    """(key, node) of each distinct line of a slice, the node being its hash."""
-    import pyarrow as pa
+    """Collapsed (key, node) of the lines, the node being lh (a chance match of 64 bits only adds a candidate)."""
 
-    for _, data, offsets in vec.pieces(batches):
-        s, e, _, _ = line_spans(data, offsets)
-        if not len(s):
-            continue
-        values = vec.prefix_hash(vec.BYTE[vec.LOWER[data]])
-        lh, first = np.unique(vec.span_hash(values, s, e), return_index=True)
-        keys = band_keys(*line_grams(values, s[first], e[first]), len(first))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(lh, BANDS).view(np.int64))], names=["key", "node"])
+    def blocks():
+        for _, data, offsets in vec.pieces(batches, most=SLICE_BYTES):
+            s, e, _, _ = line_spans(data, offsets)
+            if len(s):
+                low = vec.LOWER[data]
+                lh, first = np.unique(vec.span_hash(low, s, e), return_index=True)
+                yield keys_of(low, s[first], e[first]).ravel().view(np.int64), np.repeat(lh, BANDS).view(np.int64)
 
+    yield from collapsed(blocks())
 
-def _candidates(batches):
-    """Of rows (key, node) sorted by both: each pair of a key with up to FEW lines (kind 0), and for larger keys an edge from each line to the first (kind 1). Holds at most FEW + 1 lines between rows."""
-    import pyarrow as pa
 
-    def flush():
-        if big or len(held) < 2:
-            return
-        i, j = np.triu_indices(len(held), 1)
-        h = np.array(held)
-        out.append((h[i], h[j], np.zeros(len(i), np.int32)))
-
-    def batch_out():
-        a, b, kind = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(kind)], names=["a", "b", "kind"])
-
-    key, held, big, out = None, [], False, []
-    for batch in batches:
-        k, lh = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-        if not len(k):
-            continue
-        new = np.append(True, (k[1:] != k[:-1]) | (lh[1:] != lh[:-1]))
-        k, lh = k[new], lh[new]
-        start = np.append(True, k[1:] != k[:-1])
-        bounds = np.append(np.flatnonzero(start), len(k))
-        size = np.diff(bounds)
-        # keys of one line inside the batch need no loop; its first and last key may go on in a neighbour batch
-        for r in np.unique(np.concatenate([[0], np.flatnonzero(size > 1), [len(size) - 1]])):
-            i, j = int(bounds[r]), int(bounds[r + 1])
-            if k[i] != key:
-                flush()
-                key, held, big = k[i], [], False
-            lines = lh[i:j]
-            if held and lines[0] == held[-1]:
-                lines = lines[1:]
-            if not big and len(held) + len(lines) <= FEW:
-                held += lines.tolist()
-                continue
-            first = held[0] if held else lines[0]
-            rest = lines if big else np.array(held + lines.tolist())
-            rest = rest[rest != first]
-            out.append((rest, np.full(len(rest), first), np.ones(len(rest), np.int32)))
-            held, big = [first], True
-        if out:
-            yield batch_out()
-            out = []
-    flush()
-    if out:
-        yield batch_out()
-
-
-def _texts(batches):
-    """The lines listed in `at` (no, lh, tasks), lower-cased."""
+def _contents(batches):
+    """The lines listed in `at` (no, lh, lh2, cluster), lower-cased, each with the number of its distinct shingles."""
     import pyarrow as pa
 
-    for part, data, offsets in vec.pieces(batches):
+    names = ("cluster", "lh", "lh2", "n", "grams")
+    for part, data, offsets in vec.pieces(batches, most=SLICE_BYTES):
         s, e, doc, no = line_spans(data, offsets)
-        low = vec.LOWER[data].tobytes()
+        low = vec.LOWER[data]
+        raw = low.tobytes()
         index = {(d, n): i for i, (d, n) in enumerate(zip(doc.tolist(), no.tolist(), strict=True))}
-        nodes, tasks, lines = [], [], []
-        for d, at in enumerate(part.column("at").to_pylist()):
-            for x in at:
-                i = index[d, x["no"]]
-                nodes.append(x["lh"])
-                tasks.append(x["tasks"])
-                lines.append(low[s[i] : e[i]])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tasks, pa.list_(pa.int64())), pa.array(lines, pa.binary())], names=["node", "tasks", "grams"])
+        rows = [(x["cluster"], x["lh"], x["lh2"], index[d, x["no"]]) for d, at in enumerate(part.column("at").to_pylist()) for x in at]
+        if rows:
+            which = np.array([r[3] for r in rows])
+            n = [len(grams_of(raw[i:j])) for i, j in zip(s[which].tolist(), e[which].tolist(), strict=True)]
+            lines = [raw[i:j] for i, j in zip(s[which].tolist(), e[which].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array(n, pa.int64()), pa.array(lines, pa.binary())], names=names)
 
 
 def grams_of(line: bytes) -> np.ndarray:
     """Distinct shingles of a line."""
     data = np.frombuffer(line, np.uint8)
-    return np.unique(line_grams(vec.prefix_hash(vec.BYTE[data]), np.zeros(1, np.int64), np.full(1, len(data)))[1])
+    return np.unique(line_grams(data, np.zeros(1, np.int64), np.full(1, len(data)))[1]).view(np.int64)
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _same_doc(a: str, b: str) -> Column:
+    return (F.col(f"{a}.th") == F.col(f"{b}.th")) & F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id"))
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
-    """One row a line of docs (doc_id, text): id, th (hash of the text), no, cid (equal for lines of one component), kept.
+    """One row a line of docs (doc_id, text): id, th (hash of the text), no, cid (the identity of one line of its component), kept.
 
     Null and empty texts and blank lines have no row. Rows that repeat an id and its text are one document; lines of equal normalised text are equal whatever their case. Null ids stand before others. An empty table gives an empty result. Other columns are not read.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    lines = cut(rows.mapInArrow(_lines, "id long, th long, no int, lh long"))
-    entries = rows.select("text").mapInArrow(_entries, "key long, node long")
-    met = entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "a long, b long, kind int")
-    edges = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"), F.max("kind").alias("kind")).where((F.col("keys") >= SHARED) | (F.col("kind") == 1)).select("a", "b")
-    cluster = components(edges).select("node", F.col("root").alias("cluster"), F.lit(TYPICAL_GRAMS).alias("n"))
-    tasks = cut(with_tasks(cluster, NUM, DEN).select(F.col("node").alias("lh"), "tasks"))
-    rep = lines.groupBy("lh").agg(F.min(F.struct("id", "th", "no")).alias("r"))
-    at = tasks.join(rep, "lh").select("r.id", "r.th", F.struct("r.no", "lh", "tasks").alias("x")).groupBy("id", "th").agg(F.collect_list("x").alias("at"))
-    same = (F.col("d.th") == F.col("a.th")) & F.col("d.id").eqNullSafe(F.col("a.id"))
-    picked = rows.alias("d").join(at.alias("a").hint("merge"), same).select("text", "at")
-    linked = components(linked_pairs(picked.mapInArrow(_texts, "node long, tasks array<long>, grams binary"), NUM, DEN, grams_of))
-    known = lines.join(linked.withColumnRenamed("node", "lh"), "lh", "left").select("id", "th", "no", F.coalesce("root", "lh").alias("cid"))
-    known = cut(known.distinct())
+    rows = _base(docs)
+    lines = cut(rows.mapInArrow(_lines, "id long, th long, no int, lh long, lh2 long").distinct())
+    clusters = components(star_edges(rows.select("text").mapInArrow(_entries, SCHEMA))).select(F.col("node").alias("lh"), F.col("root").alias("cluster"))
+    rep = lines.groupBy("lh", "lh2").agg(F.min(F.struct("id", "th", "no")).alias("r"), F.count(F.lit(1)).alias("size"))
+    rep = cut(rep.join(clusters, "lh"))
+    at = rep.select("r.id", "r.th", F.struct("r.no", "lh", "lh2", "cluster").alias("x")).groupBy("id", "th").agg(F.collect_list("x").alias("at"))
+    picked = rows.alias("d").join(at.alias("a").hint("merge"), _same_doc("d", "a")).select("text", "at").mapInArrow(_contents, "cluster long, lh long, lh2 long, n long, grams binary")
+    # rows that repeat an id and its text give a line twice
+    contents = cut(picked.dropDuplicates(["lh", "lh2"]).withColumn("node", F.monotonically_increasing_id()))
+    linked = linked_components(contents, NUM, DEN, grams_of)
+    name = contents.select("node", "lh", "lh2")
+    roots = linked.join(name, "node").join(name.select(F.col("node").alias("root"), F.struct("lh", "lh2").alias("cid")), "root")
+    classes = cut(roots.select("lh", "lh2", "cid").join(rep.select("lh", "lh2", "size"), ["lh", "lh2"]))
+    n = lines.count()
+    known = cut(join_groups(lines, classes, ["lh", "lh2"], n, how="left").select("id", "th", "no", F.coalesce("cid", F.struct("lh", "lh2")).alias("cid")))
     groups = cut(known.groupBy("cid").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"))
-    n = groups.agg(F.sum("size")).first()[0] or 0
-    dropped = join_groups(known, groups, ["cid"], n).where(~F.struct("id", "th", "no").eqNullSafe(F.col("first"))).select("id", "th", "no", "cid", F.lit(False).alias("kept"))
-    keys = [F.col(f"k.{c}").eqNullSafe(F.col(f"x.{c}")) if c == "id" else F.col(f"k.{c}") == F.col(f"x.{c}") for c in ("id", "th", "no")]
-    return known.alias("k").join(dropped.alias("x"), keys, "left").select("k.id", "k.th", "k.no", "k.cid", F.col("x.kept").isNull().alias("kept"))
+    kept = F.col("first").isNull() | F.struct("id", "th", "no").eqNullSafe(F.col("first"))
+    return join_groups(known, groups, ["cid"], n, how="left").select("id", "th", "no", "cid", kept.alias("kept"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with the dropped lines taken out: doc_id, text; a text all of whose lines go is empty, a null text stays null."""
     gone = line_classes(docs).where("NOT kept").groupBy("id", "th").agg(F.collect_set("no").alias("gone"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", "text", F.xxhash64(text).alias("t"))
-    same = (F.col("d.t") == F.col("g.th")) & F.col("d.doc_id").eqNullSafe(F.col("g.id"))
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"))
     kept = F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i.cast("int"))))
-    return rows.alias("d").join(gone.alias("g"), same, "left").select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"))
+    return rows.alias("d").join(gone.alias("g"), _same_doc("d", "g"), "left").select(F.col("d.id").alias("doc_id"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: its lines that are not blank, those dropped, and their numbers (from 0, blank lines counted)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.coalesce(F.col("text"), F.lit(""))
     each = line_classes(docs).groupBy("id", "th").agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("no")))).alias("dropped"))
-    rows = docs.select(F.col("doc_id"), F.xxhash64(text).alias("t"))
-    same = (F.col("d.t") == F.col("g.th")) & F.col("d.doc_id").eqNullSafe(F.col("g.id"))
-    return rows.alias("d").join(each.alias("g"), same, "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    rows = _base(docs).drop("text")
+    return rows.alias("d").join(each.alias("g"), _same_doc("d", "g"), "left").select(F.col("d.id").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))

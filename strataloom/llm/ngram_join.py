@@ -1,6 +1,8 @@
 """N-gram Jaccard join of documents, as a blocked sparse matrix product.
 
 A document is a row of the incidence matrix, its distinct word n-grams the columns. Equal rows are one row. The columns are cut into blocks whose number follows from the size: a pair that reaches the threshold differs in at most (den - num) / (den + num) * (a + b) columns, so with one block more than that it agrees on a whole block. Rows that agree on a block form candidate clusters; the product (product.py) accumulates overlap counts inside each and drops pairs below the size-derived bound. What a very frequent n-gram or passage costs is bounded: it alone makes no candidate.
+
+Two rows may agree on a block only because both have no n-gram in it. Such a block makes no key; a row that has one also gets the first n-grams of its set, by hash, as keys: as many as any row that reaches the threshold with it must share one of. So no link is lost.
 """
 
 from __future__ import annotations
@@ -10,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .product import linked_pairs, with_tasks
-from .shared import components, cut, drop_cut
+from .buckets import SCHEMA, of_lists, star_edges
+from .product import linked_components
+from .shared import components, cut, join_groups
 
 WORDS, NUM, DEN = 3, 90, 100
 
@@ -24,19 +27,21 @@ def _level_table(num: int, den: int, most: int) -> np.ndarray:
     return np.array(sizes + [sizes[-1] * den // num + 1])
 
 
-def set_keys(doc: np.ndarray, grams: np.ndarray, n_docs: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the sets (doc, grams; sorted by doc): size and name of each document's set, and (document, key) for each of its column blocks.
+def set_keys(doc: np.ndarray, grams: np.ndarray, n_docs: int, num: int, den: int):
+    """For the sets (doc, grams; sorted by both): size and two names (128 bits) of each document's set, and (document, key) for its column blocks.
 
-    A document of size class i takes part in the block sets i and i - 1, each for sizes of two adjacent classes. Blocks of fewer than 3 grams are left out where there are over 16 blocks: the blocks are random, and a pair at the threshold agrees on a third of them (on less with a chance below 1e-9).
+    A document of size class i takes part in the block sets i and i - 1, each for sizes of two adjacent classes.
     """
     size = np.bincount(doc, minlength=n_docs)
-    name = np.zeros(n_docs, vec.U)
-    np.add.at(name, doc, vec.mix(grams, 1))
-    name = vec.mix(name + size.astype(vec.U))
+    names = []
+    for salt in (1, 6):
+        name = np.zeros(n_docs, vec.U)
+        np.add.at(name, doc, vec.mix(grams, salt))
+        names.append(vec.mix(name + size.astype(vec.U)))
     table = _level_table(num, den, int(size.max(initial=1)))
     cls = np.searchsorted(table, np.maximum(size, 1), side="right") - 1
     deal, part = vec.mix(grams, 2) >> vec.U(32), vec.mix(grams, 3)
-    docs, keys = [], []
+    docs, keys, bare = [], [], np.zeros(n_docs, bool)
     for j in (cls, cls - 1):
         most = table[np.minimum(j + 2, len(table) - 1)] - 1  # largest size in class j + 1
         k = (den - num) * 2 * most // (den + num) + 1
@@ -46,13 +51,24 @@ def set_keys(doc: np.ndarray, grams: np.ndarray, n_docs: int, num: int, den: int
         at = base[doc[use]] + ((deal[use] * k[doc[use]].astype(vec.U)) >> vec.U(32)).astype(np.int64)
         total = np.zeros(int(k.sum()), vec.U)
         np.add.at(total, at, part[use])
-        held = np.bincount(at, minlength=len(total))
+        held = np.bincount(at, minlength=len(total)) > 0
         owner = np.repeat(np.arange(n_docs), k)
         block = np.arange(len(total)) - np.repeat(base, k)
-        ok = (held >= 3) | (k[owner] <= 16)
-        docs.append(owner[ok])
-        keys.append(vec.mix(vec.mix(total[ok] + block[ok].astype(vec.U)) + j[owner[ok]].astype(vec.U), 4))
-    return size, name, np.concatenate(docs), np.concatenate(keys)
+        bare[owner[~held]] = True
+        docs.append(owner[held])
+        keys.append(vec.mix(vec.mix(total[held] + block[held].astype(vec.U)) + j[owner[held]].astype(vec.U), 4))
+    if bare.any():
+        # sets that reach the threshold share num / den of the larger one, hence one of the first n - ceil(n * num / den) + 1 grams of each
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+        first = bare[doc] & (place <= size[doc] - -(-size[doc] * num // den))
+        docs.append(doc[first])
+        keys.append(vec.mix(grams[first], 5))
+    return size, *names, np.concatenate(docs), np.concatenate(keys)
+
+
+def _sets(part, data, offsets, k_words: int):
+    starts, ends, doc = vec.words(data, offsets)
+    return vec.shingles(vec.word_hashes(data, starts, ends), doc, k_words, part.num_rows)
 
 
 def _signatures(k_words: int, num: int, den: int):
@@ -60,13 +76,11 @@ def _signatures(k_words: int, num: int, den: int):
         import pyarrow as pa
 
         for part, data, offsets in vec.pieces(batches):
-            starts, ends, doc = vec.words(data, offsets)
-            doc, grams = vec.shingles(vec.word_hashes(data, starts, ends), doc, k_words, part.num_rows)
-            size, name, owner, keys = set_keys(doc, grams, part.num_rows, num, den)
+            size, n1, n2, owner, keys = set_keys(*_sets(part, data, offsets, k_words), part.num_rows, num, den)
             order = np.argsort(owner, kind="stable")
             bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))])
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(name.view(np.int64)), lists], names=["doc_id", "n", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(size), *(pa.array(x.view(np.int64)) for x in (n1, n2)), lists], names=["id", "th", "n", "n1", "n2", "keys"])
 
     return run
 
@@ -76,61 +90,38 @@ def _grams(k_words: int):
         import pyarrow as pa
 
         for part, data, offsets in vec.pieces(batches):
-            starts, ends, doc = vec.words(data, offsets)
-            doc, grams = vec.shingles(vec.word_hashes(data, starts, ends), doc, k_words, part.num_rows)
+            doc, grams = _sets(part, data, offsets, k_words)
             bounds = 8 * np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=part.num_rows))])
-            sets = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(grams.tobytes())])
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("tasks"), sets], names=["node", "tasks", "grams"])
+            sets = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(grams.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "node", "n")), sets], names=["cluster", "node", "n", "grams"])
 
     return run
 
 
-def _same_key(batches):
-    """Of rows (key, node) sorted by key, an edge from each node to the first of its key. Holds one row between batches."""
-    import pyarrow as pa
-
-    last_key = last_first = None
-    for batch in batches:
-        key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-        if not len(key):
-            continue
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        new[0] = last_key is None or key[0] != last_key
-        first = np.where(new, node, 0)
-        run = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        first = np.where(run >= 0, node[np.maximum(run, 0)], last_first if last_first is not None else 0)
-        last_key, last_first = key[-1], first[-1]
-        differ = first != node
-        pairs = np.unique(np.stack([node[differ], first[differ]]), axis=1)
-        if pairs.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-
-def candidate_edges(entries: DataFrame) -> DataFrame:
-    """entries (key, node): edges that connect the nodes of each key."""
-    return entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_same_key, "a long, b long").distinct()
-
-
 def jaccard_components(docs: DataFrame, k_words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row per input row of docs (doc_id, text): doc_id, n_shingles, component_id.
+    """One row per input row of docs (doc_id, text): doc_id, n_shingles, component_id, th (hash of the text).
 
-    Words are the runs without white space, A-Z lower-cased; two documents link when den * |A and B| >= num * |A or B|; component_id is the least doc_id reachable by links. A document without words (null, empty, white space) is linked with nothing, itself its component; one with fewer than k_words words has its whole sequence as its one n-gram. Rows that repeat an id are rows of one document. A null id has its component's least id, null if none. Empty table: empty result. Columns beside doc_id and text are not read.
+    Words are the runs without white space, A-Z lower-cased; two documents link when den * |A and B| >= num * |A or B|; component_id is the least doc_id reachable by links. A document without words (null, empty, white space) is linked with nothing, itself its component; one with fewer than k_words words has its whole sequence as its one n-gram. Rows that repeat an id with other texts are judged each. A null id has its component's least id, null if none. Empty table: empty result. Columns beside doc_id and text are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows = cut(docs.mapInArrow(_signatures(k_words, num, den), "doc_id long, n long, node long, keys array<long>"))
-    entries = rows.where("n > 0").select(F.explode("keys").alias("key"), "node")
-    clusters = components(candidate_edges(entries)).withColumnRenamed("root", "cluster")
-    reps = cut(rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n")).alias("x")).select("node", "x.doc_id", "x.n"))
-    members = cut(with_tasks(reps.join(clusters, "node"), num, den))
-    picked = docs.withColumnRenamed("doc_id", "id").join(members.select(F.col("doc_id").alias("id"), "node", "tasks").hint("merge"), "id").select("node", "tasks", "text")
-    edges = linked_pairs(picked.mapInArrow(_grams(k_words), "node long, tasks array<long>, grams binary"), num, den)
-    linked = components(edges)
-    of = linked.join(reps, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    known = reps.join(linked, "node", "left").join(of, "root", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return out.join(known, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    rows = cut(docs.mapInArrow(_signatures(k_words, num, den), "id long, th long, n long, n1 long, n2 long, keys array<long>"))
+    some = rows.where("n > 0").groupBy("n1", "n2").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("x"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("size"))
+    reps = cut(some.select("n1", "n2", "x.id", "x.th", "n", "keys", "size", F.monotonically_increasing_id().alias("node")))
+    clusters = components(star_edges(reps.select("node", "keys").mapInArrow(of_lists, SCHEMA))).withColumnRenamed("root", "cluster")
+    wanted = reps.select("node", "id", "th", "n").join(clusters, "node")
+    same = (F.col("d.th") == F.col("w.th")) & F.col("d.id").eqNullSafe(F.col("w.id"))
+    picked = docs.alias("d").join(wanted.alias("w").hint("merge"), same).select("cluster", "node", "n", "text").mapInArrow(_grams(k_words), "cluster long, node long, n long, grams binary")
+    # rows that repeat an id and its text are fetched twice
+    contents = cut(picked.dropDuplicates(["node"]))
+    linked = cut(linked_components(contents, num, den).join(reps.select("node", "id"), "node"))
+    of = linked.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    of_node = join_groups(linked, cut(of), ["root"], linked.count()).select("node", "component_id")
+    known = cut(reps.join(of_node, "node", "left").select("n1", "n2", "size", F.coalesce("component_id", "id").alias("component_id")))
+    out = rows.drop("keys").withColumns({c: F.when(F.col("n") > 0, F.col(c)) for c in ("n1", "n2")})
+    out = join_groups(out, known, ["n1", "n2"], rows.count(), how="left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "th")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("th")

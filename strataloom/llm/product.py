@@ -1,6 +1,8 @@
 """Blocked sparse matrix product of a row-by-gram incidence with itself, inside clusters of candidate rows.
 
-Rows of a cluster are dealt into blocks (by size class, then by hash). A task holds two blocks, accumulates overlap counts over blocks of columns, drops pairs whose bound falls below the overlap that their sizes ask for, and returns a spanning forest of the pairs that reach it. No row per pair is made.
+A small cluster is one task. The rows of a larger one are dealt into blocks (by size class, then by hash), and the work is done in two passes. The first multiplies each block with itself and with one row of each size class, which links nearly all rows of a group of near copies at a cost linear in the group. The second multiplies the pairs of blocks whose rows the first has not brought into one component: rows of the cluster's largest component are not met with each other again.
+
+A task holds two blocks at most, accumulates overlap counts over blocks of columns, drops pairs whose bound falls below the overlap that their sizes ask for, and returns a spanning forest of the pairs that reach it. No row per pair is made.
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .shared import components, cut, join_groups
 
 BLOCK_ROWS = 1024
-BLOCK_GRAMS = 1 << 20
+BLOCK_GRAMS = 1 << 19
 COLUMNS = 2048
 DENSE_ROWS = 64  # more rows than that: columns of few rows are multiplied pair by pair, the others densely
 
@@ -24,27 +27,54 @@ def level(n, num: int, den: int):
     return F.floor(F.log(n.cast("double")) / (math.log(den / num) * 1.0001)).cast("int")
 
 
-def with_tasks(members: DataFrame, num: int, den: int) -> DataFrame:
-    """members (cluster, node, n, ...) with `tasks`, the block pairs that each row takes part in. A small cluster is one task."""
-    lv = members.withColumn("lv", level(F.col("n"), num, den))
-    sizes = lv.groupBy("cluster", "lv").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
-    total = sizes.groupBy("cluster").agg(F.sum("c").alias("tc"), F.sum("w").alias("tw"))
-    blocks = sizes.select("cluster", "lv", F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("w") / BLOCK_GRAMS)).cast("int").alias("nb"))
-    next_, prev = (blocks.select("cluster", (F.col("lv") + d).alias("lv"), F.col("nb").alias(name)) for d, name in ((-1, "nb_next"), (1, "nb_prev")))
-    plan = total.join(blocks, "cluster").join(next_, ["cluster", "lv"], "left").join(prev, ["cluster", "lv"], "left")
-    rows = lv.join(plan, ["cluster", "lv"]).withColumn("blk", F.pmod(F.xxhash64("node", F.lit(11)), F.col("nb")).cast("int"))
-
-    def other(count: str, step: int):
-        def task(b2):
-            mine, theirs = F.struct(F.col("lv").alias("l"), F.col("blk").alias("b")), F.struct((F.col("lv") + step).alias("l"), b2.alias("b"))
-            return F.xxhash64("cluster", F.least(mine, theirs), F.greatest(mine, theirs))
-
-        n = F.coalesce(F.col(count), F.lit(0))
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), task)).otherwise(F.array().cast("array<long>"))
-
-    small = (F.col("tc") <= 128) & (F.col("tw") <= BLOCK_GRAMS)
-    tasks = F.when(small, F.array(F.xxhash64("cluster"))).otherwise(F.concat(other("nb", 0), other("nb_next", 1), other("nb_prev", -1)))
-    return rows.withColumn("tasks", tasks).drop("lv", "tc", "tw", "nb", "nb_next", "nb_prev", "blk")
+def _plan(rows: DataFrame) -> DataFrame:
+    """Of rows (cluster, lv, part, n, node): per cluster its rows (size) and grams, and by size class and part the number of blocks and the least node."""
+    kinds = rows.groupBy("cluster", "lv", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.min("node").alias("pivot"))
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("w") / BLOCK_GRAMS)).cast("int")
+    of = F.map_from_entries(F.collect_list(F.struct(F.col("lv") * 2 + F.col("part"), F.struct(blocks.alias("nb"), "pivot"))))
+    return kinds.groupBy("cluster").agg(F.sum("c").alias("size"), F.sum("w").alias("w"), of.alias("of"))
+
+
+def _blocks(lv, part, at=None):
+    """The blocks (class, part, number) of a size class; with `at`, the row's own one."""
+    nb = F.coalesce(F.try_element_at("of", lv * 2 + part)["nb"], F.lit(0))
+    if at is not None:
+        return F.struct((lv * 2 + part).alias("k"), F.pmod(F.xxhash64(at, F.lit(11)), nb).cast("int").alias("b"))
+    return F.when(nb > 0, F.transform(F.sequence(F.lit(0), F.greatest(nb, F.lit(1)) - 1), lambda b: F.struct((lv * 2 + part).alias("k"), b.cast("int").alias("b")))).otherwise(F.array().cast("array<struct<k:int,b:int>>"))
+
+
+def _meeting(mine, others):
+    """Task of two blocks, whichever of them asks."""
+    return F.transform(others, lambda o: F.xxhash64("cluster", F.least(mine, o), F.greatest(mine, o)))
+
+
+def first_tasks(members: DataFrame, num: int, den: int) -> DataFrame:
+    """members (cluster, node, n) with lv, `large` and the tasks of the first pass."""
+    rows = members.withColumns({"lv": level(F.col("n"), num, den), "part": F.lit(0)})
+    plan = cut(_plan(rows))
+    n = plan.agg(F.sum("size")).first()[0] or 0
+    lv, zero = F.col("lv"), F.lit(0)
+    mine = _blocks(lv, zero, F.col("node"))
+    pivot = F.try_element_at("of", lv * 2)["pivot"] == F.col("node")
+    own = _meeting(mine, F.array(mine))
+    near = F.concat(*(F.transform(_blocks(lv + d, zero), lambda o: F.xxhash64("cluster", o, o)) for d in (-1, 0, 1)))
+    large = (F.col("size") > BLOCK_ROWS) | (F.col("w") > BLOCK_GRAMS)
+    tasks = F.when(~large, F.array(F.xxhash64("cluster"))).when(pivot, near).otherwise(own)
+    return join_groups(rows, plan, ["cluster"], n).select("cluster", "node", "n", "lv", large.alias("large"), tasks.alias("tasks"))
+
+
+def second_tasks(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """members (cluster, node, n, lv) of large clusters with the tasks of the second pass; linked: (node, root) of the first."""
+    rows = members.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    main = rows.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("size"))
+    main = cut(main.select("cluster", "size", F.col("m.root").alias("main")))
+    n = main.agg(F.sum("size")).first()[0] or 0
+    rows = cut(join_groups(rows, main, ["cluster"], n).select("cluster", "node", "n", "lv", F.when(F.col("root") == F.col("main"), 1).otherwise(0).alias("part")))
+    lv, rest, largest = F.col("lv"), F.lit(0), F.lit(1)
+    mine = _blocks(lv, F.col("part"), F.col("node"))
+    with_rest = F.concat(*(_blocks(lv + d, rest) for d in (-1, 0, 1)))
+    with_main = F.when(F.col("part") == 0, F.concat(*(_blocks(lv + d, largest) for d in (-1, 0, 1)))).otherwise(F.array().cast("array<struct<k:int,b:int>>"))
+    return join_groups(rows, cut(_plan(rows)), ["cluster"], n).select("node", _meeting(mine, F.concat(with_rest, with_main)).alias("tasks")).where(F.size("tasks") > 0)
 
 
 def _rare_pairs(owner: np.ndarray, col: np.ndarray, most: int = 1 << 22):
@@ -74,7 +104,7 @@ def product_links(nodes: np.ndarray, sizes: np.ndarray, grams: np.ndarray, num:
     renamed = np.cumsum(cnt > 1) - 1
     owner, col = owner[shared], renamed[col[shared]]
     width = int((cnt > 1).sum())
-    need = num * (sizes[:, None] + sizes[None, :]) / (num + den)  # den * o >= num * (a + b - o)
+    need = (num * (sizes[:, None] + sizes[None, :]) / (num + den)).astype(np.float32)  # den * o >= num * (a + b - o)
     left = np.bincount(owner, minlength=r).astype(np.float32)
     alive = np.minimum(left[:, None], left[None, :]) >= need - 1e-3
     np.fill_diagonal(alive, False)
@@ -164,4 +194,19 @@ def _scan(num: int, den: int, grams_of):
 def linked_pairs(rows: DataFrame, num: int, den: int, grams_of=packed) -> DataFrame:
     """rows: (tasks, node, grams binary, from which grams_of makes the distinct grams of the row's set). Returns edges (a, b) that connect what the pairs reaching num / den connect."""
     dealt = rows.select(F.explode("tasks").alias("task"), "node", "grams")
-    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_scan(num, den, grams_of), "a long, b long")
+    # a given number of partitions, since the few bytes of a task say little of its work
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_scan(num, den, grams_of), "a long, b long")
+
+
+def linked_components(contents: DataFrame, num: int, den: int, grams_of=packed) -> DataFrame:
+    """contents: a cut table (cluster, node, n, grams), n the number of a row's distinct grams, node unique. (node, root) of the rows that links connect, two rows of a cluster being linked where den * |A and B| >= num * |A or B|. Rows of different clusters are never linked directly."""
+    members = contents.select("cluster", "node", "n")
+    first = cut(first_tasks(members, num, den))
+    dealt = lambda tasks: contents.select("node", "grams").join(tasks.select("node", "tasks"), "node")
+    linked = components(linked_pairs(dealt(first), num, den, grams_of))
+    large = first.where("large").select("cluster", "node", "n", "lv")
+    if large.isEmpty():
+        return linked
+    second = linked_pairs(dealt(second_tasks(large, linked)), num, den, grams_of)
+    return components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))

@@ -14,9 +14,11 @@ HOT_SHARE = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one that is then set."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary one, which is then set; on a cluster that is an error, since executors would not share it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="strataloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,14 +42,14 @@ def drop_cut(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_rows: int, size: str = "size") -> DataFrame:
-    """Inner join of rows with one row a key. groups.size counts a key's rows, so keys with n_rows / HOT_SHARE rows or more number HOT_SHARE at most: those are broadcast, the others shuffled. groups should be a cut table."""
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_rows: int, size: str = "size", how: str = "inner") -> DataFrame:
+    """Join (inner or left) of rows with one row a key. groups.size counts a key's rows, so keys with n_rows / HOT_SHARE rows or more number HOT_SHARE at most: those are broadcast, the others shuffled. rows and groups are read twice, so they should be cut tables or cheap."""
     hot = F.col(size) >= max(1000, n_rows // HOT_SHARE)
     few = groups.where(hot)
     many = groups.where(~hot)
     by_hot = rows.join(F.broadcast(few), keys)
     rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti")
-    return by_hot.unionByName(rest.join(many, keys))
+    return by_hot.unionByName(rest.join(many, keys, how))
 
 
 def lower_ascii(c: Column) -> Column:
@@ -68,14 +70,14 @@ def _local_forest(batches):
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b longs, in any order): one row a node that has an edge, (node, root), root the smallest node.
 
-    Partitions first reduce their edges by a local union-find; then large-star and small-star rounds (Kiveris et al., 2014) run until a round changes nothing. Every round is cut to the shared folder. An empty input gives an empty result.
+    Partitions first reduce their edges by a local union-find; then large-star and small-star rounds (Kiveris et al., 2014) run until a round changes nothing. A hub, which may have a third of all edges, meets its least neighbour by a broadcast (join_groups). Every round is cut to the shared folder. An empty input gives an empty result.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         if large:
             e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        rows = e.join(least, "a")
+        least = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("size"))
+        rows = join_groups(e, least, ["a"], n)
         if large:
             return rows.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         both = rows.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
@@ -88,9 +90,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = cut(edges.mapInArrow(_local_forest, "a long, b long").distinct())
     was = state(e)
     for _ in range(max_rounds if was[0] else 0):
-        new = cut(star(star(e, True).mapInArrow(_local_forest, "a long, b long"), False))
+        new = cut(star(star(e, True, was[0]).mapInArrow(_local_forest, "a long, b long"), False, was[0]))
+        now = state(new)
         drop_cut(e)
-        e, now = new, state(new)
+        e = new
         if now == was:
             break
         was = now

@@ -1,6 +1,6 @@
 """Removal of long repeated byte strings, by interval expansion on Burrows-Wheeler transforms.
 
-Two equal strings of `least` bytes have equal lowest hashes among the GRAM-byte strings inside them. So the places are dealt by that hash: runs of neighbouring starts with one lowest hash form a segment, and only segments whose hash occurs again are looked at. Segments with equal bytes are one class; its starts repeat when it has two members. Where a hash has several classes, one text of each goes to a shard. There a breadth-first backward extension on the shard's BWT sets the common-prefix lengths in increasing order and stops at `least`: what is unset then are the neighbours that share `least` bytes or more.
+Two equal strings of `least` bytes have equal lowest hashes among the GRAM-byte strings inside them. So the places are dealt by that hash: runs of neighbouring starts with one lowest hash form a segment, and only segments whose hash occurs again are looked at. Segments with equal bytes (128 bits of hash) are one class; its starts repeat when it has two members. A map task already collapses the classes it sees, so a passage in a third of all documents sends a few rows a task. Where a hash has several classes, one text of each goes to a shard. There a breadth-first backward extension on the shard's BWT sets the common-prefix lengths in increasing order and stops at `least`: what is unset then are the neighbours that share `least` bytes or more.
 
 A hash with over SHARD_CLASSES classes is counted exactly by whole windows, dealt over all tasks.
 """
@@ -19,7 +19,9 @@ from .shared import cut
 LEAST = 200
 GRAM = 72
 LONGEST_RUN = 1024  # starts in a segment
-PLACE_BITS = 28
+PART_BYTES = 1 << 22  # of a longer text, the starts of so many bytes are looked at together
+PLACE_BITS = 24  # more than PART_BYTES and a piece of texts need
+HELD = 1 << 18  # segments that a map task collapses together
 SHARD_BYTES = 2 << 20
 SHARD_CLASSES = 4096
 END = 255  # a byte that UTF-8 never has
@@ -37,17 +39,28 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(up[: n - w + 1], down[w - 1 : n])
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the `gram` bytes (8 or more) from each place, by doubling."""
+    h, size = vec.mix(vec.eights(data)[: len(data) - 7].copy()), 8
+    join = lambda a, b: a * vec.PAIR + (b ^ (b >> vec.U(29))) * vec.U(0xBF58476D1CE4E5B9)
+    while 2 * size <= gram:
+        h, size = join(h[: len(h) - size], h[size:]), 2 * size
+    if size < gram:
+        h = join(h[: len(h) - gram + size], h[gram - size :])
+    return vec.mix(h)
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, least: int, gram: int):
-    """Of texts: (document, first start, starts, lowest hash, hash of all bytes, whether the lowest hash stands at several places) of each segment.
+    """Of texts: (document, first start, starts, lowest hash, two hashes of all bytes, whether the lowest hash stands at several places) of each segment.
 
     The lowest hash is taken by its upper bits, ties by the first place; so equal strings have it at the same distance from their starts.
     """
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, vec.U),) * 2 + (np.zeros(0, bool),)
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, vec.U),) * 3 + (np.zeros(0, bool),)
     if len(data) < least:
         return none
-    prefix = vec.prefix_hash(vec.BYTE[data])
-    at = np.arange(len(data) - gram + 1)
-    hashes = vec.span_hash(prefix, at, at + gram)
+    hashes = gram_hashes(data, gram)
+    at = np.arange(len(hashes))
+    assert len(at) <= 1 << PLACE_BITS
     mask = vec.U((1 << PLACE_BITS) - 1)
     place = window_min((hashes & ~mask) | at.astype(vec.U), least - gram + 1) & mask
     lengths = np.diff(offsets)
@@ -71,47 +84,89 @@ def segments(data: np.ndarray, offsets: np.ndarray, least: int, gram: int):
         size = np.minimum(np.repeat(run + size, parts) - start, LONGEST_RUN)
         run, several = start, np.repeat(several, parts)
     begin = offsets[doc[run]] + local[run]
-    return doc[run], local[run], size, low[run], vec.span_hash(prefix, begin, begin + size - 1 + least), several
+    whole = (vec.span_hash(data, begin, begin + size - 1 + least, salt) for salt in (0, 8))
+    return doc[run], local[run], size, low[run], *whole, several
+
+
+SEGMENTS = "h long, c long, c2 long, id long, th long, lo int, n int, own boolean, twice boolean, known boolean"
+
+
+def _parts(batches, least: int):
+    """Slices of texts, or parts of one long text whose starts follow each other: (slice, first start, bytes, offsets)."""
+    for part, data, offsets in vec.pieces(batches):
+        if len(data) <= PART_BYTES:
+            yield part, 0, data, offsets
+            continue
+        for lo in range(0, len(data) - least + 1, PART_BYTES - least):
+            one = data[lo : lo + PART_BYTES - 1]
+            yield part, lo, one, np.array([0, len(one)])
 
 
 def _anchor(least: int, gram: int):
+    """Segments, HELD at a time: of a class with several members, all but the first are known to repeat and need meet no other; the first says so (twice)."""
+
     def run(batches):
         import pyarrow as pa
 
-        for part, data, offsets in vec.pieces(batches):
-            doc, lo, n, low, whole, own = segments(data, offsets, least, gram)
-            if len(doc):
-                ids = part.column("id").take(pa.array(doc))
-                th = part.column("th").take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(whole.view(np.int64)), ids, th, pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own)], names=["h", "c", "id", "th", "lo", "n", "own"])
+        def flush():
+            rows = pa.concat_tables(held).combine_chunks()
+            c, c2 = rows["c"].to_numpy(), rows["c2"].to_numpy()
+            order = np.lexsort((c2, c))
+            new = np.append(True, (c[order][1:] != c[order][:-1]) | (c2[order][1:] != c2[order][:-1]))
+            of = np.cumsum(new) - 1
+            known, twice = np.ones(len(c), bool), np.zeros(len(c), bool)
+            known[order[new]] = False
+            twice[order] = np.bincount(of)[of] > 1
+            h = rows["h"].to_numpy().copy()
+            h[known] = vec.mix(np.arange(int(known.sum()), dtype=vec.U)).view(np.int64)  # dealt anywhere
+            yield from rows.set_column(0, "h", pa.array(h)).append_column("twice", pa.array(twice)).append_column("known", pa.array(known)).to_batches()
+
+        held, n = [], 0
+        for part, from_, data, offsets in _parts(batches, least):
+            doc, lo, size, low, c, c2, own = segments(data, offsets, least, gram)
+            if not len(doc):
+                continue
+            at = pa.array(doc)
+            ints = (pa.array((lo + from_).astype(np.int32)), pa.array(size.astype(np.int32)))
+            held.append(pa.table([*(pa.array(x.view(np.int64)) for x in (low, c, c2)), part.column("id").take(at), part.column("th").take(at), *ints, pa.array(own)], names=["h", "c", "c2", "id", "th", "lo", "n", "own"]))
+            n += len(doc)
+            if n >= HELD:
+                yield from flush()
+                held, n = [], 0
+        if held:
+            yield from flush()
 
     return run
 
 
 def _classes(batches):
-    """Of segments sorted by (h, c): with kind 0 each member of a class of two or more, with kind 1 one member of each class that may repeat in part: its hash has several classes, or stands at several places in the segment (own). Holds two rows between batches."""
+    """Of segments sorted by (h, c, c2): with kind 0 each member of a class of two or more, with kind 1 one member of each class that may repeat in part: its hash has several classes, or stands at several places in the segment (own). Holds two rows between batches."""
     import pyarrow as pa
+    import pyarrow.compute
 
-    names = ["h", "c", "id", "th", "lo", "n", "own"]
+    names = ["h", "c", "c2", "id", "th", "lo", "n", "own"]
+    out = lambda rows, kind: rows.select(names).append_column("kind", pa.array(np.full(len(rows), kind, np.int32))).combine_chunks().to_batches()
     held = None  # (rows, weight, full done, class done)
     for batch in batches:
-        rows = pa.Table.from_batches([batch]).select(names)
-        weight, full_done, class_done = np.ones(len(rows), np.int64), np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+        rows = pa.Table.from_batches([batch])
+        yield from out(rows.filter(rows["known"]), 0)
+        rows = rows.filter(pa.compute.invert(rows["known"]))
+        weight, full_done, class_done = 1 + rows["twice"].to_numpy().astype(np.int64), np.zeros(len(rows), bool), np.zeros(len(rows), bool)
         if held is not None:
             rows = pa.concat_tables([held[0], rows])
             weight, full_done, class_done = (np.concatenate(x) for x in zip(held[1:], (weight, full_done, class_done), strict=True))
         if not len(rows):
             continue
-        h, c = rows["h"].to_numpy(), rows["c"].to_numpy()
+        h, c, c2 = (rows[x].to_numpy() for x in ("h", "c", "c2"))
         new_h = np.append(True, h[1:] != h[:-1])
-        new_c = new_h | np.append(True, c[1:] != c[:-1])
+        new_c = new_h | np.append(True, (c[1:] != c[:-1]) | (c2[1:] != c2[:-1]))
         of_c, of_h = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
         full = (np.bincount(of_c, weights=weight)[of_c] >= 2) & ~full_done
         several = (np.bincount(of_h[new_c])[of_h] >= 2) | rows["own"].to_numpy()
         rep = new_c & several & ~class_done
         for kind, mask in ((0, full), (1, rep)):
             if mask.any():
-                yield from rows.filter(pa.array(mask)).append_column("kind", pa.array(np.full(int(mask.sum()), kind, np.int32))).combine_chunks().to_batches()
+                yield from out(rows.filter(pa.array(mask)), kind)
         first_c, first_h = np.flatnonzero(new_c)[-1], np.flatnonzero(new_h)[-1]
         pick = [first_h] if first_h == first_c else [first_h, first_c]
         total = np.bincount(of_c, weights=weight).astype(np.int64)
@@ -239,8 +294,9 @@ def _contexts(least: int):
 
 def repeated_ranges(rows: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """rows (id, th, text): start ranges (id, th, lo, n) whose strings of `least` bytes start elsewhere too, th being the text's hash."""
-    found = rows.mapInArrow(_anchor(least, gram), "h long, c long, id long, th long, lo int, n int, own boolean")
-    found = cut(found.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_classes, "h long, c long, id long, th long, lo int, n int, own boolean, kind int"))
+    found = rows.mapInArrow(_anchor(least, gram), SEGMENTS)
+    kinds = "h long, c long, c2 long, id long, th long, lo int, n int, own boolean, kind int"
+    found = cut(found.repartition("h").sortWithinPartitions("h", "c", "c2").mapInArrow(_classes, kinds))
     full = found.where("kind = 0").select("id", "th", "lo", "n")
     reps = found.where("kind = 1").select("h", "id", "th", "lo", "n")
     many = reps.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > SHARD_CLASSES).select("h", F.lit(True).alias("big"))

@@ -15,7 +15,7 @@ WINDOW, STEP = 32, 16
 WORD_ROWS = CHAR_ROWS = 8192
 DIM, HIDDEN, ATTENTION = 8, 8, 8
 TRAIN_TOXIC, TRAIN_CLEAN = 800, 1200  # labelled rows that training sees, at most
-TRAIN_CHARS = 16_000  # of a longer text, training sees this many characters; scoring sees all
+TRAIN_BYTES = 16 << 20  # of their texts together; a row is taken whole or, where it does not fit any more, not at all
 BATCH, WARM_STEPS, HARD_STEPS = 384, 60, 60
 _SIGN = np.zeros(256, bool)
 _SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -24,19 +24,17 @@ _SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 def word_types(data: np.ndarray, offsets: np.ndarray):
     """Words of texts: (document of each word, its type, word rows, character rows and their type): types are the distinct words, A-Z lower-cased, signs cut off both ends."""
     starts, ends, doc = vec.words(data, offsets)
-    for _ in range(4):
-        starts = starts + ((ends - starts > 1) & _SIGN[data[starts]])
-        ends = ends - ((ends - starts > 1) & _SIGN[data[ends - 1]])
+    starts, ends = vec.trimmed(starts, ends, ~_SIGN[data])
+    ends = np.maximum(ends, starts + 1)  # a word of signs only: its first one
     low = vec.LOWER[data]
-    values = vec.prefix_hash(vec.BYTE[low])
-    h, first, kind = np.unique(vec.span_hash(values, starts, ends), return_index=True, return_inverse=True)
+    h, first, kind = np.unique(vec.span_hash(low, starts, ends), return_index=True, return_inverse=True)
     s, e = starts[first], ends[first]
     parts, owner = [], []
     for n in (2, 3, 4):  # inner strings; those at the start and at the end also by that place
         count = np.maximum(e - s - n + 1, 0)
         own = np.repeat(np.arange(len(h)), count)
         at = s[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-        g = vec.span_hash(values, at, at + n)
+        g = vec.short_grams(low, at, n)
         if n > 2:
             parts.append(g)
             owner.append(own)
@@ -288,16 +286,22 @@ def held_out(id_col):
     return F.crc32(id_col.cast("string")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> dict:
-    """Trains on at most `toxic` and `clean` labelled rows, in the order of a hash of doc_id, none of them held out."""
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).distinct()
-    picked = None
-    for value, most in ((1, toxic), (0, clean)):
-        some = usable.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(F.broadcast(picked), "doc_id").where("text IS NOT NULL")
-    rows = sorted((r.doc_id, r.toxic, r.text) for r in rows.select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]).collect())
-    return train([t for _, _, t in rows], [y for _, y, _ in rows])
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN, most_bytes: int = TRAIN_BYTES) -> dict:
+    """Trains on at most `toxic` and `clean` labelled rows, in the order of a hash of doc_id, none of them held out. Each is taken whole, and those that would bring the texts over most_bytes are left out. A doc_id with both labels is toxic; of rows that repeat an id the least text counts."""
+    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    with_text = docs.select("doc_id", F.octet_length("text").alias("bytes")).where("text IS NOT NULL").join(usable, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("bytes").alias("bytes"))
+    # both labels in turn, so that what the bytes leave out does not fall on one of them
+    rows = [with_text.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect() for v, most in ((1, toxic), (0, clean))]
+    turn = sorted((i / max(len(r), 1), one) for r in rows for i, one in enumerate(r))
+    picked, total = [], 0
+    for _, one in turn:
+        if total + one.bytes <= most_bytes:
+            total += one.bytes
+            picked.append((one.doc_id, one.toxic))
+    wanted = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = sorted((r.doc_id, r.toxic, r.text) for r in found.collect())
+    return train([t for _, _, t in texts], [y for _, y, _ in texts])
 
 
 def _score(p: dict):
@@ -305,18 +309,19 @@ def _score(p: dict):
         import pyarrow as pa
 
         for part, data, offsets in vec.pieces(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score_texts(p, data, offsets))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(score_texts(p, data, offsets))], names=["doc_id", "th", "score"])
 
     return run
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, score (0 to 1). labels: (doc_id, toxic 0 or 1); null labels are left out.
+    """One row per row of docs (doc_id, text): doc_id, th (hash of the text), score (0 to 1). labels: (doc_id, toxic 0 or 1); null labels are left out.
 
     Every window of the whole text is scored. Null, empty and wordless texts score 0; repeated rows are scored each; an empty table gives an empty result; without labels of both kinds all score near 0. Other columns are not read.
     """
     p = fit(docs, labels)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(p), "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), "text")
+    return rows.mapInArrow(_score(p), "doc_id long, th long, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

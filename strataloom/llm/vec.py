@@ -1,40 +1,32 @@
-"""Vectorised text kernels on Arrow buffers: word bounds, rolling hashes, union-find. All hashes are 64-bit, fixed by these constants."""
+"""Vectorised text kernels on Arrow buffers: word bounds, hashes of spans, union-find. Hashes have 64 bits and are fixed by these constants.
+
+A span is hashed as a tree: eight bytes at a time are mixed, then neighbours in pairs until one is left. No step is linear in the bytes, so no family of texts collides by its structure, as texts do under a polynomial modulo a power of two.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15  # odd
+PAIR = U(0xD6E8FEB86659FD93)
 MASK = (1 << 64) - 1
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
-def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    """splitmix64's finaliser."""
-    x = x + U((0x9E3779B97F4A7C15 * (salt + 1)) & MASK)
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-BYTE = mix(np.arange(256, dtype=U), 7)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[int, np.ndarray] = {}
+#: The lowest 0 .. 8 bytes of a number.
+BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), wrapping."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.full(size, base & MASK, dtype=U)
-        have[0] = 1
-        _powers[base] = have = np.cumprod(have)
-    return have[:n]
+def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """splitmix64's finaliser: one-to-one."""
+    x = x + U((0x9E3779B97F4A7C15 * (salt + 1)) & MASK)
+    x ^= x >> U(30)
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 def string_buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -61,17 +53,56 @@ def pieces(batches, text: str = "text", most: int = 1 << 20):
             start = end
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values[i] * BASE ** i."""
-    out = np.zeros(len(values) + 1, dtype=U)
-    np.cumsum(values * powers(BASE, len(values)), out=out[1:])
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data as a number, zeros after the end. A view that is to be indexed or copied."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def short_grams(data: np.ndarray, starts: np.ndarray, size) -> np.ndarray:
+    """The bytes of spans of at most 7 bytes as numbers, equal for equal spans only: the size stands in the highest byte."""
+    size = np.broadcast_to(size, starts.shape)
+    return (eights(data)[starts] & BYTES[size]) | (size.astype(U) << U(56))
+
+
+def _tree(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One number for each run of n numbers of x: neighbours are joined in pairs, an odd last one waits, until one is left."""
+    out = np.empty(len(n), U)
+    row = np.arange(len(n))
+    while len(n):
+        base = np.cumsum(n) - n
+        done = n == 1
+        out[row[done]] = x[base[done]]
+        row, base, n = row[~done], base[~done], n[~done]
+        half = (n + 1) // 2
+        to = np.cumsum(half) - half
+        j = 2 * (np.arange(int(half.sum())) - np.repeat(to, half))
+        left = np.repeat(base, half) + j
+        paired = j + 1 < np.repeat(n, half)
+        new = x[left]
+        new[paired] = mix(new[paired] * PAIR + x[left[paired] + 1])
+        x, n = new, half
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each span, equal for equal contents wherever they stand."""
-    raw = (prefix[ends] - prefix[starts]) * powers(INVERSE, len(prefix))[starts]
-    return mix(raw + (ends - starts).astype(U))
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hash of the bytes of each span, equal for equal contents wherever they stand. Two salts give 128 bits."""
+    size = ends - starts
+    n = np.maximum(-(-size // 8), 1)
+    at = np.repeat(starts - 8 * (np.cumsum(n) - n), n) + 8 * np.arange(int(n.sum()))
+    x = eights(data)[at]
+    last = np.cumsum(n) - 1
+    x[last] &= BYTES[size - 8 * (n - 1)]
+    return mix(_tree(mix(x, salt), n) + size.astype(U) * PAIR, salt + 1)
+
+
+def trimmed(starts: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without the bytes at both ends that `keep` (a mask of the bytes) does not hold; spans with none of them are empty, at their start."""
+    where = np.append(np.flatnonzero(keep), len(keep))
+    first = np.minimum(where[np.searchsorted(where, starts)], ends)
+    last = where[np.maximum(np.searchsorted(where, ends) - 1, 0)] + 1
+    some = first < ends
+    return np.where(some, first, starts), np.where(some, last, starts)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +118,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of words, A-Z lower-cased."""
-    return span_hash(prefix_hash(BYTE[LOWER[data]]), starts, ends)
+    return span_hash(LOWER[data], starts, ends)
 
 
 def shingles(hashes: np.ndarray, doc: np.ndarray, k: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +133,7 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, k: int, n_docs: int) -> tuple[
     for j in range(k):
         nxt = np.zeros(len(hashes), U)
         nxt[: max(len(hashes) - j, 0)] = hashes[j:]
-        acc = mix(acc * U(0xD6E8FEB86659FD93) + np.where(left > j, nxt, U(0)))
+        acc = mix(acc * PAIR + np.where(left > j, nxt, U(0)))
     d, h = doc[ok], mix(acc + size)[ok]
     order = np.lexsort((h, d))
     d, h = d[order], h[order]

@@ -139,15 +139,51 @@ def test_templates(spark, docs):
 
     rows = [(1, other("Tom", "5", "7")), (2, other("Ann Lee", "15", "9.5")), (3, "Tom has apples and that is all there is to say about Tom"), (4, None), (5, ""), (None, ITEM), (6, ITEM.lower()), (7, ITEM), (7, ITEM)]
     bench = spark.createDataFrame([(9, ITEM), (8, "tiny item"), (7, None), (None, ITEM)], "item_id long, text string")
-    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(rows), bench).collect())
-    assert got == [(1, 9), (2, 9), (7, 9)] or got == [(1, 9), (2, 9), (6, 9), (7, 9)]
-    by_shuffle = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(rows), bench, index_windows=0).collect())
-    assert by_shuffle == got
+    found = lambda **more: sorted((r.doc_id or 0, r.item_id) for r in decontaminate.contaminated(docs(rows), bench, **more).collect())
+    assert found() == [(0, 9), (1, 9), (2, 9), (6, 9), (7, 9)]  # the row without an id too
+    assert found(index_windows=0) == found()
     assert decontaminate.verdicts(docs(rows), bench).count() == len(rows)
     assert decontaminate.contaminated(docs(rows).where("false"), bench).count() == 0
     assert decontaminate.contaminated(docs(rows), bench.where("false")).count() == 0
 
 
+def test_short_items_and_signs(spark, docs):
+    """An item of fewer words than a window is found inside a longer text; signs around words, however many, hide nothing."""
+    hidden = " ".join("*" * 9 + w + "!" * 7 for w in ITEM.split())
+    rows = [(1, "here is a tiny item, and more"), (2, "an item that is tiny"), (3, "see Paris now"), (4, hidden), (5, "***** " * 40), (6, ITEM * 3000), (7, "x" * 300_000)]
+    bench = spark.createDataFrame([(1, "Tiny item!"), (2, "Which river, Paris"), (3, ITEM)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(rows), bench).collect())
+    assert got == [(1, 1), (4, 3), (6, 3)]
+
+
+def test_decontamination_odd(spark, odd, nothing):
+    bench = spark.createDataFrame([(1, "one two"), (2, None), (3, "")], "item_id long, text string")
+    got = decontaminate.verdicts(odd, bench).collect()
+    assert len(got) == odd.count() and sorted((r.doc_id or 0) for r in got if r.contaminated) == [0, 5, 6, 6]
+    assert decontaminate.verdicts(nothing, bench).count() == 0
+
+
+def test_windows_of_many_items(spark, docs):
+    """Windows that many items share join few rows, and lose none: the shares are those of a plain count."""
+    import re
+
+    rng = random.Random(3)
+    vocabulary = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    common = " ".join(vocabulary[:8])
+    items = [(i, common + " " + " ".join(rng.choices(vocabulary, k=6 + i % 5))) for i in range(30)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=10)) + " " + (rng.choice(items)[1] if i % 3 else common)) for i in range(60)]
+
+    def grams(t):
+        w = re.findall(r"\S+", t)
+        return {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+
+    want = {(d, i) for d, t in rows for i, x in items if len(grams(t) & grams(x)) / len(grams(x)) >= 0.8}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for index_windows in (decontaminate.INDEX_WINDOWS, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(rows), bench, index_windows=index_windows).collect()} == want
+    assert len(want) >= 30
+
+
 def test_slots_must_agree(spark, docs):
     item = "The red car drives 40 km and the blue car drives 60 km while the green car drives 40 km and the white car drives 60 km today"
     fits = item.replace("40", "11").replace("60", "22")
@@ -277,6 +313,65 @@ def test_gradients():
         assert abs((up - down) / 2e-2 - d[i]) < 2e-3, k
 
 
+def test_signs_around_words():
+    """Signs at both ends of a word are cut off, however many there are; a word of signs is its first one."""
+    texts = [b"***bad*** word", b"*********************bad*********************** word", b"bad word", b"!!!!!!!! word"]
+    types = []
+    for t in texts:
+        doc, kind, word_row, _, _ = toxicity.word_types(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        types.append(word_row[kind].tolist())
+    assert types[0] == types[1] == types[2] != types[3]
+
+
+def test_scores_are_those_of_a_plain_network():
+    """Scores of whole texts against a network written out word by word and window by window."""
+    p = toxicity.fresh(3)
+    p["bias"][:] = 0.3
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(("bad", "good", "x", "lovely", "you")) for _ in range(n)) for n in (1, 5, 32, 33, 60, 100)] + ["", "   "]
+    raw = [t.encode() for t in texts]
+    got = toxicity.score_texts(p, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    n = toxicity.HIDDEN
+
+    def window(xs):
+        states = {}
+        for d, seq in (("f", xs), ("b", xs[::-1])):
+            h, all_h = np.zeros(n), []
+            for x in seq:
+                a, g = x @ p[f"x{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+                r, z = sig(a[:n] + g[:n]), sig(a[n : 2 * n] + g[n : 2 * n])
+                h = (1 - z) * np.tanh(a[2 * n :] + r * g[2 * n :]) + z * h
+                all_h.append(h)
+            states[d] = all_h if d == "f" else all_h[::-1]
+        h = np.concatenate([states["f"], states["b"]], axis=1)
+        e = np.exp(np.tanh(h @ p["att"]) @ p["query"])
+        return sig((e / e.sum()) @ h @ p["out"] + p["bias"][0])
+
+    for t, x, score in zip(texts, raw, got, strict=True):
+        if not t.split():
+            assert score == 0
+            continue
+        _, kind, *types = toxicity.word_types(np.frombuffer(x, np.uint8), np.array([0, len(x)]))
+        vectors = toxicity.inputs(p, *types)[kind]
+        starts = [0] + [i * toxicity.STEP for i in range(1, 99) if (i - 1) * toxicity.STEP + toxicity.WINDOW < len(kind)]
+        assert abs(score - max(window(vectors[i : i + toxicity.WINDOW]) for i in starts)) < 1e-4
+
+
+def test_training_takes_whole_texts(spark, docs, monkeypatch):
+    """A toxic passage far into a long text is trained on; the bound in bytes leaves out rows, never parts of one."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, seed=5: seen.append(dict(zip(texts, labels, strict=True))) or toxicity.fresh())
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    long = "fine words " * 5000 + "bad end"
+    rows = [(i, long if k == 0 else f"text {i}") for k, i in enumerate(ids)]
+    labels = spark.createDataFrame([(i, int(k % 2 == 0)) for k, i in enumerate(ids)] + [(ids[1], 1)], "doc_id long, toxic int")
+    toxicity.fit(docs(rows), labels)
+    assert seen[0][long] == 1 and seen[0][rows[1][1]] == 1 and len(seen[0]) == len(rows)
+    toxicity.fit(docs(rows), labels, most_bytes=2000)
+    assert set(seen[1]) == {t for _, t in rows if t != long}
+
+
 def test_windows_cover_every_word():
     doc = np.repeat([0, 1, 3], [5, 100, 33])
     owner, first, size = toxicity.window_table(doc, 4)
@@ -354,6 +449,16 @@ def test_pipeline_against_brute_force(spark, sf):
     assert {r.doc_id for r in near.collect()} == {i for i in sets if root[i] == i}
 
 
+def test_pipeline_judges_rows_without_ids(spark, sf):
+    """Rows without an id and rows that repeat one are judged by their text."""
+    rows = [(None, "same text here"), (3, "same text here"), (5, "Same Text here"), (5, "another one that stays"), (None, "only one of its kind"), (None, "Only one of its kind")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, th int")
+    left = lambda stage: sorted(((r.doc_id or 0), r.text) for r in stage(spark, docs, sf).collect())
+    assert left(corpus_pipeline.exact) == [(0, "Only one of its kind"), (0, "only one of its kind"), (5, "Same Text here"), (5, "another one that stays")]
+    assert left(corpus_pipeline.near) == [(0, "Only one of its kind"), (0, "only one of its kind"), (3, "same text here"), (5, "another one that stays")]
+    assert len(left(corpus_pipeline.decontaminated)) == len(rows) == len(left(corpus_pipeline.clean_toxic))
+
+
 def test_pipeline_on_nothing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
