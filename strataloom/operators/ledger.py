@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 #: The states of an alpha and the changes that are allowed.
 TRANSITIONS = {
-    "draft": ("testing", "rejected"),
-    "testing": ("paper", "rejected"),
-    "paper": ("live", "rejected", "testing"),
-    "live": ("decaying", "retired"),
-    "decaying": ("live", "retired"),
-    "rejected": (),
+    "candidate": ("validated", "retired"),
+    "validated": ("paper", "retired"),
+    "paper": ("active", "retired"),
+    "active": ("decaying", "superseded", "retired"),
+    "decaying": ("active", "retired"),
     "retired": (),
+    "superseded": (),
 }
+TERMINAL = tuple(k for k, v in TRANSITIONS.items() if not v)
 
 
 def query_ledger(ledger: DataFrame, min_sharpe: float | None = None, status: str | None = None, limit: int = 50) -> DataFrame:
@@ -54,6 +55,6 @@ def illegal_transitions(changes: DataFrame) -> DataFrame:
 
 
 def dashboard(ledger: DataFrame, history: DataFrame) -> DataFrame:
-    """Alphas that are neither rejected nor retired, with their mean IC of 20 days, best Sharpe first."""
+    """Alphas that are in no terminal state, with their mean IC of 20 days, best Sharpe first."""
     recent = ic_history(history).groupBy("alpha_id").agg(F.avg("realized_ic").alias("ic20"))
-    return ledger.where(~F.col("status").isin("rejected", "retired")).join(recent, "alpha_id", "left").orderBy(F.col("sharpe").desc(), "alpha_id")
+    return ledger.where(~F.col("status").isin(*TERMINAL)).join(recent, "alpha_id", "left").orderBy(F.col("sharpe").desc(), "alpha_id")
