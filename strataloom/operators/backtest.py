@@ -29,24 +29,72 @@ def daily(leg: DataFrame, keys=(), costs: Costs = Costs(), per_year: float = 252
     )
 
 
-def equity_curve(leg: DataFrame, keys=(), costs: Costs = Costs(), per_year: float = 252.0) -> DataFrame:
-    """Per ts: equity (of capital 1) and cost share. The cost of a day depends on the equity before it, so the days of a key are folded in order, in the JVM; at equity 0 the rest is 0. Takes legs with adv."""
-    part = F.col("w0") * F.coalesce("change", F.lit(0.0))
-    days = leg.groupBy(*keys, "ts").agg(F.sum(part).alias("gross"), (F.sum(F.greatest(-F.col("w0"), F.lit(0.0))) * costs.borrow / per_year).alias("borrow"), F.collect_list(F.when(F.abs("dw") >= 1e-10, F.struct(F.abs("dw").alias("dw"), "vol", "adv"))).alias("trades"))
-    rows = days.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ts", "gross", "borrow", "trades"))).alias("days"))
+def _fold(keys: tuple[str, ...], costs: Costs):
+    """Folds trades that are sorted by keys and ts. Between batches it holds the equity and the rows of one day."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def flush():
+            nonlocal equity, owner
+            rows = pa.Table.from_batches(held).combine_chunks()
+            of = tuple(rows[k][0] for k in keys)
+            if of != owner:
+                owner, equity = of, 1.0
+            gross, borrow, dw, vol, adv = (rows[c].to_numpy() for c in ("gross", "borrow", "dw", "vol", "adv"))
+            before, share, net = equity, 0.0, 0.0
+            if before > 0:
+                trades = dw >= 1e-10
+                value = dw[trades] * before * costs.capital
+                part = np.divide(value, adv[trades], out=np.zeros_like(value), where=adv[trades] > 0)
+                bps = costs.commission_bps + costs.spread_bps / 2 + costs.impact * 1e4 * vol[trades] * np.sqrt(part)
+                share = float(np.maximum(value * bps / 1e4, costs.minimum).sum() / (before * costs.capital))
+                net = float(gross.sum() - share - borrow.sum())
+                equity = max(0.0, before * (1 + net))
+            out.append((*of, rows["ts"][0], float(gross.sum()), net, equity, share))
 
-    def cost(equity, trades):
-        def one(acc, t):
-            value = t["dw"] * equity * costs.capital
-            bps = costs.commission_bps + costs.spread_bps / 2 + costs.impact * 1e4 * t["vol"] * F.sqrt(F.when(t["adv"] > 0, value / t["adv"]).otherwise(0.0))
-            return acc + F.greatest(value * bps / 1e4, F.lit(costs.minimum))
+        def given():
+            columns = [pa.array([x.as_py() if isinstance(x, pa.Scalar) else x for x in c], t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=[*keys, "ts", "gross", "net", "equity", "cost"])
 
-        return F.aggregate(trades, F.lit(0.0), one)
+        held, out, owner, equity, last, types = [], [], None, 1.0, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types = types or [*(batch.column(k).type for k in keys), batch.column("ts").type, *[pa.float64()] * 4]
+            at = [batch.column(c) for c in (*keys, "ts")]
+            new = np.zeros(batch.num_rows, bool)
+            for c in at:
+                coded = c.dictionary_encode().indices.to_numpy()
+                new[1:] |= coded[1:] != coded[:-1]
+            bounds = np.append(np.flatnonzero(new), batch.num_rows)
+            begin = 0
+            for end in bounds:
+                mark = tuple(c[int(begin)] for c in at)
+                if held and mark != last:
+                    flush()
+                    held = []
+                held.append(batch.slice(begin, end - begin))
+                last, begin = mark, end
+            if out:
+                yield given()
+                out = []
+        if held:
+            flush()
+            yield given()
 
-    def step(acc, d):
-        share = F.when(acc["equity"] > 0, cost(acc["equity"], d["trades"]) / (acc["equity"] * costs.capital)).otherwise(0.0)
-        new = F.when(acc["equity"] > 0, F.greatest(F.lit(0.0), acc["equity"] * (1 + d["gross"] - share - d["borrow"]))).otherwise(0.0)
-        return F.struct(new.alias("equity"), F.concat(acc["curve"], F.array(F.struct(d["ts"].alias("ts"), new.alias("equity"), share.alias("cost")))).alias("curve"))
+    return run
 
-    zero = F.struct(F.lit(1.0).alias("equity"), F.array().cast("array<struct<ts:timestamp,equity:double,cost:double>>").alias("curve"))
-    return rows.select(*keys, F.inline(F.aggregate("days", zero, step)["curve"]))
+
+def equity_curve(leg: DataFrame, keys=(), costs: Costs = Costs(), per_year: float = 252.0) -> DataFrame:
+    """Per ts: gross and net return, equity (of capital 1) and cost share. Takes legs with adv.
+
+    The cost of a day depends on the equity before it, so the days of a key are folded in order, as a stream over sorted rows that holds one day at a time; keys run side by side. At equity 0 the rest is 0.
+    """
+    part = F.col("w0") * F.coalesce("change", F.lit(0.0))
+    borrow = F.greatest(-F.col("w0"), F.lit(0.0)) * costs.borrow / per_year
+    rows = leg.select(*keys, "ts", part.alias("gross"), borrow.alias("borrow"), F.abs("dw").alias("dw"), "vol", F.col("adv").cast("double").alias("adv")).fillna(0.0, ["gross", "borrow", "dw", "adv"])
+    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
+    named = ", ".join(f"`{k}` {t}" for k, t in leg.select(*keys).dtypes)
+    return dealt.sortWithinPartitions(*keys, "ts").mapInArrow(_fold(tuple(keys), costs), f"{named + ', ' if named else ''}ts timestamp, gross double, net double, equity double, cost double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .signal import by_ticker, by_time
@@ -126,45 +126,77 @@ def losing_streak(df: DataFrame, keys=()) -> DataFrame:
     return rows.groupBy(*keys, "island").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max("n").alias("longest_losing_streak"))
 
 
-def crisis_windows(df: DataFrame, crises: list[tuple[str, str, str]], keys=(), least: int = 5) -> DataFrame:
-    """Compounded return in each named date range with `least` rows."""
-    table = df.sparkSession.createDataFrame(crises, "crisis string, start_d string, end_d string").select("crisis", F.to_timestamp("start_d").alias("a"), F.to_timestamp("end_d").alias("b"))
+def crisis_windows(df: DataFrame, crises: list[tuple[str, str, str]] | None = None, keys=(), least: int = 5) -> DataFrame:
+    """Compounded return in each named date range (CRISES if none are given) with `least` rows."""
+    table = df.sparkSession.createDataFrame(CRISES if crises is None else crises, "crisis string, start_d string, end_d string").select("crisis", F.to_timestamp("start_d").alias("a"), F.to_timestamp("end_d").alias("b"))
     return df.join(F.broadcast(table), (F.col("ts") >= F.col("a")) & (F.col("ts") <= F.col("b"))).groupBy(*keys, "crisis").agg(F.count(F.lit(1)).alias("n"), (F.product(1 + F.col("r")) - 1).alias("r")).where(F.col("n") >= least)
 
 
-def deflated_sharpe(r: list[float], n_trials: int) -> float | None:
-    """Probability that the Sharpe ratio beats the best of n_trials without skill; null for fewer than 20 values or a flat series."""
-    n = len(r)
-    if n < 20:
-        return None
-    mean = sum(r) / n
-    m2, m3, m4 = (sum((x - mean) ** k for x in r) / n for k in (2, 3, 4))
-    sd = math.sqrt(m2 * n / (n - 1))
-    if sd <= 0:
-        return None
-    sr, skew, kurt, norm = mean / sd, m3 / m2**1.5, m4 / m2**2, NormalDist()
-    var = (1 - skew * sr + (kurt - 1) / 4 * sr * sr) / (n - 1)
-    expected = 0.0
-    if n_trials > 1:
-        g = 0.5772156649015329
-        expected = math.sqrt(var) * ((1 - g) * norm.inv_cdf(1 - 1 / n_trials) + g * norm.inv_cdf(1 - 1 / (n_trials * math.e)))
-    return norm.cdf((sr - expected) / math.sqrt(var))
+#: Market crises by name, first and last date.
+CRISES = [
+    ("GFC_2008", "2008-09-01", "2009-03-31"),
+    ("EU_Debt_2011", "2011-07-01", "2011-12-31"),
+    ("China_2015", "2015-06-01", "2015-09-30"),
+    ("COVID_2020", "2020-02-01", "2020-04-30"),
+    ("Bear_2022", "2022-01-01", "2022-10-31"),
+]
 
 
-def deflated_sharpes(df: DataFrame, n_trials: int = 10) -> DataFrame:
-    """Per alpha_id. A key's daily series is one group: as many rows as it has days."""
+def calmar(ann_return: Column, mdd: Column) -> Column:
+    """Null without a drawdown."""
+    return F.try_divide(ann_return, F.abs(mdd))
 
-    def run(key, pdf):
-        import pandas as pd
 
-        return pd.DataFrame({"alpha_id": [key[0]], "dsr": [deflated_sharpe(pdf["r"].tolist(), n_trials)]})
+def normal_cdf(x: Column) -> Column:
+    """To 1e-7, by the rational form 7.1.26 of Abramowitz and Stegun for the error function."""
+    z = F.abs(x) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * z)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-z * z)
+    return F.when(x >= 0, 1 - tail / 2).otherwise(tail / 2)
 
-    return df.groupBy("alpha_id").applyInPandas(run, "alpha_id string, dsr double")
 
+def best_of_trials(n_trials: int) -> float:
+    """Expected maximum of n_trials standard normal values."""
+    if n_trials <= 1:
+        return 0.0
+    g, norm = 0.5772156649015329, NormalDist()
+    return (1 - g) * norm.inv_cdf(1 - 1 / n_trials) + g * norm.inv_cdf(1 - 1 / (n_trials * math.e))
 
-def quick_ic(df: DataFrame, keys=()) -> DataFrame:
-    """The fast evaluation of a search: ic mean, ic_ir with a population deviation, and turnover of percentile ranks."""
-    ic = rank_ic(df, keys).groupBy(*keys).agg(F.avg("ic").alias("ic"), (F.avg("ic") / (F.stddev_pop("ic") + 1e-9)).alias("ic_ir"))
+
+def deflated_sharpes(df: DataFrame, n_trials: int = 10, keys=("alpha_id",)) -> DataFrame:
+    """dsr per key: the probability that the Sharpe ratio beats the best of n_trials without skill; null for fewer than 20 values or a flat series."""
+    m = df.where("r IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.skewness("r").alias("skew"), (F.kurtosis("r") + 3).alias("kurt"))
+    sr = F.try_divide("mean", "sd")
+    var = (1 - F.col("skew") * sr + (F.col("kurt") - 1) / 4 * sr * sr) / (F.col("n") - 1)
+    dsr = normal_cdf((sr - F.sqrt(var) * best_of_trials(n_trials)) / F.sqrt(var))
+    return m.select(*keys, F.when((F.col("n") >= 20) & (F.col("sd") > 0) & (var > 0), dsr).alias("dsr"))
+
+
+def rank_ic_approx(df: DataFrame, keys=(), least: int = 5) -> DataFrame:
+    """Per ts: Spearman correlation of the signal with the weight held at the next ts, which stands in for the return where there are no prices; ties at average ranks, at a ts with `least` pairs. Takes signal and weight."""
+    rows = df.withColumn("fwd", F.lead("weight").over(by_ticker(*keys))).where("signal IS NOT NULL AND fwd IS NOT NULL")
+    for c in ("signal", "fwd"):
+        upto = F.count(F.lit(1)).over(by_time(*keys).orderBy(c))
+        rows = rows.withColumn(f"rank_{c}", (F.rank().over(by_time(*keys).orderBy(c)) + upto) / 2.0)
+    spread = F.stddev_samp("rank_signal") * F.stddev_samp("rank_fwd")
+    return rows.groupBy(*keys, "ts").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_samp("rank_signal", "rank_fwd"), spread).alias("ic")).where(F.col("n") >= least)
+
+
+def rolling_ic(ic: DataFrame, keys=(), window: int = 20) -> DataFrame:
+    """Mean of the last `window` values, from half of them on."""
+    frame = Window.partitionBy(*keys).orderBy("ts").rowsBetween(-(window - 1), 0)
+    return ic.withColumn("rolling_ic", F.when(F.count("ic").over(frame) >= max(2, window // 2), F.avg("ic").over(frame)))
+
+
+def quick_ic(df: DataFrame, keys=(), segments: DataFrame | None = None) -> DataFrame:
+    """The fast evaluation of a search: ic mean, ic_ir with a population deviation, and turnover of percentile ranks. With segments (ts, segment IS or OOS; a row a date) also ir_is and ir_oos."""
+    days = rank_ic(df, keys)
+    ir = lambda x: F.avg(x) / (F.stddev_pop(x) + 1e-9)
+    more = []
+    if segments is not None:
+        days = days.join(F.broadcast(segments), "ts")
+        more = [ir(F.when(F.col("segment") == v, F.col("ic"))).alias(f"ir_{v.lower()}") for v in ("IS", "OOS")]
+    ic = days.groupBy(*keys).agg(F.avg("ic").alias("ic"), ir("ic").alias("ic_ir"), *more)
     ranked = df.withColumn("_p", F.when(F.col("signal").isNotNull(), F.percent_rank().over(by_time(*keys).orderBy(F.col("signal").asc_nulls_last()))))
     moved = ranked.withColumn("_d", F.abs(F.col("_p") - F.lag("_p").over(by_ticker(*keys)))).groupBy(*keys).agg((F.avg("_d") * 252).alias("turnover"))
     both = ic.join(moved, list(keys)) if keys else ic.crossJoin(moved)

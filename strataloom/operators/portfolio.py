@@ -147,11 +147,21 @@ def _mvo(shrink: float, window: int):
     return run
 
 
-def mvo(df: DataFrame, shrink: float = 0.2, window: int = 60) -> DataFrame:
-    """Mean-variance weights from the trailing covariance, the current row apart. Takes alpha_id, ts, ticker, returns and signal; an alpha's panel is one group, so its tickers times its rows must fit a task."""
-    base = signal_weighted(df, ("alpha_id",)).select("alpha_id", "ts", "ticker", "returns", F.col("weight").alias("base"))
+def mvo(df: DataFrame, shrink: float = 0.2, window: int = 60, keys=("alpha_id",), rows_a_task: int = 250) -> DataFrame:
+    """Mean-variance weights from the trailing covariance, the current row apart. Takes keys, ts, ticker, returns and signal.
+
+    The dates of a key are dealt into chunks of rows_a_task, each with the `window` dates before it, so a task holds a few hundred dates of one key.
+    """
+    base = signal_weighted(df, keys).select(*keys, "ts", "ticker", "returns", F.col("weight").alias("base"))
+    axis = base.select(*keys, "ts").distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("ts")) - 1)
+    chunk = F.floor(F.col("_i") / rows_a_task)
+    ahead = F.floor((F.col("_i") + window) / rows_a_task)
+    dealt = base.join(axis, [*keys, "ts"]).withColumn("_own", chunk).withColumn("_chunk", F.explode(F.sequence(chunk, ahead)))
 
     def run(key, pdf):
-        return _mvo(shrink, window)(pdf).assign(alpha_id=key[0])[["alpha_id", "ts", "ticker", "weight"]]
+        own = pdf.loc[pdf["_own"] == pdf["_chunk"], "ts"].unique()
+        out = _mvo(shrink, window)(pdf)
+        return out[out["ts"].isin(own)].assign(**dict(zip(keys, key, strict=False)))[[*keys, "ts", "ticker", "weight"]]
 
-    return base.groupBy("alpha_id").applyInPandas(run, "alpha_id string, ts timestamp, ticker string, weight double")
+    named = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes)
+    return dealt.groupBy(*keys, "_chunk").applyInPandas(run, f"{named}, ts timestamp, ticker string, weight double")

@@ -71,6 +71,15 @@ def process(df: DataFrame, config: SignalConfig, keys=()) -> DataFrame:
     return delay(df, config.delay, keys)
 
 
+def post_process(df: DataFrame, winsorize: float | None = None, centre: bool = False, keys=()) -> DataFrame:
+    """What may follow an expression: per ts, winsorising to k deviations, then taking the mean off."""
+    if winsorize is not None:
+        if winsorize <= 0:
+            raise ValueError("winsorize is not above 0")
+        df = df.withColumn("signal", cs.winsorize(F.col("signal"), by_time(*keys), winsorize))
+    return df.withColumn("signal", cs.demean(F.col("signal"), by_time(*keys))) if centre else df
+
+
 def trim_burn_in(df: DataFrame) -> DataFrame:
     """Without the rows before the first ts that has a signal."""
     first = df.where("signal IS NOT NULL").agg(F.min("ts").alias("_first"))
