@@ -4,23 +4,39 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
+from itertools import zip_longest
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.timeseries import ts_decay_linear
+
 from ..plans.ast import Node, call, data, number
 from ..plans.compiler import signals
 from ..plans.parser import ExpressionError, parse, validate
-from .combine import AlphaPool
-from .metrics import quick_ic
-
+from ..sources.store import materialise
+from . import realistic
+from .combine import AlphaPool, fingerprint
+from .metrics import max_drawdown, quick_ic, summary, turnover_analysis
+from .signal import SignalConfig, truncate
+from .validation import ordered_axis, with_ratio_split
+
+#: Seed expressions by factor family.
 SEEDS = {
-    "momentum": ["rank(ts_delta(log(close), 5))", "ts_mean(returns, 10) / ts_std(returns, 20)", "rank(ts_momentum_decay(close, 10))"],
-    "reversal": ["-rank(ts_delta(close, 3))", "-zscore(ts_mean(returns, 5))"],
-    "volatility": ["-rank(ts_std(returns, 20))", "ts_zscore(high - low, 10)"],
-    "volume": ["rank(volume / ts_mean(volume, 20))", "ts_corr(close, volume, 10)"],
-    "value": ["rank(vwap / close)", "-ts_zscore(close, 30)"],
+    "momentum": ["rank(ts_delta(log(close), 5))", "rank(ts_delta(log(close), 10))", "rank(ts_delta(log(close), 20))", "rank(ts_delta(log(close), 40))", "zscore(ts_delta(log(close), 5))", "rank(ts_delta(vwap, 10))", "rank(ts_rank(close, 20))", "rank(ts_rank(returns, 10))"],
+    "reversion": ["rank(-ts_delta(close, 1))", "rank(-ts_delta(close, 3))", "rank(-ts_delta(close, 5))", "rank(-ts_rank(close, 5))", "rank(ts_zscore(returns, 10))", "zscore(-ts_delta(close, 3))"],
+    "volatility": ["rank(-ts_std(returns, 20))", "rank(-ts_std(returns, 60))", "rank(-ts_var(returns, 20))", "zscore(-ts_std(returns, 10))", "rank(-ts_std(close, 20))"],
+    "risk_adjusted": ["rank(ts_delta(log(close), 20) / ts_std(returns, 20))", "rank(ts_delta(log(close), 10) / ts_std(returns, 10))", "rank(ts_mean(returns, 20) / ts_std(returns, 20))", "rank(ts_delta(log(close), 5) / ts_std(returns, 5))", "rank(ts_delta(log(vwap), 10) / ts_std(returns, 20))"],
+    "liquidity": ["rank(-ts_mean(volume, 20))", "rank(-ts_mean(volume, 60))", "rank(ts_delta(log(volume), 5))", "rank(ts_delta(log(volume), 10))", "zscore(ts_mean(volume, 10))", "rank(ts_std(volume, 20))"],
+    "price_volume_corr": ["rank(-ts_corr(close, volume, 20))", "rank(-ts_corr(close, volume, 10))", "rank(ts_corr(returns, volume, 20))", "rank(-ts_corr(vwap, volume, 20))", "zscore(-ts_corr(close, volume, 10))"],
+    "trend_following": ["rank(ts_mean(close, 60))", "rank(ts_mean(close, 120))", "rank(ts_mean(returns, 20))", "rank(ts_decay_linear(close, 20))", "rank(ts_decay_linear(returns, 10))"],
+    "composite": ["rank(ts_delta(log(close), 10) * ts_delta(log(volume), 5))", "rank(ts_rank(close, 20) + ts_rank(volume, 10))", "rank(ts_delta(log(close), 10) - ts_std(returns, 20))", "rank(ts_delta(log(close), 5) - ts_delta(log(close), 20))", "rank(ts_mean(returns, 5) / ts_std(returns, 20))", "rank(-ts_delta(log(close), 3) + ts_delta(log(close), 20))", "rank(ts_delta(vwap, 5) + ts_delta(log(volume), 5))"],
+    "conditional": ["rank(trade_when(close > ts_mean(close, 60), ts_delta(log(close), 10)))", "rank(trade_when(volume > ts_mean(volume, 20), -ts_delta(close, 3)))", "rank(trade_when(close > ts_mean(close, 20), ts_rank(close, 10)))"],
 }
+#: Operators that tell a factor family.
+MARKS = {"momentum": {"ts_delta", "ts_rank", "ts_argmax", "ts_argmin"}, "volatility": {"ts_std", "ts_var"}, "quality": {"ts_entropy", "ts_skew", "ts_kurt"}}
+#: Operators whose output has no scale of its own.
+SCALE_FREE = {"rank", "zscore", "scale", "normalize", "ts_rank", "ts_zscore", "ts_corr", "group_rank", "group_zscore", "sign", "not", "and", "or", "!", "&&", "||", ">", "<", ">=", "<=", "==", "!="}
 FIELDS = ("close", "open", "high", "low", "volume", "vwap", "returns")
 SMOOTH = ("ts_mean", "ts_decay_linear", "ts_zscore", "ts_rank")
 CONDITIONS = ("close > ts_mean(close, 20)", "ts_delta(close, 5) > 0", "high > ts_delay(ts_max(high, 20), 1)", "returns > 0", "ts_mean(close, 5) > ts_mean(close, 20)")
@@ -130,10 +146,19 @@ def adapted(weights: dict[str, float], turnover: float, overfit: float, ic: floa
     return {k: max(v, 0.01) / total for k, v in w.items()}
 
 
+def scale_free(n: Node) -> bool:
+    """Whether a tree's values have no scale of prices or volumes, judged from the root: an operator gives scale-free values by itself, or hands on what its inputs have; a quotient by anything but a number may grow without bound."""
+    if n.kind in ("number", "text") or n.name in SCALE_FREE:
+        return True
+    if n.kind == "field" or n.name == "/" and n.args[1].kind != "number":
+        return False
+    inputs = n.args[:-1] if n.kind == "ts" else n.args[:1] if n.kind in ("cs", "group") or n.name == "/" else n.args[1:] if n.name in ("if_else", "where", "trade_when") else n.args
+    return all(map(scale_free, inputs))
+
+
 def unstable_scale(n: Node) -> float:
-    """Penalty for a tree whose root mixes prices or volumes without a scale-free operator."""
-    free = {"rank", "zscore", "scale", "normalize", "ts_rank", "ts_zscore", "ts_corr", "group_rank", "group_zscore"}
-    return 0.0 if any(x.name in free or x.name == "/" for x in n.walk()) else 0.15
+    """Penalty for a tree whose values have the scale of prices or volumes."""
+    return 0.0 if scale_free(n) else 0.15
 
 
 def fitness(oos: float, turnover: float, drawdown: float, overfit_gap: float) -> float:
@@ -141,12 +166,21 @@ def fitness(oos: float, turnover: float, drawdown: float, overfit_gap: float) ->
 
 
 def evaluate(panel: DataFrame, expressions: list[str]) -> list[dict]:
-    """ic, ic_ir, turnover and fitness of each expression: one plan makes all signals, one more row a (alpha, ts, ticker) ranks them."""
+    """ic, ic_ir, ir_is, ir_oos, overfit, turnover, fitness and print (mean signal by date) of each expression: one plan makes all signals, one more row a (alpha, ts, ticker) ranks them."""
     names = {f"s{i}": e for i, e in enumerate(expressions)}
     wide = signals(panel, names, keep=("ts", "ticker", "close") if "close" in panel.columns else ("ts", "ticker"))
-    long = wide.unpivot(["ts", "ticker", "close"], list(names), "alpha_id", "signal")
-    rows = {r.alpha_id: r.asDict() for r in quick_ic(long, ("alpha_id",)).collect()}
-    return [rows.get(k, {}) | {"dsl": e} for k, e in names.items()]
+    long = materialise(wide.unpivot(["ts", "ticker", "close"], list(names), "alpha_id", "signal"))
+    segments = with_ratio_split(panel.select("ts").distinct())
+    rows = {r.alpha_id: r.asDict() for r in quick_ic(long, ("alpha_id",), segments).collect()}
+    # one number an expression and date
+    prints = fingerprint(long).groupBy("alpha_id").agg(F.sort_array(F.collect_list(F.struct("ts", "level"))).alias("x"))
+    levels = {r.alpha_id: [x.level for x in r.x] for r in prints.collect()}
+    out = []
+    for k, e in names.items():
+        m = rows.get(k, {}) | {"dsl": e, "print": levels.get(k, [])}
+        a, b = m.get("ir_is"), m.get("ir_oos")
+        out.append(m | {"overfit": min(1.0, max(0.0, (a - b) / abs(a))) if a and b is not None else 0.0})
+    return out
 
 
 @dataclass
@@ -157,10 +191,10 @@ class Individual:
 
 
 def evolve(panel: DataFrame, generations: int = 2, size: int = 12, seed: int = 0, pool: AlphaPool | None = None, seeds: list[str] | None = None) -> tuple[list[Individual], AlphaPool]:
-    """Seeds, then per generation: evaluate all, keep the best quarter, fill up by tournaments of three and weighted mutations."""
+    """Seeds (of each family in turn), then per generation: evaluate all, keep the best quarter, fill up by tournaments of three and weighted mutations. The pool takes the alphas whose signals differ."""
     rng, pool = random.Random(seed), pool or AlphaPool()
     weights = {k: 1 / len(MUTATIONS) for k in MUTATIONS}
-    start = seeds or [e for family in SEEDS.values() for e in family]
+    start = seeds or [e for turn in zip_longest(*SEEDS.values()) for e in turn if e]
     people = [Individual(parse(e)) for e in start[:size]]
     while len(people) < size:
         people.append(Individual(random_tree(rng)))
@@ -168,16 +202,16 @@ def evolve(panel: DataFrame, generations: int = 2, size: int = 12, seed: int = 0
         found = evaluate(panel, [str(p.tree) for p in people])
         for p, m in zip(people, found, strict=True):
             p.metrics = m
-            p.score = (m["fitness"] - unstable_scale(p.tree)) if m.get("fitness") is not None else float("-inf")
+            p.score = (m["fitness"] - unstable_scale(p.tree) - 0.5 * m["overfit"]) if m.get("fitness") is not None else float("-inf")
         people.sort(key=lambda p: (-p.score, str(p.tree)))
         for p in people:
             if p.score > float("-inf"):
-                pool.add(str(p.tree), p.score, [])
+                pool.add(str(p.tree), p.score, p.metrics["print"])
         if g == generations:
             break
         ok = [p.metrics for p in people if p.metrics.get("fitness") is not None]
         if ok:
-            weights = adapted(weights, sum(m["turnover"] or 0 for m in ok) / len(ok), 0.0, sum(m["ic"] or 0 for m in ok) / len(ok))
+            weights = adapted(weights, sum(m["turnover"] or 0 for m in ok) / len(ok), sum(m["overfit"] for m in ok) / len(ok), sum(m["ic"] or 0 for m in ok) / len(ok))
         new = [Individual(p.tree) for p in people[: max(1, size // 4)]]
         seen = {str(p.tree) for p in new}
         tries = 0
@@ -197,17 +231,65 @@ def evolve(panel: DataFrame, generations: int = 2, size: int = 12, seed: int = 0
     return people, pool
 
 
-def config_search(panel: DataFrame, expression: str, configs: list[dict]) -> DataFrame:
-    """fitness of one expression under each of a list of (delay, decay, q) configs, all in one plan: a signal column per config, then one row a config."""
-    from .signal import decay, delay, truncate
+def _under_configs(panel: DataFrame, expression: str, configs: list[dict], keep: tuple[str, ...], keys=()) -> DataFrame:
+    """(keys, keep, alpha_id, signal), alpha_id c0, c1, ... by config (delay, decay, q). A signal column per config: all share the exchange by date and the one by ticker."""
+    spec = Window.partitionBy(*keys, "ticker").orderBy("ts")
+    rows = signals(panel, expression, keys=keys, keep=keep)
+    cut_at = {q: f"_q{i}" for i, q in enumerate(sorted({c["q"] for c in configs}))}
+    for q, name in cut_at.items():
+        rows = truncate(rows.withColumn("_s", F.col("signal")), q, 1 - q, keys).withColumnRenamed("signal", name).withColumnRenamed("_s", "signal")
+    decayed = {k: f"_d{i}" for i, k in enumerate(sorted({(c["q"], c["decay"]) for c in configs}))}
+    rows = rows.withColumns({name: ts_decay_linear(F.col(cut_at[q]), w, spec) if w > 1 else F.col(cut_at[q]) for (q, w), name in decayed.items()})
+    rows = rows.withColumns({f"c{i}": F.lag(decayed[c["q"], c["decay"]], c["delay"]).over(spec) if c["delay"] else F.col(decayed[c["q"], c["decay"]]) for i, c in enumerate(configs)})
+    return rows.unpivot([*keys, *keep], [f"c{i}" for i in range(len(configs))], "alpha_id", "signal")
 
-    base = signals(panel, expression, keep=("ts", "ticker", "close"))
+
+def config_search(panel: DataFrame, expression: str, configs: list[dict]) -> DataFrame:
+    """fitness of one expression under each of a list of (delay, decay, q) configs, all in one plan, one row a config."""
     table = panel.sparkSession.createDataFrame([(i, c["delay"], c["decay"], c["q"]) for i, c in enumerate(configs)], "config int, delay int, decay int, q double")
-    out = None
-    for i, c in enumerate(configs):
-        one = delay(decay(truncate(base, c["q"], 1 - c["q"]), c["decay"]), c["delay"]).withColumn("config", F.lit(i))
-        out = one if out is None else out.unionByName(one)
-    return quick_ic(out, ("config",)).join(F.broadcast(table), "config")
+    rows = _under_configs(panel, expression, configs, ("ts", "ticker", "close")).withColumn("config", F.substring("alpha_id", 2, 9).cast("int")).drop("alpha_id")
+    return quick_ic(rows, ("config",)).join(F.broadcast(table), "config")
+
+
+def tune(panel: DataFrame, expression: str, trials: int = 16, seed: int = 0, modes: tuple[str, ...] = ("long_short", "decile"), late: float = 0.4) -> list[dict]:
+    """Seeded search over delay, decay, truncation and mode by the fitness of in-sample dates, best first; the last `late` of them, run apart, stand for what is out of sample. panel holds in-sample dates only.
+
+    Half of the trials are drawn at random, the others around the better third so far. A batch of trials is one plan with a key per trial.
+    """
+    rng, done = random.Random(seed), []
+    fresh = lambda: {"delay": rng.randint(0, 3), "decay": rng.randint(0, 8), "q": round(rng.uniform(0.0, 0.1), 3), "mode": rng.choice(modes)}
+
+    def near(c: dict) -> dict:
+        new = {"delay": min(3, max(0, c["delay"] + rng.randint(-1, 1))), "decay": min(8, max(0, c["decay"] + rng.randint(-2, 2))), "q": round(min(0.1, max(0.0, c["q"] + rng.gauss(0, 0.02))), 3)}
+        return new | {"mode": c["mode"] if rng.random() < 0.8 else rng.choice(modes)}
+
+    axis = ordered_axis(panel)
+    n = axis.count()
+    parts = axis.select("ts", F.explode(F.when(F.col("i") >= int(n * (1 - late)), F.array(F.lit("full"), F.lit("late"))).otherwise(F.array(F.lit("full")))).alias("segment"))
+    split = panel.join(F.broadcast(parts), "ts")
+    for batch in (trials - trials // 2, trials // 2):
+        if not batch:
+            continue
+        good = sorted(done, key=lambda x: -x["fitness"])[: max(1, len(done) // 3)]
+        configs = [near(rng.choice(good)) if good else fresh() for _ in range(batch)]
+        rows = _under_configs(split, expression, configs, realistic.KEEP, ("segment",))
+        made = None
+        for mode in sorted({c["mode"] for c in configs}):
+            of = rows.where(F.col("alpha_id").isin([f"c{i}" for i, c in enumerate(configs) if c["mode"] == mode]))
+            one = realistic.construct(of, SignalConfig(mode=mode)).select(*realistic.KEYS, "ts", "ticker", "close", "weight", "adv")
+            made = one if made is None else made.unionByName(one)
+        _, day = realistic.results(made)
+        series = day.select(*realistic.KEYS, "ts", F.col("net").alias("r"))
+        found = summary(series, realistic.KEYS).join(max_drawdown(series, realistic.KEYS).select(*realistic.KEYS, "mdd"), [*realistic.KEYS]).join(turnover_analysis(day, realistic.KEYS), [*realistic.KEYS])
+        got = {(r.alpha_id, r.segment): r for r in found.collect()}
+        for i, c in enumerate(configs):
+            whole, end = got.get((f"c{i}", "full")), got.get((f"c{i}", "late"))
+            if whole is None or whole.sharpe is None:
+                continue
+            a = whole.sharpe
+            b = end.sharpe if end is not None and end.sharpe is not None else a
+            done.append(c | {"sharpe": a, "sharpe_late": b, "fitness": fitness(b, whole.ann_turnover, whole.mdd, (a - b) / abs(a) if a else 0.0)})
+    return sorted(done, key=lambda x: (-x["fitness"], str(x)))
 
 
 def features(n: Node) -> list[float]:
@@ -231,16 +313,43 @@ def surrogate(spark, samples: list[tuple[str, bool]], least: int = 50):
     return lambda e: float(model.predictProbability(Vectors.dense(features(parse(e))))[1])
 
 
+def family(n: Node) -> str:
+    """Factor family of a tree, by the operators and fields in it: composite where several show."""
+    names = {x.name for x in n.walk()}
+    found = [f for f, ops in MARKS.items() if names & ops]
+    if "volume" in names and ("ts_corr" in names or "momentum" not in found):
+        found.append("price_volume_corr" if "ts_corr" in names else "liquidity")
+    if len(found) > 1:
+        return "composite"
+    if found == ["momentum"]:
+        if any(x.kind == "unary" and x.name == "-" and {"ts_delta", "ts_rank"} & {y.name for y in x.walk()} for x in n.walk()):
+            return "reversion"
+        return "trend_following" if max((x.args[-1].value for x in n.walk() if x.kind == "ts"), default=0) >= 60 else "momentum"
+    return found[0] if found else "reversion" if "ts_zscore" in names else "trend_following" if "ts_mean" in names and "ts_corr" not in names else "momentum"
+
+
 def interpret(expression: str) -> dict:
     """Family, complexity and issues of an expression."""
     n = parse(expression)
     names = {x.name for x in n.walk()}
-    family = "volume" if "volume" in names else "volatility" if names & {"ts_std", "ts_var"} else "reversal" if n.kind == "unary" else "momentum" if names & {"ts_delta", "ts_momentum_decay", "returns"} else "value"
     issues = [m for bad, m in ((n.depth() > 8, "deep"), (len(list(n.walk())) > 40, "large"), (unstable_scale(n) > 0, "not scale-free"), (not names & {"rank", "zscore", "scale", "normalize", "demean"}, "no cross-section")) if bad]
-    return {"family": family, "type": n.result_type(), "nodes": len(list(n.walk())), "depth": n.depth(), "issues": issues}
+    return {"family": family(n), "type": n.result_type(), "nodes": len(list(n.walk())), "depth": n.depth(), "issues": issues}
 
 
 def diagnose(metrics: DataFrame) -> DataFrame:
-    """The first rule that a row (sharpe, turnover, mdd, overfit) breaks, in order."""
+    """diagnosis and severity of rows (sharpe_is, sharpe_oos, turnover, mean_ic, ic_ir, mdd, overfit): the first finding that holds, in the order below."""
     c = F.col
-    return metrics.withColumn("diagnosis", F.when(c("overfit") > 0.5, "overfit").when(c("sharpe") < 0, "negative").when(c("mdd") < -0.3, "deep drawdown").when(c("turnover") > 1, "high turnover").when(c("sharpe") < 0.5, "weak").otherwise("ok"))
+    #: Findings with their thresholds.
+    rules = [
+        ("severe_overfitting", (c("overfit") > 0.6) & (c("sharpe_is") > 0.8), F.lit("critical")),
+        ("high_turnover", c("turnover") > 3.0, F.when(c("turnover") > 5.0, "critical").otherwise("moderate")),
+        ("no_signal", (c("sharpe_oos") < 0.1) & (c("mean_ic") < 0.01), F.lit("critical")),
+        ("noisy_signal", (c("mean_ic") > 0.02) & (c("ic_ir") < 0.3), F.lit("moderate")),
+        ("high_drawdown", F.abs("mdd") > 0.25, F.lit("moderate")),
+        ("mild_overfitting", (c("overfit") > 0.1) & (c("overfit") <= 0.6) & (c("sharpe_is") > c("sharpe_oos") + 0.3), F.lit("moderate")),
+        ("healthy", (c("sharpe_oos") > 0.5) & (c("overfit") < 0.3), F.lit("minor")),
+    ]
+    name, severity = F.lit("weak_alpha"), F.lit("moderate")
+    for what, holds, how in reversed(rules):
+        name, severity = F.when(holds, what).otherwise(name), F.when(holds, how).otherwise(severity)
+    return metrics.withColumns({"diagnosis": name, "severity": severity})
