@@ -18,7 +18,7 @@ class SchemaError(ValueError):
 
 
 def enforce_schema(df: DataFrame, keep_extra: bool = False, order_col: str | None = None) -> DataFrame:
-    """Trimmed lower-case names, ts and ticker, doubles (what does not parse, and NaN, is null; adj_factor 1), the last row of a key by order_col, upper-case tickers."""
+    """Trimmed lower-case names, ts and ticker, doubles (what does not parse, and NaN, is null; adj_factor is adj_close / close where a vendor gives that, else 1), the last row of a key by order_col (without one, by a hash of the row, so that the choice does not depend on partitions), upper-case tickers."""
     names = [c.strip().lower() for c in df.columns]
     df = df.toDF(*names)
     if "timestamp" in names and "ts" not in names:
@@ -27,6 +27,9 @@ def enforce_schema(df: DataFrame, keep_extra: bool = False, order_col: str | Non
     if missing:
         raise SchemaError(f"missing {sorted(missing)}")
 
+    if "adj_close" in names and "adj_factor" not in names:
+        df = df.withColumn("adj_factor", F.try_divide(F.expr("try_cast(adj_close AS double)"), F.expr("try_cast(close AS double)")))
+
     def clean(c: str) -> Column:
         if c not in df.columns:
             return F.lit(1.0 if c == "adj_factor" else None).cast("double").alias(c)
@@ -34,7 +37,7 @@ def enforce_schema(df: DataFrame, keep_extra: bool = False, order_col: str | Non
         return F.when(~F.isnan(x), x).alias(c)
 
     extra = [c for c in df.columns if keep_extra and c not in (*NUMERIC, "ts", "ticker")]
-    order = F.col(order_col) if order_col else F.monotonically_increasing_id()
+    order = F.col(order_col) if order_col else F.xxhash64(*(F.col(c).cast("string") for c in df.columns))
     out = df.select(F.date_trunc("day", F.expr("try_cast(ts AS timestamp)")).alias("ts"), F.upper(F.trim(F.col("ticker").cast("string"))).alias("ticker"), *map(clean, NUMERIC), *extra, order.alias("_order"))
     last = Window.partitionBy("ts", "ticker").orderBy(F.col("_order").desc())
     return out.where("ts IS NOT NULL AND ticker IS NOT NULL").withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn", "_order")

@@ -51,10 +51,28 @@ def register_loader(name: str, load) -> None:
     LOADERS[name] = load
 
 
-def load_dataset(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+_MADE: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, key: tuple, make) -> DataFrame:
+    """What make() gives, made once per application and key."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+def load_dataset(spark: SparkSession, sf_dir: str, name: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """A dataset by name, within a range of dates; asked for again, the same one."""
     if name not in LOADERS:
         raise KeyError(f"no dataset {name!r}; there are {sorted(LOADERS)}")
-    return LOADERS[name](spark, sf_dir)
+
+    def make():
+        df = LOADERS[name](spark, sf_dir)
+        df = df if start is None else df.where(F.col("ts") >= F.lit(start).cast("timestamp"))
+        return df if end is None else df.where(F.col("ts") <= F.lit(end).cast("timestamp"))
+
+    return once(spark, (sf_dir, name, start, end), make)
 
 
 def first_available(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:

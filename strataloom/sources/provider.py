@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .store import materialise
+
 SCHEMA = "ts timestamp, ticker string, open double, high double, low double, close double, volume double, vwap double, returns double"
 
 
@@ -30,7 +32,14 @@ class LocalParquet:
         return df.select("ts", "ticker", *(fields or [c for c in df.columns if c not in ("ts", "ticker", "year")]))
 
     def save(self, df: DataFrame) -> None:
-        df.withColumn("year", F.year("ts")).write.mode("append").partitionBy("ticker", "year").parquet(self.root)
+        """Writes (ts, ticker, ...); of a key that is there already the new row stays. Only the tickers and years that df has are rewritten, from a staged copy."""
+        spark, df = df.sparkSession, df.withColumn("year", F.year("ts"))
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            touched = F.broadcast(df.select("ticker", "year").distinct())  # a row a partition of df
+            old = spark.read.parquet(self.root).join(touched, ["ticker", "year"]).join(df.select("ts", "ticker"), ["ts", "ticker"], "left_anti")
+            df = materialise(old.unionByName(df, allowMissingColumns=True))
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker", "year").parquet(self.root)
 
 
 class SyntheticSource(DataSource):
