@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import filters, panel, quality
 from .plans.compiler import signals
 from .sources import bars as source
+from .sources.store import materialise
 
 DP = 6
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,7 +60,8 @@ def bars(spark, sf_dir):
 
 
 def std(spark, sf_dir):
-    return panel.standard_panel(bars(spark, sf_dir))
+    """The standard panel, made once per session and folder: what every panel query reads."""
+    return source.once(spark, ("standard_panel", sf_dir), lambda: materialise(panel.standard_panel(bars(spark, sf_dir))))
 
 
 # --- sources and panel preparation ---------------------------------------------------------------
@@ -99,7 +101,8 @@ query("universe_ranges", f"{BARS_SQL['nation_week']} SELECT ts, ticker FROM bars
 query("null_report", f"{DENSE_SQL} SELECT ticker, field, count(*) FILTER (value IS NULL) AS nulls, round(100.0 * count(*) FILTER (value IS NULL) / count(*), 2) AS pct FROM (SELECT ticker, 'close' AS field, close AS value FROM dense UNION ALL SELECT ticker, 'volume', volume FROM dense) GROUP BY ticker, field HAVING count(*) FILTER (value IS NULL) > 0")(lambda s, d: panel.null_report(panel.densify(bars(s, d)), ["close", "volume"]))
 query("describe_fields", f"{DENSE_SQL} SELECT field, count(DISTINCT ts) AS n_ts, count(DISTINCT ticker) AS n_tickers, round(100.0 * count(*) FILTER (value IS NULL) / count(*), 4) AS null_pct, min(ts) AS start_ts, max(ts) AS end_ts FROM (SELECT ts, ticker, 'close' AS field, close AS value FROM dense UNION ALL SELECT ts, ticker, 'volume', volume FROM dense) GROUP BY field")(lambda s, d: panel.describe(panel.densify(bars(s, d)), ["close", "volume"]))
 query("melt_long", f"{BARS_SQL['nation_week']} SELECT ts, ticker, 'close' AS field, round(close, 6) AS value FROM bars UNION ALL SELECT ts, ticker, 'volume', round(volume, 6) FROM bars")(lambda s, d: rounded(panel.melt(bars(s, d), ["close", "volume"])))
-query("pivot_wide", f"{BARS_SQL['nation_week']} SELECT ts, round(max(close) FILTER (ticker = 'NATION_1'), 6) AS \"NATION_1\", round(max(close) FILTER (ticker = 'NATION_2'), 6) AS \"NATION_2\" FROM bars GROUP BY ts")(lambda s, d: rounded(panel.pivot(bars(s, d), "close", ["NATION_1", "NATION_2"])))
+_NATIONS = [f"NATION_{i}" for i in range(25)]
+query("pivot_wide", f"{BARS_SQL['nation_week']} SELECT ts, {', '.join(f'round(max(close) FILTER (ticker = {chr(39)}{n}{chr(39)}), 6) AS {n}' for n in _NATIONS)} FROM bars GROUP BY ts")(lambda s, d: rounded(panel.pivot(bars(s, d), "close", _NATIONS)))
 query("sector_lookup", f"{BARS_SQL['nation_week']} SELECT ts, ticker, CASE WHEN sector < 3 THEN sector ELSE -1 END AS sector FROM bars")(lambda s, d: panel.with_sector(bars(s, d).drop("sector"), bars(s, d).where("sector < 3").select("ticker", "sector").distinct()).select("ts", "ticker", "sector"))
 query("business_day_index", "WITH d AS (SELECT unnest(generate_series(TIMESTAMP '2022-01-03', TIMESTAMP '2022-12-30', INTERVAL 1 DAY)) AS ts) SELECT ts, n_name AS ticker FROM d CROSS JOIN nation WHERE isodow(ts) < 6")(
     lambda s, d: panel.business_days(source.read(s, d, "nation").select(F.lit(None).cast("timestamp").alias("ts"), F.col("n_name").alias("ticker")), "2022-01-03", "2022-12-30").select("ts", "ticker")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from .catalogue import _T, BARS_SQL, DP, PANEL_SQL, query, rounded, sql_rank, sq
 from .operators import backtest, combine, ledger, metrics, portfolio, realistic, search, signal, validation
 from .plans.compiler import signals
 from .sources import bars as source
+from .sources.store import shared_dir
 from .streaming import monitor
 
 ALPHA = "rank(ts_delta(log(close), 5))"
@@ -70,13 +70,16 @@ query("signal_pipeline_full", f"{PANEL_SQL}, a AS (SELECT ts, ticker, sector, {_
     lambda s, d: rounded(signal.process(price_signal(s, d), signal.SignalConfig(delay=1, decay=3, group="sector")).select("ts", "ticker", "signal"))
 )
 
+_POST = f"{SIG_SQL}, w AS (SELECT ts, ticker, CASE WHEN signal IS NOT NULL AND stddev_samp(signal) {_C} IS NOT NULL THEN least(greatest(signal, avg(signal) {_C} - stddev_samp(signal) {_C}), avg(signal) {_C} + stddev_samp(signal) {_C}) END AS signal FROM sig) SELECT ts, ticker, round(signal - avg(signal) {_C}, {DP}) AS signal FROM w"
+query("signal_post_process", _POST)(lambda s, d: rounded(signal.post_process(sig(s, d), 1.0, True).select("ts", "ticker", "signal")))
+
 # --- portfolio -----------------------------------------------------------------------------------
 
 _OUT = ("ts", "ticker", "weight")
 
 
 def weights_query(name: str, value: str, build, ctes: str = "", table: str = "wts", base: str = W_SQL) -> None:
-    query(name, f"{base}{ctes} SELECT ts, ticker, round({value}, {DP}) AS weight FROM {table}")(lambda s, d: rounded(build(s, d).select(*_OUT)))
+    query(name, f"{base}{ctes} SELECT ts, ticker, round({value}, 9) AS weight FROM {table}")(lambda s, d: rounded(build(s, d).select(*_OUT), 9))
 
 
 weights_query(
@@ -117,7 +120,14 @@ query("portfolio_mvo")(lambda s, d: rounded(portfolio.mvo(sig(s, d).withColumn("
 # --- backtest and metrics ------------------------------------------------------------------------
 
 query("backtest_daily", f"{DAY_SQL} SELECT ts, {sql_round('gross', 'long', 'short', 'turnover', 'borrow')} FROM day")(lambda s, d: rounded(day(s, d)))
-query("equity_fold")(lambda s, d: rounded(backtest.equity_curve(backtest.legs(portfolio.with_adv(weighted(s, d))))))
+# a day's cost depends on the equity before it, so the days are a recursion; each has the list of its trades
+EQUITY_SQL = f"""{_TRADED.replace('WITH ', 'WITH RECURSIVE ', 1)},
+dg AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i, sum(w0 * coalesce(change, 0)) AS gross, sum(greatest(-w0, 0)) * 0.005 / 252 AS borrow, coalesce(list({{'dw': abs(dw), 'vol': vol, 'adv': adv}}) FILTER (abs(dw) >= 1e-10), []) AS trades FROM legs GROUP BY ts),
+eq(i, ts, gross, net, equity, cost) AS (
+SELECT 0, NULL::TIMESTAMP, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE
+UNION ALL SELECT i, ts, gross, CASE WHEN before > 0 THEN gross - share - borrow ELSE 0 END, CASE WHEN before > 0 THEN greatest(0, before * (1 + gross - share - borrow)) ELSE 0 END, share FROM (
+SELECT dg.i, dg.ts, dg.gross, dg.borrow, eq.equity AS before, CASE WHEN eq.equity > 0 THEN coalesce(list_sum(list_transform(dg.trades, lambda t: greatest(t.dw * eq.equity * 1e6 * (5.0 + 1.0 + 0.1 * 1e4 * t.vol * sqrt(CASE WHEN t.adv > 0 THEN t.dw * eq.equity * 1e6 / t.adv ELSE 0 END)) / 1e4, 1.0))), 0) / (eq.equity * 1e6) ELSE 0 END AS share FROM eq JOIN dg ON dg.i = eq.i + 1))"""
+query("equity_fold", f"{EQUITY_SQL} SELECT ts, {sql_round('gross', 'net', 'equity', 'cost')} FROM eq WHERE i > 0")(lambda s, d: rounded(backtest.equity_curve(backtest.legs(portfolio.with_adv(weighted(s, d))))))
 query(
     "metrics_summary",
     f"""{DAY_SQL}, t AS (SELECT {TD_SQL} AS td, quantile_cont(r, 0.05) AS q FROM series),
@@ -158,7 +168,13 @@ query("worst_month_quarter_year", f"{DAY_SQL} " + " UNION ALL ".join(f"(SELECT '
 query("losing_streak", f"{DAY_SQL}, a AS (SELECT ts, r < 0 AS loss, row_number() OVER (ORDER BY ts) AS rn FROM series), b AS (SELECT rn - row_number() OVER (ORDER BY ts) AS island FROM a WHERE loss) SELECT max(n) AS longest_losing_streak FROM (SELECT count(*) AS n FROM b GROUP BY island)")(lambda s, d: metrics.losing_streak(series(s, d)))
 CRISES = [("spring", "1996-03-01", "1996-05-31"), ("autumn", "1998-08-01", "1998-10-31"), ("turn", "1999-12-01", "2000-02-01"), ("none", "2010-01-01", "2010-03-01")]
 query("crisis_windows", f"{DAY_SQL} SELECT crisis, count(*) AS n, round(product(1 + r) - 1, {DP}) AS r FROM series JOIN (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, TIMESTAMP {chr(39)}{a}{chr(39)}, TIMESTAMP {chr(39)}{b}{chr(39)})' for n, a, b in CRISES)}) c(crisis, a, b) ON ts BETWEEN a AND b GROUP BY crisis HAVING count(*) >= 5")(lambda s, d: rounded(metrics.crisis_windows(series(s, d), CRISES)))
-query("deflated_sharpe")(lambda s, d: rounded(metrics.deflated_sharpes(series(s, d).withColumn("alpha_id", F.lit("a0")))))
+_DSR_Z = "(sr - sqrt(v) * {b}) / sqrt(v)".format(b=metrics.best_of_trials(10))
+_ERF_T = "(1 / (1 + 0.3275911 * abs(z) / sqrt(2)))"
+_DSR_TAIL = f"{_ERF_T} * (0.254829592 + {_ERF_T} * (-0.284496736 + {_ERF_T} * (1.421413741 + {_ERF_T} * (-1.453152027 + {_ERF_T} * 1.061405429)))) * exp(-z * z / 2)"
+query("deflated_sharpe", f"{DAY_SQL}, m0 AS (SELECT count(*) AS n, avg(r) AS mean, stddev_samp(r) AS sd FROM series), m1 AS (SELECT any_value(n) AS n, any_value(mean / sd) AS sr, avg(power(r - mean, 3)) / power(avg(power(r - mean, 2)), 1.5) AS skew, avg(power(r - mean, 4)) / power(avg(power(r - mean, 2)), 2) AS kurt FROM series, m0), m2 AS (SELECT sr, (1 - skew * sr + (kurt - 1) / 4 * sr * sr) / (n - 1) AS v FROM m1), m3 AS (SELECT {_DSR_Z} AS z FROM m2) SELECT 'a0' AS alpha_id, round(CASE WHEN z >= 0 THEN 1 - ({_DSR_TAIL}) / 2 ELSE ({_DSR_TAIL}) / 2 END, {DP}) AS dsr FROM m3")(lambda s, d: rounded(metrics.deflated_sharpes(series(s, d).withColumn("alpha_id", F.lit("a0")))))
+query("rank_ic_approx", f"{W_SQL}, ap AS (SELECT ts, signal, lead(weight) {_O} AS fwd FROM wts), ak AS (SELECT ts, (rank() OVER (PARTITION BY ts ORDER BY signal) + count(*) OVER (PARTITION BY ts ORDER BY signal)) / 2.0 AS a, (rank() OVER (PARTITION BY ts ORDER BY fwd) + count(*) OVER (PARTITION BY ts ORDER BY fwd)) / 2.0 AS b FROM ap WHERE signal IS NOT NULL AND fwd IS NOT NULL) SELECT ts, count(*) AS n, round(covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0), {DP}) AS ic FROM ak GROUP BY ts HAVING count(*) >= 5")(lambda s, d: rounded(metrics.rank_ic_approx(weighted(s, d))))
+query("rolling_ic", f"{SIG_SQL}{ic_sql(1)} SELECT ts, n, round(ic, {DP}) AS ic, round(CASE WHEN count(ic) OVER w >= 10 THEN avg(ic) OVER w END, {DP}) AS rolling_ic FROM ic1 WINDOW w AS (ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")(lambda s, d: rounded(metrics.rolling_ic(metrics.rank_ic(sig(s, d)))))
+query("calmar", f"{_DD}, t AS (SELECT pow(1 + avg(r), {TD_SQL}) - 1 AS ret FROM series) SELECT round(any_value(ret) / abs(min(drawdown)), {DP}) AS calmar FROM dd, t")(lambda s, d: rounded(metrics.summary(series(s, d)).crossJoin(metrics.max_drawdown(series(s, d)).select("mdd")).select(metrics.calmar(F.col("ann_return"), F.col("mdd")).alias("calmar"))))
 query(
     "quick_ic_eval",
     f"{SIG_SQL}{ic_sql(1)}, p AS (SELECT ts, ticker, CASE WHEN signal IS NOT NULL THEN percent_rank() OVER (PARTITION BY ts ORDER BY signal NULLS LAST) END AS p FROM sig), t AS (SELECT avg(d) * 252 AS turnover FROM (SELECT abs(p - lag(p) {_O}) AS d FROM p)), i AS (SELECT avg(ic) AS ic, avg(ic) / (stddev_pop(ic) + 1e-9) AS ic_ir FROM ic1) SELECT {sql_round('ic', 'ic_ir', 'turnover', 'ic_ir + 0.5 * ic - 0.1 * turnover AS fitness')} FROM i, t",
@@ -223,10 +239,10 @@ query("pool_fingerprint", f"{_POOL} SELECT alpha_id, ts, round(avg(signal), {DP}
 
 
 def _prints(s, d):
-    return std(s, d).groupBy("ticker", "ts").agg(F.first("close").alias("level")).where("ticker IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4')").withColumnRenamed("ticker", "alpha_id")
+    return std(s, d).groupBy("ticker", "ts").agg(F.first("close").alias("level")).withColumnRenamed("ticker", "alpha_id")
 
 
-query("pool_pairwise_corr", f"{PANEL_SQL}, p AS (SELECT ticker, ts, close AS level FROM panel WHERE ticker IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4') AND close IS NOT NULL) SELECT a.ticker AS a_id, b.ticker AS b_id, count(*) AS n, round(corr(a.level, b.level), {DP}) AS corr FROM p a JOIN p b ON a.ts = b.ts AND a.ticker < b.ticker GROUP BY 1, 2 HAVING count(*) >= 10")(lambda s, d: rounded(combine.pairwise_corr(_prints(s, d))))
+query("pool_pairwise_corr", f"{PANEL_SQL}, p AS (SELECT ticker, ts, close AS level FROM panel WHERE close IS NOT NULL) SELECT a.ticker AS a_id, b.ticker AS b_id, count(*) AS n, round(corr(a.level, b.level), {DP}) AS corr FROM p a JOIN p b ON a.ts = b.ts AND a.ticker < b.ticker GROUP BY 1, 2 HAVING count(*) >= 10")(lambda s, d: rounded(combine.pairwise_corr(_prints(s, d))))
 
 
 def market(s, d):
@@ -241,7 +257,7 @@ query("regime_predict", f"{_REG} SELECT a.ts + INTERVAL 3 DAY AS ts, regime FROM
 
 
 def _ledger(s, d):
-    status = F.when(F.col("c_mktsegment") == "BUILDING", "live").when(F.col("c_mktsegment") == "MACHINERY", "retired").otherwise("paper")
+    status = F.when(F.col("c_mktsegment") == "BUILDING", "active").when(F.col("c_mktsegment") == "MACHINERY", "retired").otherwise("paper")
     return source.read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("alpha_id"), F.round(F.col("c_acctbal") / 1000, 6).alias("sharpe"), status.alias("status"))
 
 
@@ -249,9 +265,9 @@ def _history(s, d):
     return source.read(s, d, "events").groupBy(F.col("user_id").cast("string").alias("alpha_id"), F.to_date("ts").alias("date")).agg((F.avg("value") - 50).alias("realized_ic"))
 
 
-_LEDGER = "ledger AS (SELECT c_custkey::VARCHAR AS alpha_id, round(c_acctbal / 1000, 6) AS sharpe, CASE c_mktsegment WHEN 'BUILDING' THEN 'live' WHEN 'MACHINERY' THEN 'retired' ELSE 'paper' END AS status FROM customer)"
+_LEDGER = "ledger AS (SELECT c_custkey::VARCHAR AS alpha_id, round(c_acctbal / 1000, 6) AS sharpe, CASE c_mktsegment WHEN 'BUILDING' THEN 'active' WHEN 'MACHINERY' THEN 'retired' ELSE 'paper' END AS status FROM customer)"
 _HIST = "hist AS (SELECT user_id::VARCHAR AS alpha_id, ts::DATE AS date, avg(value) - 50 AS realized_ic FROM events GROUP BY 1, 2)"
-query("ledger_topk", f"WITH {_LEDGER} SELECT * FROM ledger WHERE sharpe >= 1 AND status = 'live' ORDER BY sharpe DESC, alpha_id LIMIT 20")(lambda s, d: ledger.query_ledger(_ledger(s, d), 1.0, "live", 20))
+query("ledger_topk", f"WITH {_LEDGER} SELECT * FROM ledger WHERE sharpe >= 1 AND status = 'active' ORDER BY sharpe DESC, alpha_id LIMIT 20")(lambda s, d: ledger.query_ledger(_ledger(s, d), 1.0, "active", 20))
 query("ic_upsert", f"WITH {_HIST} SELECT alpha_id, date, round(CASE WHEN date > DATE '2024-01-15' THEN realized_ic * 2 ELSE realized_ic END, {DP}) AS realized_ic, CASE WHEN date > DATE '2024-01-15' THEN 1 ELSE 0 END AS batch FROM hist")(
     lambda s, d: rounded(ledger.upsert(_history(s, d).withColumn("batch", F.lit(0)), _history(s, d).where("date > DATE '2024-01-15'").withColumn("realized_ic", F.col("realized_ic") * 2).withColumn("batch", F.lit(1)), ["alpha_id", "date"], "batch"))
 )
@@ -260,23 +276,27 @@ query("decay_alert", f"WITH {_HIST}, r AS (SELECT *, row_number() OVER w AS rn,
 
 
 def _changes(s, d):
-    status = F.element_at(F.array(*map(F.lit, ("draft", "testing", "paper", "live", "rejected"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, ("candidate", "validated", "paper", "active", "superseded"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
     return source.read(s, d, "orders").select(F.col("o_custkey").alias("alpha_id"), F.struct("o_orderdate", "o_orderkey").alias("at"), status.alias("status"))
 
 
 query(
     "lifecycle_illegal",
-    "WITH c AS (SELECT o_custkey AS alpha_id, o_orderkey, list_extract(['draft', 'testing', 'paper', 'live', 'rejected'], (o_orderkey % 5 + 1)::INT) AS status, lag(list_extract(['draft', 'testing', 'paper', 'live', 'rejected'], (o_orderkey % 5 + 1)::INT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) SELECT alpha_id, o_orderkey, before, status FROM c WHERE before IS NOT NULL AND before <> status AND NOT ((before = 'draft' AND status IN ('testing', 'rejected')) OR (before = 'testing' AND status IN ('paper', 'rejected')) OR (before = 'paper' AND status IN ('live', 'rejected', 'testing')) OR (before = 'live' AND status IN ('decaying', 'retired')))",
+    "WITH c AS (SELECT o_custkey AS alpha_id, o_orderkey, list_extract(['candidate', 'validated', 'paper', 'active', 'superseded'], (o_orderkey % 5 + 1)::INT) AS status, lag(list_extract(['candidate', 'validated', 'paper', 'active', 'superseded'], (o_orderkey % 5 + 1)::INT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) SELECT alpha_id, o_orderkey, before, status FROM c WHERE before IS NOT NULL AND before <> status AND NOT ((before = 'candidate' AND status IN ('validated', 'retired')) OR (before = 'validated' AND status IN ('paper', 'retired')) OR (before = 'paper' AND status IN ('active', 'retired')) OR (before = 'active' AND status IN ('decaying', 'superseded', 'retired')) OR (before = 'decaying' AND status IN ('active', 'retired')))",
 )(lambda s, d: ledger.illegal_transitions(_changes(s, d)).select("alpha_id", F.col("at.o_orderkey").alias("o_orderkey"), "before", "status"))
-query("alpha_dashboard", f"WITH {_LEDGER}, {_HIST}, r AS (SELECT alpha_id, avg(realized_ic) AS ic20 FROM (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY alpha_id ORDER BY date DESC) <= 20) GROUP BY alpha_id) SELECT l.alpha_id, sharpe, status, round(ic20, {DP}) AS ic20 FROM ledger l LEFT JOIN r USING (alpha_id) WHERE status NOT IN ('rejected', 'retired')")(lambda s, d: rounded(ledger.dashboard(_ledger(s, d), _history(s, d))))
-query("alpha_diagnosis", "WITH m AS (SELECT c_custkey AS alpha_id, c_acctbal / 5000 AS sharpe, (c_custkey % 7) / 10.0 AS overfit, -(c_custkey % 5) / 10.0 AS mdd, (c_custkey % 3) * 0.6 AS turnover FROM customer) SELECT alpha_id, CASE WHEN overfit > 0.5 THEN 'overfit' WHEN sharpe < 0 THEN 'negative' WHEN mdd < -0.3 THEN 'deep drawdown' WHEN turnover > 1 THEN 'high turnover' WHEN sharpe < 0.5 THEN 'weak' ELSE 'ok' END AS diagnosis FROM m")(
-    lambda s, d: search.diagnose(source.read(s, d, "customer").select(F.col("c_custkey").alias("alpha_id"), (F.col("c_acctbal") / 5000).alias("sharpe"), (F.col("c_custkey") % 7 / 10).alias("overfit"), (-(F.col("c_custkey") % 5) / 10).alias("mdd"), ((F.col("c_custkey") % 3) * 0.6).alias("turnover"))).select("alpha_id", "diagnosis")
+query("alpha_dashboard", f"WITH {_LEDGER}, {_HIST}, r AS (SELECT alpha_id, avg(realized_ic) AS ic20 FROM (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY alpha_id ORDER BY date DESC) <= 20) GROUP BY alpha_id) SELECT l.alpha_id, sharpe, status, round(ic20, {DP}) AS ic20 FROM ledger l LEFT JOIN r USING (alpha_id) WHERE status NOT IN ('retired', 'superseded')")(lambda s, d: rounded(ledger.dashboard(_ledger(s, d), _history(s, d))))
+def _measured(s, d):
+    k = F.col("c_custkey")
+    return source.read(s, d, "customer").select(k.alias("alpha_id"), (F.col("c_acctbal") / 5000).alias("sharpe_is"), (F.col("c_acctbal") / 5000 - (k % 4) / 4).alias("sharpe_oos"), ((k % 11) * 0.6).alias("turnover"), ((k % 6) / 100 - 0.01).alias("mean_ic"), ((k % 5) / 10).alias("ic_ir"), (-(k % 7) / 20).alias("mdd"), ((k % 9) / 10).alias("overfit"))
+
+
+query("alpha_diagnosis", "WITH m AS (SELECT c_custkey AS alpha_id, c_acctbal / 5000 AS a, c_acctbal / 5000 - (c_custkey % 4) / 4.0 AS b, (c_custkey % 11) * 0.6 AS turnover, (c_custkey % 6) / 100.0 - 0.01 AS mean_ic, (c_custkey % 5) / 10.0 AS ic_ir, -(c_custkey % 7) / 20.0 AS mdd, (c_custkey % 9) / 10.0 AS overfit FROM customer), n AS (SELECT *, CASE WHEN overfit > 0.6 AND a > 0.8 THEN 'severe_overfitting' WHEN turnover > 3 THEN 'high_turnover' WHEN b < 0.1 AND mean_ic < 0.01 THEN 'no_signal' WHEN mean_ic > 0.02 AND ic_ir < 0.3 THEN 'noisy_signal' WHEN abs(mdd) > 0.25 THEN 'high_drawdown' WHEN overfit > 0.1 AND overfit <= 0.6 AND a > b + 0.3 THEN 'mild_overfitting' WHEN b > 0.5 AND overfit < 0.3 THEN 'healthy' ELSE 'weak_alpha' END AS diagnosis FROM m) SELECT alpha_id, diagnosis, CASE WHEN diagnosis IN ('severe_overfitting', 'no_signal') OR diagnosis = 'high_turnover' AND turnover > 5 THEN 'critical' WHEN diagnosis = 'healthy' THEN 'minor' ELSE 'moderate' END AS severity FROM n")(
+    lambda s, d: search.diagnose(_measured(s, d)).select("alpha_id", "diagnosis", "severity")
 )
 
 
 def _stream(s, d):
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strataloom-")
-    at = f"{base.rstrip('/')}/stream/{uuid.uuid4().hex}"
+    at = f"{shared_dir(s)}/stream/{uuid.uuid4().hex}"
     metric = monitor.daily_metric(monitor.read_events(s, d, "events.parquet", s.read.parquet(f"{d}/events.parquet").schema), centre=50.0)
     monitor.run_available(metric, f"{at}/metric", f"{at}/metric-state")
     stored = s.readStream.schema("alpha_id string, ts timestamp, realized_ic double").parquet(f"{at}/metric")
@@ -286,12 +306,76 @@ def _stream(s, d):
 
 query("stream_ic_monitor")(lambda s, d: _stream(s, d))
 query("gp_generation")(lambda s, d: _generation(s, d))
-query("config_search")(lambda s, d: rounded(search.config_search(std(s, d), ALPHA, [{"delay": a, "decay": b, "q": 0.05} for a in (0, 1) for b in (0, 3)])))
+_CFG = ", ".join(f"({2 * i + j}, {a}, {b})" for i, a in enumerate((0, 1)) for j, b in enumerate((0, 3)))
+_CO = "OVER (PARTITION BY config, ticker ORDER BY ts)"
+_CT = "OVER (PARTITION BY config, ts)"
+query(
+    "config_search",
+    f"""{SIG_SQL}, cut AS (SELECT ts, ticker, close, CASE WHEN signal IS NOT NULL THEN least(greatest(signal, quantile_cont(signal, 0.05) {_C}), quantile_cont(signal, 0.95) {_C}) END AS signal FROM sig),
+dec AS (SELECT ts, ticker, close, signal AS d0, {_D3} AS d3 FROM cut),
+cf AS (SELECT config::INT AS config, delay::INT AS delay, decay::INT AS decay, ts, ticker, close, CASE WHEN decay = 0 THEN d0 ELSE d3 END AS d FROM dec, (VALUES {_CFG}) v(config, delay, decay)),
+cs AS (SELECT *, CASE WHEN delay = 0 THEN d ELSE lag(d) {_CO} END AS signal, CASE WHEN close <> 0 THEN lead(close) {_CO} / close - 1 END AS fwd FROM cf),
+ck AS (SELECT config, ts, (rank() OVER (PARTITION BY config, ts ORDER BY signal) + count(*) OVER (PARTITION BY config, ts ORDER BY signal)) / 2.0 AS a, (rank() OVER (PARTITION BY config, ts ORDER BY fwd) + count(*) OVER (PARTITION BY config, ts ORDER BY fwd)) / 2.0 AS b FROM cs WHERE signal IS NOT NULL AND fwd IS NOT NULL),
+ci AS (SELECT config, avg(ic) AS ic, avg(ic) / (stddev_pop(ic) + 1e-9) AS ic_ir FROM (SELECT config, ts, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS ic FROM ck GROUP BY config, ts HAVING count(*) >= 5) GROUP BY config),
+cp AS (SELECT config, ts, ticker, CASE WHEN signal IS NOT NULL THEN percent_rank() OVER (PARTITION BY config, ts ORDER BY signal NULLS LAST) END AS p FROM cs),
+cm AS (SELECT config, avg(x) * 252 AS turnover FROM (SELECT config, abs(p - lag(p) {_CO}) AS x FROM cp) GROUP BY config)
+SELECT config, {sql_round('ic', 'ic_ir', 'turnover', 'ic_ir + 0.5 * ic - 0.1 * turnover AS fitness')}, delay, decay, 0.05::DOUBLE AS q FROM ci JOIN cm USING (config) JOIN (SELECT DISTINCT config, delay, decay FROM cf) USING (config)""",
+)(lambda s, d: rounded(search.config_search(std(s, d), ALPHA, [{"delay": a, "decay": b, "q": 0.05} for a in (0, 1) for b in (0, 3)])))
 
 
 def _generation(s, d):
     people, _ = search.evolve(std(s, d), generations=1, size=10, seed=3)
     rows = [(i, str(p.tree), None if p.score == float("-inf") else float(p.score)) for i, p in enumerate(people)]
     return s.createDataFrame(rows, "place int, dsl string, score double")
-query("realistic_report")(lambda s, d: rounded(realistic.run(std(s, d), {"mom": ALPHA, "rev": "-zscore(returns)"})["report"]))
-query("realistic_walk_forward")(lambda s, d: rounded(realistic.walk_forward(std(s, d), ALPHA)["folds"]))
+
+
+def keyed(sql: str, *keys: str) -> str:
+    """sql whose windows are by ticker or by ts, with further keys in every window."""
+    for own in ("ticker", "ts"):
+        sql = sql.replace(f"PARTITION BY {own}", f"PARTITION BY {', '.join(keys)}, {own}")
+    return sql
+
+
+#: Of rows al (alpha_id, segment, ts, ticker, close, volume, signal): processed signals, weights, legs and the equity recursion by alpha and segment.
+_REAL_STEPS = f""", tq AS (SELECT *, quantile_cont(signal, 0.05) {_C} AS q0, quantile_cont(signal, 0.95) {_C} AS q1 FROM al),
+dl AS (SELECT * EXCLUDE (signal, q0, q1), lag(CASE WHEN signal IS NOT NULL THEN least(greatest(signal, q0), q1) END) {_O} AS signal FROM tq),
+fs AS (SELECT alpha_id, segment, min(ts) FILTER (signal IS NOT NULL) AS first_ts FROM dl GROUP BY ALL),
+pg AS (SELECT dl.* FROM dl JOIN fs USING (alpha_id, segment) WHERE ts >= first_ts),
+z AS (SELECT *, least(greatest(coalesce((signal - avg(signal) {_C}) / nullif(stddev_samp(signal) {_C}, 0), 0), -3), 3) AS z FROM pg), w0 AS (SELECT *, {l1_sql('z')} AS weight FROM z),
+n0 AS (SELECT *, weight - avg(weight) {_C} AS v FROM w0), n1 AS (SELECT * EXCLUDE (weight, v), {l1_sql('v')} AS weight FROM n0),
+a0 AS (SELECT *, CASE WHEN count(volume * close) {'OVER ' + _T.format(19) if not _T.startswith('OVER') else _T.format(19)} >= 10 THEN avg(volume * close) {'OVER ' + _T.format(19) if not _T.startswith('OVER') else _T.format(19)} END AS a FROM n1),
+a1 AS (SELECT *, coalesce(first_value(a IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS adv FROM a0),
+c0 AS (SELECT *, sign(weight) * least(abs(weight), 0.1 * adv / 1e6) AS v FROM a1), wts AS (SELECT * EXCLUDE (weight, v), {l1_sql('v')} AS weight FROM c0){LEG_SQL[len(W_SQL):]}"""
+_REAL_FOLD = """, dg AS (SELECT alpha_id, segment, ts, row_number() OVER (PARTITION BY alpha_id, segment ORDER BY ts) AS i, sum(w0 * coalesce(change, 0)) AS gross, sum(greatest(-w0, 0)) * 0.005 / 252 AS borrow, sum(abs(dw)) / 2 AS turnover, coalesce(list({'dw': abs(dw), 'vol': vol, 'adv': adv}) FILTER (abs(dw) >= 1e-10), []) AS trades FROM legs GROUP BY alpha_id, segment, ts),
+eq(alpha_id, segment, i, ts, turnover, r, equity) AS (
+SELECT DISTINCT alpha_id, segment, 0, NULL::TIMESTAMP, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE FROM dg
+UNION ALL SELECT alpha_id, segment, i, ts, turnover, CASE WHEN before > 0 THEN gross - share - borrow ELSE 0 END, CASE WHEN before > 0 THEN greatest(0, before * (1 + gross - share - borrow)) ELSE 0 END FROM (
+SELECT dg.alpha_id, dg.segment, dg.i, dg.ts, dg.turnover, dg.gross, dg.borrow, eq.equity AS before, CASE WHEN eq.equity > 0 THEN coalesce(list_sum(list_transform(dg.trades, lambda t: greatest(t.dw * eq.equity * 1e6 * (5.0 + 1.0 + 0.1 * 1e4 * t.vol * sqrt(CASE WHEN t.adv > 0 THEN t.dw * eq.equity * 1e6 / t.adv ELSE 0 END)) / 1e4, 1.0))), 0) / (eq.equity * 1e6) ELSE 0 END AS share FROM eq JOIN dg ON dg.i = eq.i + 1 AND dg.alpha_id = eq.alpha_id AND dg.segment = eq.segment)),
+net AS (SELECT * FROM eq WHERE i > 0)"""
+
+
+def real_sql(segments: str, alphas: dict[str, str]) -> str:
+    """segments: CTEs that end in seg (panel rows with a segment); alphas: signals as SQL over mx (seg with d, the change of log prices over five rows)."""
+    mx = keyed(f", mx AS (SELECT *, ln(close) - lag(ln(close), 5) {_O} AS d FROM seg)", "segment")
+    al = " UNION ALL ".join(keyed(f"SELECT '{k}' AS alpha_id, segment, ts, ticker, close, volume, {v} AS signal FROM mx", "segment") for k, v in alphas.items())
+    return f"{PANEL_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, {segments}{mx}, al AS ({al}){keyed(_REAL_STEPS, 'alpha_id', 'segment')}{_REAL_FOLD}"
+
+
+_MOM, _REV = sql_rank("d"), f"-((returns - avg(returns) {_C}) / nullif(stddev_samp(returns) {_C}, 0))"
+_SPLIT = f"{_AXIS}, seg AS (SELECT * FROM (SELECT panel.*, CASE WHEN i < round(n * 0.7) THEN 'IS' WHEN i < round(n * 0.7) + 20 THEN 'EMBARGO' ELSE 'OOS' END AS segment FROM panel JOIN ax USING (ts)) WHERE segment <> 'EMBARGO')"
+_NET_SUM = f"""sm0 AS (SELECT alpha_id, segment, {TD_SQL} AS td, quantile_cont(r, 0.05) AS q FROM net GROUP BY ALL),
+sm1 AS (SELECT alpha_id, segment, count(*) AS n, any_value(td) AS td, avg(r) AS mean, stddev_samp(r) AS sd, any_value(q) AS q, avg(CASE WHEN r <= q THEN r END) AS tail, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS hit, avg(turnover) AS mean_turnover FROM net JOIN sm0 USING (alpha_id, segment) GROUP BY ALL),
+sm AS (SELECT *, CASE WHEN mean > -1 THEN pow(1 + mean, td) - 1 END AS ann_return, sd * sqrt(td) AS ann_vol FROM sm1)"""
+_NET_DD = """d0 AS (SELECT alpha_id, segment, ts, CASE WHEN min(r) OVER w > -1 THEN exp(sum(CASE WHEN r > -1 THEN ln(1 + r) END) OVER w) ELSE 0 END AS e FROM net WINDOW w AS (PARTITION BY alpha_id, segment ORDER BY ts)),
+dd AS (SELECT alpha_id, segment, min(x) AS mdd FROM (SELECT alpha_id, segment, e / max(e) OVER (PARTITION BY alpha_id, segment ORDER BY ts) - 1 AS x FROM d0) GROUP BY ALL)"""
+_NET_IC = keyed(ic_sql(1).replace("FROM sig)", "FROM legs)").replace("SELECT ts, ticker, signal", "SELECT alpha_id, segment, ts, ticker, signal").replace("SELECT ts, (rank", "SELECT alpha_id, segment, ts, (rank").replace("SELECT ts, count(*) AS n, covar", "SELECT alpha_id, segment, ts, count(*) AS n, covar").replace("GROUP BY ts HAVING", "GROUP BY alpha_id, segment, ts HAVING"), "alpha_id", "segment")
+_REPORT = ("n", "ann_return", "ann_vol", "sharpe", "var5", "cvar5", "hit", "mdd", "calmar", "mean_turnover", "ic_mean", "ic_ir")
+query(
+    "realistic_report",
+    f"{real_sql(_SPLIT, {'mom': _MOM, 'rev': _REV})}, {_NET_SUM}, {_NET_DD}{_NET_IC}, qi AS (SELECT alpha_id, segment, avg(ic) AS ic_mean, avg(ic) / stddev_samp(ic) AS ic_ir FROM ic1 GROUP BY ALL) SELECT alpha_id, segment, n, {sql_round('ann_return', 'ann_vol', 'ann_return / ann_vol AS sharpe', '-q AS var5', '-tail AS cvar5', 'hit', 'mdd', 'ann_return / abs(mdd) AS calmar', 'mean_turnover', 'ic_mean', 'ic_ir')} FROM sm JOIN dd USING (alpha_id, segment) JOIN qi USING (alpha_id, segment)",
+)(lambda s, d: rounded(realistic.run(std(s, d), {"mom": ALPHA, "rev": "-zscore(returns)"})["report"].select("alpha_id", "segment", *_REPORT)))
+_WF = f"{_FOLDS}, seg AS (SELECT panel.*, fold || ':' || segment AS segment FROM panel JOIN ax USING (ts) JOIN fd ON i BETWEEN lo AND hi)"
+query(
+    "realistic_walk_forward",
+    f"{real_sql(_WF, {'alpha': _MOM})}, {_NET_SUM} SELECT split_part(segment, ':', 1)::INT AS fold, split_part(segment, ':', 2) AS segment, round(ann_return / ann_vol, {DP}) AS sharpe FROM sm",
+)(lambda s, d: rounded(realistic.walk_forward(std(s, d), ALPHA)["folds"]))

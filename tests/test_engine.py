@@ -116,10 +116,41 @@ def test_ruin_ends_the_curve(spark):
     assert [round(r.equity, 6) for r in metrics.drawdown(df).orderBy("ts").collect()] == [1.1, 0.0, 0.0]
 
 
-def test_deflated_sharpe():
+def test_equity_fold_of_keys_and_batches(book, spark):
+    """Keys are folded apart, and days that lie across Arrow batches are one day."""
+    legs = backtest.legs(portfolio.with_adv(book)).withColumn("change", F.col("change") * 0.001).cache()
+    one = backtest.equity_curve(legs).orderBy("ts").toPandas()
+    two = legs.withColumn("key", F.lit("a")).unionByName(legs.withColumn("key", F.lit("b")).where("ts < '1998-01-01'"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = backtest.equity_curve(two, ("key",)).orderBy("ts").toPandas()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert np.allclose(got[got.key == "a"].equity, one.equity) and np.allclose(got[got.key == "a"].net, one.net)
+    assert np.allclose(got[got.key == "b"].equity, one[one.ts < "1998-01-01"].equity)
+    live = one.equity > 0
+    assert np.allclose((1 + one.net).cumprod()[live], one.equity[live]) and (one.net[~live].iloc[1:] == 0).all()
+
+
+def test_mvo_by_date_ranges(book):
+    """Chunks of dates with the window before them give what the whole panel gives."""
+    rows = book.withColumn("alpha_id", F.lit("a"))
+    whole, parts = (portfolio.mvo(rows, rows_a_task=n).orderBy("ts", "ticker").toPandas() for n in (10_000, 70))
+    assert len(whole) == len(parts) == book.count() and np.allclose(whole.weight, parts.weight)
+
+
+def test_deflated_sharpe(spark):
+    from statistics import NormalDist
+
     r = list(np.random.default_rng(0).normal(0.001, 0.01, 300))
-    assert metrics.deflated_sharpe(r, 1) > metrics.deflated_sharpe(r, 10) > metrics.deflated_sharpe(r, 1000)
-    assert metrics.deflated_sharpe(r[:10], 5) is None and metrics.deflated_sharpe([0.01] * 30, 5) is None
+    rows = [(k, float(x)) for k, v in (("a", r), ("few", r[:10]), ("flat", [0.01] * 30)) for x in v]
+    df = spark.createDataFrame(rows, "alpha_id string, r double")
+    got = {n: {x.alpha_id: x.dsr for x in metrics.deflated_sharpes(df, n).collect()} for n in (1, 10, 1000)}
+    assert got[1]["a"] > got[10]["a"] > got[1000]["a"] and got[10]["few"] is None and got[10]["flat"] is None
+    x = np.array(r)
+    m, sr = x - x.mean(), x.mean() / x.std(ddof=1)
+    skew, kurt = (m**3).mean() / (m**2).mean() ** 1.5, (m**4).mean() / (m**2).mean() ** 2
+    var = (1 - skew * sr + (kurt - 1) / 4 * sr * sr) / (len(x) - 1)
+    assert abs(got[1]["a"] - NormalDist().cdf(sr / math.sqrt(var))) < 1e-6
 
 
 def test_split_and_folds():
@@ -152,8 +183,8 @@ def test_pool():
 def test_weights():
     assert combine.ic_weights({"a": 0.02, "b": -0.1}) == {"a": 1.0, "b": 0.0}
     assert combine.ic_weights({"a": -1.0, "b": None}) == {"a": 0.5, "b": 0.5}
-    w = combine.regime_weights([("m", "momentum", 1.0), ("r", "reversal", 1.0)], "bull")
-    assert w["m"] > w["r"] and math.isclose(sum(w.values()), 1)
+    w = combine.regime_weights([("m", "momentum", 1.0), ("r", "reversion", 1.0), ("q", "quality", 1.0)], "bull")
+    assert math.isclose(w["m"], 1.5 / 3.25) and math.isclose(w["r"], 0.75 / 3.25) and math.isclose(sum(w.values()), 1)
 
 
 def test_min_variance(spark):
@@ -183,18 +214,36 @@ def test_evolution_repeats(spark, sf):
     one, pool = search.evolve(p, generations=1, size=6, seed=1)
     two, _ = search.evolve(p, generations=1, size=6, seed=1)
     assert [str(x.tree) for x in one] == [str(x.tree) for x in two] and pool.diagnostics()["size"] > 0
+    vectors = [v for _, v in pool.members.values()]
+    assert all(len(v) > 100 for v in vectors) and all(abs(combine.AlphaPool._corr(a, b) or 0) < 0.7 for i, a in enumerate(vectors) for b in vectors[:i])
+
+
+def test_tuning(spark, sf):
+    """A seeded search repeats itself, sees in-sample dates only, and gives its settings best first."""
+    from strataloom import api
+    from strataloom.catalogue import std
+
+    p = std(spark, sf).cache()
+    one = api.optimize(p, "rank(ts_delta(close, 5))", trials=4, seed=2)
+    assert one and [x["fitness"] for x in one] == sorted((x["fitness"] for x in one), reverse=True)
+    later = p.withColumn("close", F.when(F.col("ts") >= "2001-01-01", F.col("close") * 2).otherwise(F.col("close")))
+    assert [str(x) for x in api.optimize(later, "rank(ts_delta(close, 5))", trials=4, seed=2)] == [str(x) for x in one]
 
 
 def test_interpretation():
-    assert search.interpret("rank(ts_delta(close, 5))")["family"] == "momentum"
+    families = {"rank(ts_delta(close, 5))": "momentum", "rank(-ts_delta(close, 3))": "reversion", "rank(ts_delta(close, 60))": "trend_following", "rank(-ts_std(returns, 20))": "volatility", "rank(-ts_mean(volume, 20))": "liquidity", "rank(-ts_corr(close, volume, 10))": "price_volume_corr", "ts_skew(close, 9)": "quality", "rank(ts_delta(close, 5) / ts_std(close, 5))": "composite", "ts_zscore(close, 9)": "reversion", "ts_mean(close, 9)": "trend_following"}
+    assert {e: search.interpret(e)["family"] for e in families} == families
+    assert all(search.interpret(e) for f in search.SEEDS.values() for e in f)
+    stable = {"rank(close)": True, "rank(close) * volume": False, "close / volume": False, "rank(close) / 2": True, "rank(close) / rank(volume)": False, "ts_mean(rank(close), 5)": True, "winsorize(close, 3)": False, "close > open": True, "if_else(close > open, rank(close), 1)": True, "trade_when(close > open, close)": False, "ts_corr(close, volume, 9)": True, "log(close)": False}
+    assert {e: search.scale_free(parse(e)) for e in stable} == stable
     assert "not scale-free" in search.interpret("close + volume")["issues"]
     assert search.surrogate(None, [])("close") == 0.3
 
 
 def test_lifecycle(spark):
-    rows = [("a", 1, "draft"), ("a", 2, "testing"), ("a", 3, "testing"), ("a", 4, "live"), ("b", 1, "retired"), ("b", 2, "live")]
+    rows = [("a", 1, "candidate"), ("a", 2, "validated"), ("a", 3, "validated"), ("a", 4, "active"), ("a", 5, "superseded"), ("b", 1, "retired"), ("b", 2, "active")]
     bad = ledger.illegal_transitions(spark.createDataFrame(rows, "alpha_id string, at int, status string")).select("alpha_id", "before", "status").collect()
-    assert {tuple(r) for r in bad} == {("a", "testing", "live"), ("b", "retired", "live")}
+    assert {tuple(r) for r in bad} == {("a", "validated", "active"), ("b", "retired", "active")}
 
 
 def test_streaming_matches_batch(spark, sf):
@@ -212,6 +261,14 @@ def test_realistic_run(spark, sf):
     report = {r.segment: r for r in out["report"].collect()}
     assert set(report) == {"IS", "OOS"} and all(-1 <= r.mdd <= 0 or r.mdd is not None for r in report.values())
     assert out["daily"].where("turnover < 0 OR turnover > 1.0000001").count() == 0
+    # net is what is left of gross, and the report is on net
+    assert out["daily"].where("equity > 0 AND net > gross + 1e-12").count() == 0 and out["daily"].where("equity > 0 AND turnover > 0 AND net < gross").count() > 0
+    day = out["daily"].where("segment = 'IS'").toPandas()
+    assert math.isclose(report["IS"].ann_return, (1 + day.net.mean()) ** report["IS"].td - 1, rel_tol=1e-6)
+    assert {"calmar", "var5", "dsr", "beta", "long_sharpe", "mdd_days"} <= set(out["report"].columns) and out["stress"].count() >= 6
+    from strataloom.operators.signal import SignalConfig
+
+    assert api.run_backtest(p, "rank(ts_delta(close, 5))", SignalConfig(mode="mvo"))["report"].count() == 2
     assert api.run_walk_forward(p, "rank(ts_delta(close, 3))")["folds"].count() == 10
     assert "nation_week" in api.datasets() and abs(sum(api.workflow_optimize(p, "rank(ts_delta(close, 3))", size=4)["weights"].values()) - 1) < 1e-9
 
@@ -226,6 +283,34 @@ def test_providers(spark, tmp_path):
     local.save(p)
     back = local.fetch_panel(spark, ["T001"], "2022-01-05", "2022-01-20", ["close"])
     assert back.columns == ["ts", "ticker", "close"] and 0 < back.count() < 15
+    # a second save replaces keys and keeps the others
+    local.save(p.where("ticker = 'T001'").withColumn("close", F.lit(7.0)))
+    again = local.fetch_panel(spark, None, "2022-01-03", "2022-02-01").toPandas()
+    assert len(again) == len(rows) and set(again[again.ticker == "T001"].close) == {7.0} and (again[again.ticker == "T000"].close != 7.0).all()
     provider.register_provider("local", local)
     with pytest.raises(LookupError):
         provider.fetch(spark, ["local"], ["nosuch"], "2022-01-05", "2022-01-20")
+
+
+def test_get_panel(spark, tmp_path):
+    from strataloom import api
+
+    store = str(tmp_path / "store")
+    ask = lambda chain: api.get_panel(spark, chain, ["t000", "t001", "t002"], "2022-01-03", "2022-02-01", store)
+    one, report = ask(["nosuch", "synthetic"])
+    rows = one.toPandas()
+    assert set(rows.ticker) == {"T000", "T001", "T002"} and rows.groupby("ticker").ts.nunique().nunique() == 1 and report.count() >= 1 and "returns" in rows
+    # the second time the stored panel serves, so no provider is asked
+    start, end = rows.ts.min(), rows.ts.max()
+    two, _ = api.get_panel(spark, [], ["T000", "T001", "T002"], str(start), str(end), store)
+    assert np.allclose(two.orderBy("ticker", "ts").toPandas().close, rows.sort_values(["ticker", "ts"]).close)
+    known = spark.createDataFrame([("2022-01-01", "T000", True), ("2022-01-10", "T001", False)], "date string, ticker string, active boolean").withColumn("date", F.to_timestamp("date"))
+    some, _ = api.get_panel(spark, ["synthetic"], ["T000", "T001"], "2022-01-03", "2022-02-01", universe=known)
+    assert {r.ticker for r in some.select("ticker").distinct().collect()} == {"T000"}
+
+
+def test_metadata_union():
+    from strataloom.sources.store import merged_metadata
+
+    got = merged_metadata({"start_ts": "2020", "end_ts": "2021", "tickers": ["a"], "fields": ["close"]}, {"start_ts": "2019", "end_ts": "2020", "tickers": ["b"], "fields": ["close", "open"]})
+    assert got == {"start_ts": "2019", "end_ts": "2021", "tickers": ["a", "b"], "fields": ["close", "open"]}
