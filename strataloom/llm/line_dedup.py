@@ -89,7 +89,7 @@ def _lines(batches):
         s, e, doc, no = line_spans(data, offsets)
         if len(s):
             low, at = vec.LOWER[data], pa.array(doc)
-            both = (pa.array(vec.span_hash(low, s, e, salt).view(np.int64)) for salt in (0, 8))
+            both = (pa.array(h.view(np.int64)) for h in vec.span_hashes(low, s, e))
             yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("th").take(at), pa.array(no.astype(np.int32)), *both], names=["id", "th", "no", "lh", "lh2"])
 
 
@@ -143,10 +143,10 @@ def _same_doc(a: str, b: str) -> Column:
 def line_classes(docs: DataFrame) -> DataFrame:
     """One row a line of docs (doc_id, text): id, th (hash of the text), no, cid (the identity of one line of its component), kept.
 
-    Null and empty texts and blank lines have no row. Rows that repeat an id and its text are one document; lines of equal normalised text are equal whatever their case. Null ids stand before others. An empty table gives an empty result. Other columns are not read.
+    Null and empty texts and blank lines have no row. Rows that repeat an id and its text are one document, whose lines stand here once a row; lines of equal normalised text are equal whatever their case. Null ids stand before others. An empty table gives an empty result. Other columns are not read.
     """
     rows = _base(docs)
-    lines = cut(rows.mapInArrow(_lines, "id long, th long, no int, lh long, lh2 long").distinct())
+    lines = cut(rows.mapInArrow(_lines, "id long, th long, no int, lh long, lh2 long"))
     clusters = components(star_edges(rows.select("text").mapInArrow(_entries, SCHEMA))).select(F.col("node").alias("lh"), F.col("root").alias("cluster"))
     rep = lines.groupBy("lh", "lh2").agg(F.min(F.struct("id", "th", "no")).alias("r"), F.count(F.lit(1)).alias("size"))
     rep = cut(rep.join(clusters, "lh"))
@@ -176,6 +176,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: its lines that are not blank, those dropped, and their numbers (from 0, blank lines counted)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    each = line_classes(docs).groupBy("id", "th").agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("no")))).alias("dropped"))
+    each = line_classes(docs).groupBy("id", "th").agg(F.size(F.collect_set("no")).cast("long").alias("n_lines"), F.sort_array(F.collect_set(F.when(~F.col("kept"), F.col("no")))).alias("dropped"))
     rows = _base(docs).drop("text")
     return rows.alias("d").join(each.alias("g"), _same_doc("d", "g"), "left").select(F.col("d.id").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))

@@ -19,6 +19,7 @@ from .shared import components, cut, join_groups
 BLOCK_ROWS = 1024
 BLOCK_GRAMS = 1 << 19
 COLUMNS = 2048
+FEW_ROWS = 4  # up to that, pairs are counted one by one
 DENSE_ROWS = 64  # more rows than that: columns of few rows are multiplied pair by pair, the others densely
 
 
@@ -153,6 +154,22 @@ def product_links(nodes: np.ndarray, sizes: np.ndarray, grams: np.ndarray, num:
     return vec.forest(nodes[i], nodes[j]) if len(i) else (nodes[:0], nodes[:0])
 
 
+def _few_links(nodes: np.ndarray, rows: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a handful of rows, row by row."""
+    a, b = [], []
+    for j in range(1, len(rows)):
+        for i in range(j):
+            small, large = sorted((len(rows[i]), len(rows[j])))
+            if den * small >= num * large:
+                both = np.concatenate([rows[i], rows[j]])
+                both.sort(kind="stable")  # two sorted runs
+                inter = int((both[1:] == both[:-1]).sum())
+                if den * inter >= num * (small + large - inter):
+                    a.append(nodes[j])
+                    b.append(nodes[i])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def packed(content: bytes) -> np.ndarray:
     """64-bit grams that stand side by side."""
     return np.frombuffer(content, np.int64)
@@ -167,7 +184,7 @@ def _scan(num: int, den: int, grams_of):
                 nodes, at = np.unique(np.array([x[0] for x in held], np.int64), return_index=True)
                 if len(nodes) > 1:
                     rows = [grams_of(held[i][1]) for i in at]
-                    a, b = product_links(nodes, np.array([len(x) for x in rows]), np.concatenate(rows), num, den)
+                    a, b = _few_links(nodes, rows, num, den) if len(rows) <= FEW_ROWS else product_links(nodes, np.array([len(x) for x in rows]), np.concatenate(rows), num, den)
                     if len(a):
                         out.append((a, b))
             held.clear()

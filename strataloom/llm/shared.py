@@ -57,49 +57,86 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _local_forest(batches):
-    """Union-find over the edges of one partition, a block of edges at a time: the same components by fewer edges."""
+BIG_GROUP = 64  # neighbours of a node within one map task: more are met there already
+
+
+def _neighbours(batches):
+    """Of edges, after a local union-find, (key, node) in both directions. The many neighbours of a hub are linked to the least of them right here, as edges (node, to), and send one row on."""
+    import numpy as np
     import pyarrow as pa
 
     from . import vec
 
     for a, b in vec.blocks_of(batches, "a", "b", rows=400_000):
+        a, b = vec.forest(a, b)
+        if not len(a):
+            continue
+        key, node = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.append(True, key[1:] != key[:-1])
+        of = np.cumsum(new) - 1
+        least = np.minimum(key, node[new][of])
+        big = np.bincount(of)[of] > BIG_GROUP
+        on = ~big | (new & (least < key))
+        yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(node[on]), pa.nulls(int(on.sum()), pa.int64())], names=["key", "node", "to"])
+        met = big & (node != least)
+        if met.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (node, node, least)], names=["key", "node", "to"])
+
+
+def _to_least(batches):
+    """Of (key, node) sorted by both, an edge from each node to the least of its key and the key itself; edges go through. Holds one row between batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    from . import vec
+
+    def edges():
+        last_key = last = None
+        for batch in batches:
+            to = batch.column("to")
+            entry = to.is_null().to_numpy(zero_copy_only=False)
+            key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+            out = [(node[~entry], to.drop_null().to_numpy())]
+            key, node = key[entry], node[entry]
+            if len(key):
+                new = np.append(last_key is None or key[0] != last_key, key[1:] != key[:-1])
+                run = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+                least = np.where(run >= 0, np.minimum(key, node[np.maximum(run, 0)]), last if last is not None else 0)
+                last_key, last = key[-1], least[-1]
+                out.append((node[node != least], least[node != least]))
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for a, b in vec.blocks_of(edges(), "a", "b", rows=400_000):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in vec.forest(a, b)], names=["a", "b"])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b longs, in any order): one row a node that has an edge, (node, root), root the smallest node.
 
-    Partitions first reduce their edges by a local union-find; then large-star and small-star rounds (Kiveris et al., 2014) run until a round changes nothing. A hub, which may have a third of all edges, meets its least neighbour by a broadcast (join_groups). Every round is cut to the shared folder. An empty input gives an empty result.
+    Distributed union-find in rounds: each task reduces its edges by a local union-find, then every node's neighbours are linked to the least of them (star contraction), until a round changes nothing. A hub, which may have a third of all edges, is contracted within the map tasks first, so no task meets all of it. Every round is cut to the shared folder. An empty input gives an empty result.
     """
 
-    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
-        if large:
-            e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("size"))
-        rows = join_groups(e, least, ["a"], n)
-        if large:
-            return rows.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        both = rows.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        return both.where("a != b").distinct()
-
     def state(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
 
-    edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    e = cut(edges.mapInArrow(_local_forest, "a long, b long").distinct())
-    was = state(e)
-    for _ in range(max_rounds if was[0] else 0):
-        new = cut(star(star(e, True, was[0]).mapInArrow(_local_forest, "a long, b long"), False, was[0]))
+    e = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    was = None
+    for _ in range(max_rounds):
+        near = e.mapInArrow(_neighbours, "key long, node long, to long")
+        new = cut(near.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_to_least, "a long, b long").distinct())
         now = state(new)
-        drop_cut(e)
+        if was is not None:
+            drop_cut(e)
         e = new
-        if now == was:
+        if not now[0] or now == was:
             break
         was = now
     else:
-        if was[0]:
-            raise RuntimeError("components did not settle")
+        raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

@@ -84,7 +84,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, least: int, gram: int):
         size = np.minimum(np.repeat(run + size, parts) - start, LONGEST_RUN)
         run, several = start, np.repeat(several, parts)
     begin = offsets[doc[run]] + local[run]
-    whole = (vec.span_hash(data, begin, begin + size - 1 + least, salt) for salt in (0, 8))
+    whole = vec.span_hashes(data, begin, begin + size - 1 + least)
     return doc[run], local[run], size, low[run], *whole, several
 
 

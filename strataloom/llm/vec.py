@@ -86,14 +86,19 @@ def _tree(x: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Hash of the bytes of each span, equal for equal contents wherever they stand. Two salts give 128 bits."""
+    """Hash of the bytes of each span, equal for equal contents wherever they stand."""
+    return span_hashes(data, starts, ends, (salt,))[0]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salts: tuple[int, ...] = (0, 8)) -> list[np.ndarray]:
+    """The same under several salts; two of them give 128 bits."""
     size = ends - starts
     n = np.maximum(-(-size // 8), 1)
     at = np.repeat(starts - 8 * (np.cumsum(n) - n), n) + 8 * np.arange(int(n.sum()))
     x = eights(data)[at]
     last = np.cumsum(n) - 1
     x[last] &= BYTES[size - 8 * (n - 1)]
-    return mix(_tree(mix(x, salt), n) + size.astype(U) * PAIR, salt + 1)
+    return [mix(_tree(mix(x, salt), n) + size.astype(U) * PAIR, salt + 1) for salt in salts]
 
 
 def trimmed(starts: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
