@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import vec
 from .buckets import SCHEMA, collapsed, star_edges
 from .product import linked_components
-from .shared import components, cut, join_groups
+from .shared import components, cut, drop_cut, join_groups
 
 CHARS, NUM, DEN = 7, 80, 100  # bytes of a shingle (7 at most, so that shingles are compared as they are), threshold
 BANDS, ROWS = 14, 5
@@ -148,21 +148,24 @@ def line_classes(docs: DataFrame) -> DataFrame:
     rows = _base(docs)
     lines = cut(rows.mapInArrow(_lines, "id long, th long, no int, lh long, lh2 long"))
     clusters = components(star_edges(rows.select("text").mapInArrow(_entries, SCHEMA))).select(F.col("node").alias("lh"), F.col("root").alias("cluster"))
-    rep = lines.groupBy("lh", "lh2").agg(F.min(F.struct("id", "th", "no")).alias("r"), F.count(F.lit(1)).alias("size"))
-    rep = cut(rep.join(clusters, "lh"))
-    at = rep.select("r.id", "r.th", F.struct("r.no", "lh", "lh2", "cluster").alias("x")).groupBy("id", "th").agg(F.collect_list("x").alias("at"))
+    rep = lines.groupBy("lh", "lh2").agg(F.min(F.struct("id", "th", "no")).alias("r"), F.count(F.lit(1)).alias("n_lines"))
+    rep = cut(rep.join(clusters, "lh", "left").where("n_lines > 1 OR cluster IS NOT NULL"))
+    at = rep.where("cluster IS NOT NULL").select("r.id", "r.th", F.struct("r.no", "lh", "lh2", "cluster").alias("x")).groupBy("id", "th").agg(F.collect_list("x").alias("at"))
     picked = rows.alias("d").join(at.alias("a").hint("merge"), _same_doc("d", "a")).select("text", "at").mapInArrow(_contents, "cluster long, lh long, lh2 long, n long, grams binary")
     # rows that repeat an id and its text give a line twice
     contents = cut(picked.dropDuplicates(["lh", "lh2"]).withColumn("node", F.monotonically_increasing_id()))
     linked = linked_components(contents, NUM, DEN, grams_of)
     name = contents.select("node", "lh", "lh2")
-    roots = linked.join(name, "node").join(name.select(F.col("node").alias("root"), F.struct("lh", "lh2").alias("cid")), "root")
-    classes = cut(roots.select("lh", "lh2", "cid").join(rep.select("lh", "lh2", "size"), ["lh", "lh2"]))
-    n = lines.count()
-    known = cut(join_groups(lines, classes, ["lh", "lh2"], n, how="left").select("id", "th", "no", F.coalesce("cid", F.struct("lh", "lh2")).alias("cid")))
-    groups = cut(known.groupBy("cid").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+    roots = linked.join(name, "node").join(name.select(F.col("node").alias("root"), F.struct("lh", "lh2").alias("cid")), "root").select("lh", "lh2", "cid")
+    # the first line is told among distinct lines, so that lines meet one table only
+    members = cut(rep.join(roots, ["lh", "lh2"], "left").select("lh", "lh2", "r", "n_lines", F.coalesce("cid", F.struct("lh", "lh2")).alias("cid")))
+    firsts = cut(members.groupBy("cid").agg(F.min("r").alias("first"), F.sum("n_lines").alias("total"), F.count(F.lit(1)).alias("size")).where("total > 1"))
+    classes = join_groups(members, firsts, ["cid"], members.count()).select("lh", "lh2", "cid", "first", F.col("n_lines").alias("size"))
+    classes = cut(classes)
+    drop_cut(rep, contents, members, firsts)
+    out = join_groups(lines, classes, ["lh", "lh2"], lines.count(), how="left")
     kept = F.col("first").isNull() | F.struct("id", "th", "no").eqNullSafe(F.col("first"))
-    return join_groups(known, groups, ["cid"], n, how="left").select("id", "th", "no", "cid", kept.alias("kept"))
+    return out.select("id", "th", "no", F.coalesce("cid", F.struct("lh", "lh2")).alias("cid"), kept.alias("kept"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

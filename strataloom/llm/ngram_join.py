@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import vec
 from .buckets import SCHEMA, of_lists, star_edges
 from .product import linked_components
-from .shared import components, cut, join_groups
+from .shared import components, cut, drop_cut, join_groups
 
 WORDS, NUM, DEN = 3, 90, 100
 
@@ -118,6 +118,7 @@ def jaccard_components(docs: DataFrame, k_words: int = WORDS, num: int = NUM, de
     of = linked.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("size"))
     of_node = join_groups(linked, cut(of), ["root"], linked.count()).select("node", "component_id")
     known = cut(reps.join(of_node, "node", "left").select("n1", "n2", "size", F.coalesce("component_id", "id").alias("component_id")))
+    drop_cut(reps, contents, linked)
     out = rows.drop("keys").withColumns({c: F.when(F.col("n") > 0, F.col(c)) for c in ("n1", "n2")})
     out = join_groups(out, known, ["n1", "n2"], rows.count(), how="left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "th")
@@ -125,3 +126,18 @@ def jaccard_components(docs: DataFrame, k_words: int = WORDS, num: int = NUM, de
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("th")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM t),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i : i + 2]) END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ids AS (SELECT g, row_number() OVER () AS k FROM (SELECT g FROM s GROUP BY g HAVING count(*) > 1)),
+i AS (SELECT doc_id, k FROM s JOIN ids USING (g)),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM i a JOIN i b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT t.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id FROM t LEFT JOIN n USING (doc_id) JOIN r ON r.a = t.doc_id GROUP BY t.doc_id
+"""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import vec
 from .shared import components, cut, join_groups
 
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 BLOCK_GRAMS = 1 << 19
 COLUMNS = 2048
 FEW_ROWS = 4  # up to that, pairs are counted one by one

@@ -34,12 +34,13 @@ def cut(df: DataFrame, *bucket: str) -> DataFrame:
     return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Deletes the files of a cut table that no later step reads."""
-    if path := getattr(df, "_cut_path", None):
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def drop_cut(*tables: DataFrame) -> None:
+    """Deletes the files of cut tables that no later step reads."""
+    for df in tables:
+        if path := getattr(df, "_cut_path", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_rows: int, size: str = "size", how: str = "inner") -> DataFrame:
