@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_url_filters": url_filters.OP2_SQL,
+    "op3_ngram_join": ngram_join.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op8_suffix_dedup": suffix_dedup.OP8_SQL,
 }

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .shared import cut
+from .shared import cut, join_groups
 
 LEAST = 200
 GRAM = 72
@@ -299,8 +299,9 @@ def repeated_ranges(rows: DataFrame, least: int = LEAST, gram: int = GRAM) -> Da
     found = cut(found.repartition("h").sortWithinPartitions("h", "c", "c2").mapInArrow(_classes, kinds))
     full = found.where("kind = 0").select("id", "th", "lo", "n")
     reps = found.where("kind = 1").select("h", "id", "th", "lo", "n")
-    many = reps.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > SHARD_CLASSES).select("h", F.lit(True).alias("big"))
-    at = reps.join(many, "h", "left").groupBy("id", "th").agg(F.collect_list(F.struct("h", "lo", "n", F.coalesce("big", F.lit(False)).alias("big"))).alias("at"))
+    classes = cut(reps.groupBy("h").agg(F.count(F.lit(1)).alias("size")))
+    sized = join_groups(reps, classes, ["h"], classes.agg(F.sum("size")).first()[0] or 0)
+    at = sized.groupBy("id", "th").agg(F.collect_list(F.struct("h", "lo", "n", (F.col("size") > SHARD_CLASSES).alias("big"))).alias("at"))
     same = (F.col("r.th") == F.col("a.th")) & F.col("r.id").eqNullSafe(F.col("a.id"))
     texts = rows.alias("r").join(at.alias("a"), same).select("r.id", "r.th", "text", "at")
     contexts = cut(texts.mapInArrow(_contexts(least), "h long, id long, th long, lo int, ctx binary, big boolean"))
@@ -357,3 +358,19 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 199)) AS i, h FROM d WHERE length(h) >= 400),
+k AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM p),
+again AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1),
+c AS (SELECT doc_id, i FROM k JOIN again USING (k)),
+f AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS f FROM c),
+g AS (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM f),
+spans AS (SELECT doc_id, g, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY doc_id, g),
+kept AS (SELECT doc_id, list(lo ORDER BY lo) AS lo, list(hi ORDER BY lo) AS hi, sum(hi - lo) AS n, count(*) AS m FROM spans GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(m, 0)::BIGINT AS n_spans,
+sha256(unhex(CASE WHEN lo IS NULL THEN h ELSE substr(h, 1, 2 * lo[1]) || array_to_string(list_transform(range(1, len(lo) + 1), lambda j: substr(h, 2 * hi[j] + 1, 2 * (coalesce(lo[j + 1], length(h) // 2) - hi[j]))), '') END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
