@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import cut, join_groups, shared_dir
 
 LIMIT = 512
 #: Texts of these characters only are cut into pieces here; others go to the library whole, whose Unicode tables may differ.
@@ -20,6 +20,7 @@ PLAIN = r"[\t\n\r -~¡-ɏ]*"
 #: How byte-level BPE cuts a text into pieces (letters, digits, other signs, white space), for PLAIN texts.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[a-zA-ZªµºÀ-ÖØ-öø-ɏ]+| ?[0-9²³¹¼½¾]+| ?[^\s0-9²³¹¼½¾a-zA-ZªµºÀ-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+"
 PIECE_CACHE = 400_000
+MISSES_SENT = 100_000  # digests that go to every task to pick the texts to encode; more are joined by a shuffle
 
 
 def version_digest(path: str) -> str:
@@ -92,21 +93,30 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
     """One row per input row of docs (doc_id, text): doc_id, n_bytes (UTF-8), n_tokens.
 
     cache_path: a folder of Parquet files (digest, version, n_tokens) that all executors share; it is made if missing and appended to. tokenizer_path must name the same file on every node. Null text counts as empty (0 tokens); repeated rows are counted each, encoded once; an empty table gives an empty result. Other columns are not read.
+
+    Only digests are joined with the cache; texts are moved for misses alone, one a digest.
     """
     spark = docs.sparkSession
     version = version_digest(tokenizer_path)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.sha2(F.concat(F.lit(version + "|"), text), 256).alias("digest"))
+    digest = F.sha2(F.concat(F.lit(version + "|"), text), 256).alias("digest")
+    rows = cut(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest))
+    distinct = cut(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("size")))
     schema = "digest string, version string, n_tokens long"
-    misses = rows.select("digest", "text")
+    texts = docs.select(digest, text.alias("text"))
+    once = lambda df: df.groupBy("digest").agg(F.first("text").alias("text"))
     if _exists(spark, cache_path):
         stored = spark.read.schema(schema).parquet(cache_path).where(F.col("version") == version)
-        misses = misses.join(stored.select("digest"), "digest", "left_anti")
-    misses = misses.groupBy("digest").agg(F.first("text").alias("text"))
-    misses.mapInArrow(_encode(tokenizer_path, version), schema).write.mode("append").parquet(cache_path)
+        misses = cut(distinct.join(stored.select("digest"), "digest", "left_anti").select("digest"))
+        few = misses.count() <= MISSES_SENT
+        texts = once(texts.join(F.broadcast(misses), "digest", "left_semi")) if few else once(texts).join(misses, "digest", "left_semi")
+    else:
+        texts = once(texts)
+    texts.mapInArrow(_encode(tokenizer_path, version), schema).write.mode("append").parquet(cache_path)
     # two writers may both have stored a digest
     stored = spark.read.schema(schema).parquet(cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(stored, "digest").select("doc_id", "n_bytes", "n_tokens")
+    counts = cut(distinct.join(stored, "digest"))
+    return join_groups(rows, counts, ["digest"], distinct.agg(F.sum("size")).first()[0] or 0).select("doc_id", "n_bytes", "n_tokens")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
