@@ -8,12 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, join_groups
 
 #: (rule, verdict): a host, then a path that the url's path must start with.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 BLOCK_RATE = 0.3  # bad rate that a host's lower bound must exceed
 Z = 1.645  # one-sided 95 %
+#: Labels under which country registries register names.
+SECOND = "ac co com edu go gob gouv gov mil ne net nom or org sch".split()
+SECOND_LEVEL = rf"^({'|'.join(SECOND)})\.[a-z][a-z]$"
 STRENGTHS = (1.0, 200.0)  # least and most pseudo-counts of a prior
 
 
@@ -54,9 +57,13 @@ def _level(counts: DataFrame, key: str, parent: str, prior: DataFrame) -> DataFr
 
 
 def _domain_suffix(host: Column) -> dict[str, Column]:
-    """registered domain: the last two labels; suffix: the last."""
-    domain = F.when(F.size(F.split(host, r"\.")) > 1, F.substring_index(host, ".", -2)).otherwise(host)
-    return {"domain": domain, "suffix": F.element_at(F.split(host, r"\."), -1)}
+    """suffix: the last label, or the last two where they are a second-level label of SECOND under a country's; registered domain: one label more. The port is left out; an IPv4 address is its own domain, of the suffix '(address)'."""
+    name = F.regexp_replace(host, r":[0-9]*$", "")
+    address = name.rlike(r"^[0-9]+(\.[0-9]+){3}$")
+    two = F.substring_index(name, ".", -2).rlike(SECOND_LEVEL)
+    suffix = F.when(address, "(address)").when(two, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    domain = F.when(address, name).when(two, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return {"domain": domain, "suffix": suffix}
 
 
 def _lower(mean: Column, weight: Column) -> Column:
@@ -79,7 +86,7 @@ def _own(levels: dict[str, DataFrame]) -> DataFrame:
 def host_reputation(outcomes: DataFrame) -> DataFrame:
     """outcomes: (host, bad) with bad 0 or 1. One row a host that has outcomes: host, n, mean and lower (bound of its posterior bad rate).
 
-    registered domain: the last two labels; suffix: the last. Null outcomes and empty hosts are left out. Only sums per host go on, so a host with a third of all pages costs no more than another.
+    Registered domain and suffix are those of _domain_suffix. Null outcomes and empty hosts are left out. Only sums per host go on, so a host with a third of all pages costs no more than another.
     """
     return _own(_levels(outcomes))
 
@@ -101,16 +108,19 @@ def _inherited(hosts: DataFrame, levels: dict[str, DataFrame]) -> DataFrame:
 def url_filter(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = RULES, block_rate: float = BLOCK_RATE) -> DataFrame:
     """Judges each row of pages (page_id, url): page_id, host, path, rule, verdict, bad_rate_lower.
 
-    outcomes: (page_id, bad). A rule decides where one fits; else the host is blocked when its lower bound exceeds block_rate; a host without outcomes has bad_rate_lower null and is judged by the bound that its registered domain, else its suffix, else all pages give as its prior. Without any outcomes all such hosts are allowed. A null url, or one without '://', has empty host and path, fits no rule and is allowed. Rows that repeat are judged each.
+    outcomes: (page_id, bad). A rule decides where one fits; else the host is blocked when its lower bound exceeds block_rate; a host without outcomes has bad_rate_lower null and is judged by the bound that its registered domain, else its suffix, else all pages give as its prior. Without any outcomes all such hosts are allowed. A null url, or one without '://', has empty host and path, fits no rule and is allowed. Rows that repeat are judged each; an outcome that is given twice counts once, as bad if one of them is; a page that is given twice with one host counts once, and null page ids have no outcome.
     """
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    seen = rows.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id")
+    once = outcomes.where("bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
+    seen = rows.select("page_id", "host").distinct().join(once, "page_id")
     levels = _levels(seen)
+    hosts = cut(rows.groupBy("host").agg(F.count(F.lit(1)).alias("size")))
     known = _own(levels).select("host", F.col("lower").alias("bad_rate_lower"), F.col("lower").alias("bound"))
-    reputation = known.unionByName(_inherited(rows.select("host").distinct(), levels).select("host", F.lit(None).cast("double").alias("bad_rate_lower"), F.col("inherited").alias("bound")))
+    reputation = known.unionByName(_inherited(hosts.select("host"), levels).select("host", F.lit(None).cast("double").alias("bad_rate_lower"), F.col("inherited").alias("bound")))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.join(reputation, "host", "left").withColumns({"rule": rule, "by_rule": verdict})
+    sized = cut(hosts.join(reputation, "host"))
+    rows = join_groups(rows, sized, ["host"], hosts.agg(F.sum("size")).first()[0] or 0, how="left").withColumns({"rule": rule, "by_rule": verdict})
     own = F.when(F.coalesce(F.col("bound") > block_rate, F.lit(False)), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"), F.round("bad_rate_lower", 6).alias("bad_rate_lower"))
 
@@ -130,17 +140,25 @@ def _sql_level(name: str, key: str, parent: str, prior: str) -> str:
 {name} AS (SELECT {key}, (bad + s * m0) / (n + s) AS mean, n + s AS weight FROM {name}_rows, {name}_t)"""
 
 
+_LABELS = "array_to_string(list_slice(string_split(name, '.'), -{}, -1), '.')"
+_HOSTS = f"""SELECT host, CASE WHEN addr THEN name WHEN two THEN {_LABELS.format(3)} ELSE {_LABELS.format(2)} END AS domain, CASE WHEN addr THEN '(address)' WHEN two THEN {_LABELS.format(2)} ELSE {_LABELS.format(1)} END AS suffix, '' AS root
+FROM (SELECT *, regexp_matches(name, '^[0-9]+(\\.[0-9]+){{3}}$') AS addr, regexp_matches({_LABELS.format(2)}, '{SECOND_LEVEL}') AS two FROM (SELECT DISTINCT host, regexp_replace(host, ':[0-9]*$', '') AS name FROM p))"""
+_BOUND = f"greatest(0.0, mean - {Z} * sqrt(mean * (1 - mean) / (weight + 1)))"
+
 OP2_SQL = f"""
 WITH parts AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
-counts AS (SELECT host, count(*)::DOUBLE AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS bad, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix, '' AS root FROM p JOIN labels ON page_id = doc_id WHERE host <> '' AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY host),
+hosts AS ({_HOSTS}),
+outcomes AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1.0 ELSE 0.0 END) AS bad FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
+counts AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, '' AS root, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM (SELECT DISTINCT page_id, host FROM p) JOIN outcomes USING (page_id) JOIN hosts USING (host) WHERE host <> '' GROUP BY host),
 r0 AS (SELECT root, (sum(bad) + 0.5) / (sum(n) + 1) AS mean FROM counts GROUP BY root),
 {_sql_level("r1", "suffix", "root", "r0")},
 {_sql_level("r2", "domain", "suffix", "r1")},
 {_sql_level("r3", "host", "domain", "r2")},
-rep AS (SELECT host, greatest(0.0, mean - {Z} * sqrt(mean * (1 - mean) / (weight + 1))) AS lower FROM r3),
+rep AS (SELECT host, {_BOUND} AS lower FROM r3),
+inh AS (SELECT host, {_BOUND} AS inherited FROM (SELECT h.host, coalesce(r2.mean, r1.mean, r0.mean) AS mean, CASE WHEN r2.mean IS NOT NULL THEN (SELECT s FROM r3_t) WHEN r1.mean IS NOT NULL THEN (SELECT s FROM r2_t) ELSE (SELECT s FROM r1_t) END AS weight FROM hosts h LEFT JOIN r2 ON h.domain = r2.domain LEFT JOIN r1 ON h.suffix = r1.suffix LEFT JOIN r0 ON h.root = r0.root WHERE h.host <> '')),
 rules AS (SELECT * FROM (VALUES {", ".join(f"('{r}', '{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for r, v in RULES)}) AS x(rule, verdict, rhost, rpath)),
 fit AS (SELECT DISTINCT host, path, first_value(rule) OVER w AS rule, first_value(verdict) OVER w AS verdict FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) WINDOW w AS (PARTITION BY host, path ORDER BY length(rule) DESC, rule))
-SELECT page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, CASE WHEN lower > {BLOCK_RATE} THEN 'block' ELSE 'allow' END) AS verdict, round(lower, 6) AS bad_rate_lower
-FROM p LEFT JOIN fit ON p.host = fit.host AND p.path = fit.path LEFT JOIN rep ON p.host = rep.host
+SELECT page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, CASE WHEN coalesce(lower, inherited) > {BLOCK_RATE} THEN 'block' ELSE 'allow' END) AS verdict, round(lower, 6) AS bad_rate_lower
+FROM p LEFT JOIN fit ON p.host = fit.host AND p.path = fit.path LEFT JOIN rep ON p.host = rep.host LEFT JOIN inh ON p.host = inh.host
 """
