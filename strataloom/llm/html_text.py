@@ -21,6 +21,8 @@ NOT_TEXT = frozenset("nav header footer aside script style noscript template for
 RAW = frozenset("script style title textarea noscript template iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that hold running text: a mark counts there only where it is a whole class, id or role, since their names often tell of what is written (related-work).
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figcaption td th caption q em strong b i span a code".split())
 #: Words in class, id and role that mark such elements whatever their name.
 MARKS = frozenset("ad ads adbox advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert comment comments commentlist disqus reply replies respond sidebar widget widgets menu nav navbar navigation navigational breadcrumb breadcrumbs share sharing social related recommended footer header masthead subscribe subscription newsletter signup popup modal overlay login toolbar pagination pager skip complementary contentinfo search searchbox toc hidden".split())
 
@@ -29,14 +31,14 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _NAME = re.compile(r"[a-z]+")
 
 
-def _marked(attrs: str) -> bool:
+def _marked(attrs: str, name: str) -> bool:
     if "=" not in attrs and "hidden" not in attrs.lower():
         return False
     for m in _ATTR.finditer(attrs):
         if not m[1]:
             return True
         value = (m[2] or m[3] or m[4] or "").lower()
-        if MARKS.intersection(_NAME.findall(value)):
+        if MARKS.intersection(value.split() if name in PROSE else _NAME.findall(value)):
             return True
     return False
 
@@ -65,7 +67,7 @@ def tokens(page: str):
         name = m[2].lower()
         inline = name in INLINE
         if not m[1]:
-            drop = name in NOT_TEXT or _marked(m[3])
+            drop = name in NOT_TEXT or _marked(m[3], name)
             out.append(("tag", name, (where(), "open", "marked" if drop else name), not inline))
             if name in VOID or m[3].rstrip().endswith("/") and name not in RAW:
                 continue
