@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from strataloom.llm import line_dedup, ngram_join, product, suffix_dedup, vec
+from strataloom.llm import line_dedup, ngram_join, product, shared, suffix_dedup, vec
 from strataloom.llm.exact_dedup import exact_dedup
 from strataloom.llm.shared import components
 
@@ -43,6 +43,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("big", [64, 2])
+def test_components_with_hubs(spark, monkeypatch, big):
+    """A hub whose edges lie in several tasks, chains between hubs, repeated edges."""
+    monkeypatch.setattr(shared, "BIG_GROUP", big)
+    rng = random.Random(big)
+    edges = [(50, 1000 + i) for i in range(400)] + [(7, 1200 + i) for i in range(300)] + [(2000 + i, 2001 + i) for i in range(60)] + [(1100, 2030), (5, 3000), (3000, 4), (4, 3001), (3001, 6)]
+    edges += rng.choices(edges, k=200)
+    rng.shuffle(edges)
+    u = Union()
+    for a, b in edges:
+        u.join(a, b)
+    got = [(r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()]
+    assert len(got) == len(u.p) and dict(got) == {x: u.find(x) for x in u.p}
+
+
 def words(n, rng):
     return [f"w{rng.randrange(400)}" for _ in range(n)]
 
@@ -208,6 +223,10 @@ def test_product(monkeypatch, dense_rows):
         old, product.COLUMNS = product.COLUMNS, 16
         a, b = product.product_links(np.arange(30), np.array([len(s) for s in sets]), np.concatenate(sets), 80, 100)
         product.COLUMNS = old
+        few = Union()
+        for x, y in zip(*(z.tolist() for z in product._few_links(np.arange(30), [np.sort(s) for s in sets], 80, 100)), strict=True):
+            few.join(x, y)
+        assert all(u.find(i) == few.find(i) for i in range(30))
         v = Union()
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
             v.join(x, y)

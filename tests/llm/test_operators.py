@@ -47,6 +47,24 @@ def test_hosts_without_outcomes_inherit(spark):
     assert url_filters.url_filter(pages, outcomes, rules=[]).count() == len(seen) + len(new)
 
 
+def test_domains(spark):
+    hosts = {"a.co.uk": ("a.co.uk", "co.uk"), "x.b.co.uk": ("b.co.uk", "co.uk"), "x.b.com": ("b.com", "com"), "b.com:8080": ("b.com", "com"), "10.0.0.1": ("10.0.0.1", "(address)"), "localhost": ("localhost", "localhost"), "co.uk": ("co.uk", "co.uk"), "a.com.au": ("a.com.au", "com.au")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in df.withColumns(url_filters._domain_suffix(F.col("host"))).collect()}
+    assert got == hosts
+
+
+def test_repeated_pages_and_outcomes(spark):
+    """What is given twice counts once, and multiplies no row."""
+    pages = [(1, "http://a.org/x"), (1, "http://a.org/x"), (None, "http://a.org/y"), (2, "http://a.org/" + "z" * 100_000), (3, None)]
+    pages = spark.createDataFrame([(*r, "h", 1) for r in pages], "page_id long, url string, host string, bad int")
+    outcomes = spark.createDataFrame([(1, 1), (1, 0), (1, 1), (2, 0), (2, None), (None, 1)], "page_id long, bad int")
+    got = url_filters.url_filter(pages, outcomes, rules=[]).collect()
+    assert len(got) == 5 and len({r.bad_rate_lower for r in got if r.host == "a.org"}) == 1
+    again = spark.createDataFrame([(1, 1), (2, 0)], "page_id long, bad int")
+    assert sorted(map(str, got)) == sorted(map(str, url_filters.url_filter(pages, again, rules=[]).collect()))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_match_sql(spark, sf, name):
     con = duckdb.connect()
@@ -95,6 +113,21 @@ def test_cache_is_used_and_appended_to(spark, docs, tmp_path):
     assert got == {1: 102, 4: 3} and spark.read.parquet(cache).count() == 3
 
 
+def test_warm_cache_moves_misses_only(spark, docs, tmp_path, monkeypatch):
+    """Few and many misses are picked in two ways that give the same."""
+    import public_tokenizers
+
+    path, rows = public_tokenizers.path("byte_bpe_50k.json"), [(i, f"text {i % 7}") for i in range(40)]
+    got = []
+    for sent in (100, 0):
+        monkeypatch.setattr(token_counts, "MISSES_SENT", sent)
+        cache = str(tmp_path / f"cache{sent}")
+        token_counts.token_counts(docs(rows[:3]), path, cache).collect()
+        got.append(sorted(tuple(r) for r in token_counts.token_counts(docs(rows), path, cache).collect()))
+        assert spark.read.parquet(cache).count() == 7
+    assert got[0] == got[1] and len(got[0]) == 40
+
+
 # --- HTML ----------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>x y</title><script>if (a<b) "</p>"</script></head><body><nav><ul><li><a>home</a></li></ul></nav><div class="ad">buy now cheap</div>
@@ -109,6 +142,39 @@ def test_extraction(spark, sf):
     assert html_text.extract("", weights) == "" and html_text.extract("<div", weights) == "" and html_text.extract("<script>x", weights) == ""
 
 
+def test_marks_on_prose(spark, sf):
+    """A class that only mentions a mark does not take a paragraph or heading out of the article; a whole class that is one does."""
+    weights = html_text.learn([r.html for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").limit(100).collect()])
+    page = """<html><body><nav><a>home</a></nav><article><h1>A long title of it</h1><h2 class="section-menu">What we ate</h2><p class="related-work">Others have done the same before us</p>
+    <p class="notice-of-death">He died in the year of the storm</p><p class="advert">buy it now</p><div class="share-buttons"><p>share this</p></div><p>and that is the end of it all</p></article><footer>f</footer></body></html>"""
+    assert html_text.extract(page, weights) == "A long title of it\n\nWhat we ate\n\nOthers have done the same before us\n\nHe died in the year of the storm\n\nand that is the end of it all"
+
+
+def test_best_run_is_the_best():
+    """The linear scan finds the run that trying all runs finds."""
+    rng = random.Random(7)
+    for _ in range(30):
+        parts = [rng.choice(["<p>", "</p>", "<div>", "</div>", "<a>", "</a>", "some words here ", "word ", "<li>"]) for _ in range(14)]
+        page, weights = "".join(parts), {}
+        items = html_text.tokens(page)
+        for kind, _, f, value in items:
+            if f is not None:
+                weights.setdefault((kind if kind == "tag" else "word", *f), rng.uniform(-3, -0.1) if kind == "tag" else rng.uniform(-1, 2))
+        scores = [html_text._score(weights, k, f, v) for k, _, f, v in items]
+        best = max(sum(scores[i:j]) for i in range(len(scores) + 1) for j in range(i, len(scores) + 1))
+        text = html_text.extract(page, weights)
+        runs = {" ".join(html_text.extract(page, weights).split())}
+        want = [(i, j) for i in range(len(scores) + 1) for j in range(i, len(scores) + 1) if abs(sum(scores[i:j]) - best) < 1e-9]
+        words = {" ".join(" ".join(v for k, _, _, v in items[i:j] if k == "text" and v).split()) for i, j in want}
+        assert "".join(text.split()) in {"".join(w.split()) for w in words}, (page, runs, words)
+
+
+def test_extraction_of_a_very_long_page(spark):
+    body = "".join(f"<p>paragraph {i} of a very long page that goes on</p>" for i in range(30_000))
+    pages = spark.createDataFrame([(1, None, f"<html><body><nav>x</nav><article>{body}</article></body></html>")], "page_id long, url string, html string")
+    assert html_text.extract_text(pages).first().text.count("\n\n") == 29_999
+
+
 def test_extraction_of_the_table(spark, sf):
     """The pages' articles are plain, so a split at the tags gives their text."""
     import html
@@ -252,7 +318,7 @@ def test_raking():
     p = np.array(mixing.rake_local(cells, 0.3, mixing.TEMPER))
     tokens = np.array([c[3] for c in cells], float)
     assert (p > 0).all() and (p <= 1).all() and abs((p * tokens).sum() - 0.3 * tokens.sum()) < 1e-3 * tokens.sum()
-    topic = [(p * tokens)[[c[2] == k for c in cells]].sum() for k in range(3)]
+    topic = [(p * tokens)[[c[2] == k for c in cells]].sum() / tokens[[c[2] == k for c in cells]].sum() ** mixing.TEMPER["topic"] for k in range(3)]
     assert max(topic) / min(topic) < 1.001
     source = {s: ((p * tokens)[[c[0] == s for c in cells]].sum(), tokens[[c[0] == s for c in cells]].sum() ** 0.5) for s in {c[0] for c in cells}}
     shares = [a / b for a, b in source.values()]
@@ -280,6 +346,30 @@ def test_raking_by_frames_agrees_on_hard_cells(spark, monkeypatch):
     assert max(one.values()) == 1 and set(one) == set(two) and all(abs(one[k] - two[k]) < 1e-9 for k in one)
 
 
+def test_topics_are_learned(spark, docs):
+    """Documents of one vocabulary share a topic, whatever their length; the sample bounds only what is learned from."""
+    rng = random.Random(6)
+    themes = [[f"{t}word{i}" for i in range(40)] for t in ("sea", "law", "cook", "tech")]
+    rows = [(i, " ".join(rng.choices(themes[i % 4], k=rng.choice((8, 30, 300))))) for i in range(200)] + [(200, ""), (201, None), (202, "a b c")]
+    for sample in (100, 2000):
+        got = {r.doc_id: r.topic for r in mixing.describe(docs(rows), mixing.learn_topics(docs(rows), topics=4, sample=sample)).collect()}
+        of = [{got[i] for i in range(200) if i % 4 == t} for t in range(4)]
+        assert all(len(x) == 1 for x in of) and len(set.union(*of)) == 4 and {got[i] for i in (200, 201, 202)} == {-1}
+
+
+def test_margin_report(spark, docs):
+    rows = docs([(i, "word " * (5 + i % 9)) for i in range(300)])
+    mixed = mixing.mix(rows, budget=0.4)
+    report = mixing.margin_report(mixed, budget=0.4).collect()
+    total = mixed.agg(F.sum("n_tokens")).first()[0]
+    for margin in mixing.MARGINS:
+        of = [r for r in report if r.margin == margin]
+        assert abs(sum(r.target for r in of) - 0.4 * total) < 1e-6 * total and all(abs(r.residual) < 1e-3 for r in of)
+    # no probability may be over 1, so a budget of nearly all cannot meet targets that are not the sources' own shares
+    hard = mixing.margin_report(mixing.mix(rows.withColumn("source", F.when(F.col("doc_id") < 3, "few").otherwise("many")), budget=0.9), budget=0.9)
+    assert hard.agg(F.max(F.abs("residual"))).first()[0] > 0.1
+
+
 def test_mixing(spark, sf, odd, nothing):
     rows = mixing.op4_mixing(spark, sf).toPandas()
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
