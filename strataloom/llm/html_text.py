@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 TRAIN_PAGES = 400  # labelled pages that the weights are learned from, at most
 TRAIN_CHARS = 200_000  # longer pages are not used for training
+TRAIN_BYTES = 16 << 20  # of the training pages together
 
 #: Fixed values of HTML: elements that hold no article text, raw-text and void elements, and elements inside a block.
 NOT_TEXT = frozenset("nav header footer aside script style noscript template form button select option textarea input iframe svg canvas object head title menu dialog audio video math".split())
@@ -165,10 +166,17 @@ def _extract(weights: dict):
 def extract_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars (code points).
 
-    Weights come from at most train_pages pages, in the order of a hash of page_id, that hold one <article> and at most TRAIN_CHARS characters; every page is extracted whole. Null or empty html gives an empty text; repeated rows are extracted each; an empty table gives an empty result. Other columns are not read.
+    Weights come from at most train_pages pages, in the order of a hash of page_id, that hold one <article> and at most TRAIN_CHARS characters, and of TRAIN_BYTES together (each whole); every page is extracted whole. Null or empty html gives an empty text; repeated rows are extracted each; an empty table gives an empty result. Other columns are not read.
     """
     labelled = pages.select("page_id", "html").where((F.length("html") <= TRAIN_CHARS) & (F.size(F.split(F.col("html"), "<article[ >]")) == 2))
-    weights = learn([r.html for r in labelled.orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).collect()])
+    first = labelled.groupBy("page_id").agg(F.max(F.octet_length("html")).alias("bytes")).orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).collect()
+    picked, total = [], 0
+    for r in first:
+        if r.page_id is not None and total + r.bytes <= TRAIN_BYTES:
+            total += r.bytes
+            picked.append((r.page_id,))
+    wanted = F.broadcast(pages.sparkSession.createDataFrame(picked, "page_id long"))
+    weights = learn(r.html for r in labelled.join(wanted, "page_id").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect())
     return pages.select("page_id", "url", "html").mapInArrow(_extract(weights), "page_id long, url string, text string, n_chars long")
 
 
