@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_dir
+
 #: A key that holds at least 1 / HOT_SHARE of all rows is hot; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 2000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary one, which is then set; on a cluster that is an error, since executors would not share it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="strataloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def cut(df: DataFrame, *bucket: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: later stages restart from files, not from the lineage."""
     spark = df.sparkSession
@@ -58,7 +48,7 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-BIG_GROUP = 64  # neighbours of a node within one map task: more are met there already
+BIG_GROUP = 16  # neighbours of a node within one map task: more are met there already
 
 
 def _neighbours(batches):
