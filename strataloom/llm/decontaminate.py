@@ -5,6 +5,7 @@ Numbers, names and units become typed placeholders, so that a question whose par
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 
 import numpy as np
@@ -18,7 +19,7 @@ WORDS = 5  # words in a template window
 SHARE = 0.8  # of an item's windows that a document must hold consistently
 LITERALS = 2  # words of a window that are no placeholders, at least (or all words of a shorter item)
 FORMS = 3  # ways to take names: see forms()
-WORK = 2_000_000  # matches that the search for one assignment looks at
+PARTS_KNOWN = 100_000  # parts of a search that are remembered at a time
 INDEX_WINDOWS = 2_000_000  # windows of the benchmark that go to every task; a larger benchmark is joined by a shuffle
 
 #: Units and number words that become placeholders. Units that are common English words (in, a, as) are left out.
@@ -141,45 +142,88 @@ def _hits(k: int, index: np.ndarray | None, lengths: list[int] | None, id_col: s
     return run
 
 
-def most_held(matches, least: int, work: int = WORK) -> int:
+def most_held(matches, least: int) -> int:
     """The most windows that one assignment of the item's values to the document's holds, or `least` if none holds more. matches: (window, item's slots, document's slots).
 
-    A branch and bound over the item's values, exact unless it looks at more than `work` matches; then the best assignment found so far counts.
+    An exact branch and bound over the item's values. Windows that share no open value are searched apart, and a part that was met before is not searched again, so windows along a text, each with the values of its neighbours only, do not multiply.
     """
     fits: dict = {}
     for w, theirs, ours in matches:
         one: dict = {}
         if all(t == 0 or one.setdefault(t, o) == o for t, o in zip(theirs, ours, strict=True)):
-            fits.setdefault(w, {})[tuple(sorted(one.items()))] = one
-    best = least
-    # windows as lists of their matches (item's value -> document's value), the next choice, the values chosen
-    stack = [(len(fits), [list(x.values()) for x in fits.values()], None, None, frozenset())]
-    while stack and work > 0:
-        bound, rows, t, o, chosen = stack.pop()
-        if bound <= best:
-            continue
-        work -= sum(map(len, rows))
-        if t is not None:
-            rows = [left for row in rows if (left := [one for one in row if one.get(t, o) == o])]
-            chosen = chosen | {t}
-        users = Counter(t for row in rows for t in {t for one in row for t in one} - chosen)
-        if not users:
-            best = max(best, len(rows))
-            continue
+            fits.setdefault(w, set()).add(tuple(sorted(one.items())))
+    known: dict = {}  # part -> (most windows, whether that is exact or only a bound)
+
+    # both searches give the exact number if it is over need, else any number up to need; a window is its possible matches, a match its open values
+    def apart(rows, need):
+        held = sum(() in row for row in rows)
+        rows = [row for row in rows if () not in row]
+        if held + len(rows) <= need:
+            return need
+        parts = _parts(rows)
+        left = len(rows)
+        for part in parts:
+            left -= len(part)
+            enough = need - held - left
+            got = joined(part, enough)
+            if got <= enough:
+                return need
+            held += got
+        return held
+
+    def joined(rows, need):
+        if len(rows) <= need:
+            return need
+        key = tuple(sorted(tuple(sorted(row)) for row in rows))
+        most, exact = known.get(key, (len(rows), False))
+        if exact or most <= need:
+            return most
+        users = Counter(t for row in rows for t in {t for one in row for t, _ in one})
         t = max(users, key=lambda x: (users[x], x))
         free, support, votes = 0, Counter(), Counter()
         for row in rows:
-            values = {one.get(t) for one in row}
+            values = {dict(one).get(t) for one in row}
             votes.update(values - {None})
             if None in values:
                 free += 1
             else:
                 support.update(values)
-        # the value that most windows have is looked at first
-        for o in sorted(votes, key=lambda x: (votes[x], x)):
-            if free + support[o] > best:
-                stack.append((free + support[o], rows, t, o, chosen))
-    return best
+        best = need
+        for o in sorted(votes, key=lambda x: (support[x], votes[x], x), reverse=True):
+            if free + support[o] <= best:
+                break
+            chosen = [{tuple(x for x in one if x[0] != t) for one in row if dict(one).get(t, o) == o} for row in rows]
+            best = max(best, apart([row for row in chosen if row], best))
+        if len(known) >= PARTS_KNOWN:
+            known.clear()
+        known[key] = best, best > need
+        return best
+
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(limit + 4 * len({t for row in fits.values() for one in row for t, _ in one}) + 100)
+    try:
+        return max(least, apart(list(fits.values()), least))
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def _parts(rows: list) -> list[list]:
+    """rows in groups that share no value, small groups first."""
+    root: dict = {}
+
+    def top(t):
+        while root.setdefault(t, t) != t:
+            root[t] = t = root[root[t]]
+        return t
+
+    for row in rows:
+        first, *others = {t for one in row for t, _ in one}
+        for t in others:
+            root[top(t)] = top(first)
+    out: dict = {}
+    for row in rows:
+        out.setdefault(top(next(iter(row))[0][0]), []).append(row)
+    return sorted(out.values(), key=len)
 
 
 def _fill(share: float):

@@ -284,6 +284,18 @@ def test_assignment_is_the_best():
         assert decontaminate.most_held(matches, 0) == want
 
 
+def test_long_assignment_is_the_best():
+    """A search of many open values ends with the best one: the same as going along the values, which each window has three of in a row."""
+    rng = random.Random(1)
+    n, r = 40, 3
+    matches = [(i, tuple(range(i + 1, i + 4)), tuple(rng.randrange(r) for _ in range(3))) for i in range(n) for _ in range(2 * r)]
+    had = {(w, o) for w, _, o in matches}
+    best = {(a, b): 0 for a in range(r) for b in range(r)}
+    for i in range(n):
+        best = {(b, c): max(best[a, b] + ((i, (a, b, c)) in had) for a in range(r)) for b in range(r) for c in range(r)}
+    assert decontaminate.most_held(matches, 0) == max(best.values())
+
+
 def test_names_in_any_case_and_place(spark, docs):
     """Copies in lower case and in capitals, and other names that open sentences."""
     story = "Tom has 5 apples. Ann gives 7 apples to him. Tom eats 2 of them. Ann sells 3 of hers. How many apples are left for Tom?"
