@@ -1,10 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-A document's topic is the nearest of a few centres of word counts of its language, learned by spherical k-means from a bounded sample and applied to all documents. Token counts are summed per cell (source, language, topic). The cells' sampling probabilities are raked to the target share of each source, language and topic in turn, bounded by 1, until the margins hold; each document is then drawn by its cell's probability with a hash of its id, so a draw can be repeated.
+A document's topic is the nearest of a few centres of word counts of its language, learned by spherical k-means from all documents. Token counts are summed per cell (source, language, topic). The cells' sampling probabilities are raked to the target share of each source, language and topic in turn, bounded by 1, until the margins hold; each document is then drawn by its cell's probability with a hash of its id, so a draw can be repeated.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,9 @@ MARGINS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.5}  # target share of a value: its tokens to this power
 BUDGET = 0.5  # tokens to draw, as a share of all
 TOPICS = 8
-TOPIC_SAMPLE = 2000  # documents that the topics are learned from, at most
+RARE = 200  # a language with less than this part of the rows has no topics of its own
+ROUNDS_OF_TOPICS, SETTLED = 25, 1e-4
+SEEDS, DRAWS = 32, 3  # rows that a draw takes on average, to begin the means from
 DIMS = 512  # of a document's vector
 VECTORS_HELD = 2048
 CELLS_ON_DRIVER = 100_000  # more cells are raked by DataFrame operations
@@ -43,59 +47,166 @@ def _slices(batches):
             yield part.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
-def _sample_vectors(batches):
+def _vectors(batches):
+    """(order, lang, x) of each text that has words to tell a topic by."""
     import pyarrow as pa
 
     for part, data, offsets in _slices(batches):
         x = vectors(data, offsets)[1].astype(np.float32)
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("order", "id", "lang")), pa.array([r.tobytes() for r in x], pa.binary())], names=["order", "id", "lang", "x"])
-
-
-def cluster(x: np.ndarray, k: int, seed: int = SEED, rounds: int = 25) -> np.ndarray:
-    """Centres (unit vectors) of k topics by spherical k-means, begun from rows that lie far apart; fewer where there are not k different rows."""
-    x = x[(x * x).sum(axis=1) > 0]
-    if not len(x):
-        return np.zeros((0, x.shape[1]))
-    rng = np.random.default_rng(seed)
-    centres = [x[rng.integers(len(x))]]
-    near = x @ centres[0]
-    while len(centres) < k:
-        far = np.maximum(1 - near, 0) ** 2
-        if far.sum() < 1e-9:
-            break
-        centres.append(x[rng.choice(len(x), p=far / far.sum())])
-        near = np.maximum(near, x @ centres[-1])
-    c = np.array(centres)
-    for _ in range(rounds):
-        of = (x @ c.T).argmax(axis=1)
-        new = np.array([x[of == i].sum(axis=0) if (of == i).any() else c[i] for i in range(len(c))])
-        new /= np.sqrt((new * new).sum(axis=1, keepdims=True))
-        if np.allclose(new, c, atol=1e-9):
-            break
-        c = new
-    return c
+        some = np.flatnonzero(x.any(axis=1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(some)) for c in ("order", "lang")), pa.array([r.tobytes() for r in x[some]], pa.binary())], names=["order", "lang", "x"])
+
+
+def _by_language(batches, own: set):
+    """(name, orders, vectors) of the rows of each language of `own` in a batch, and of all its rows by the name None."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data, offsets = vec.string_buffers(batch.column("x"))
+        x = data[offsets[0] : offsets[-1]].view(np.float32).reshape(-1, DIMS)
+        order = batch.column("order").to_numpy().view(vec.U)
+        lang = batch.column("lang").dictionary_encode()
+        code, names = lang.indices.to_numpy(), lang.dictionary.to_pylist()
+        yield None, order, x
+        for i, name in enumerate(names):
+            if name in own:
+                yield name, order[code == i], x[code == i]
 
 
-def learn_topics(docs: DataFrame, topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> dict[str, np.ndarray]:
-    """Topic centres of each language, the topic with most documents first, from `sample` documents (doc_id, text, lang) at most, the first by a hash of id and text; under '' those of all languages together, for languages that the sample lacks.
+def _far(x: np.ndarray, c: np.ndarray | None) -> np.ndarray:
+    """Squared distances from the nearest of the centres, as integers in units of 2 ** -20; 1 without centres."""
+    far = np.ones(len(x)) if c is None else np.maximum(1 - (x @ c.T).max(axis=1), 0) ** 2
+    return np.rint(far * (1 << 20)).astype(np.int64)
+
+
+def _weights(own: set, centres: dict):
+    """Of each name the sum of _far."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        sums = Counter()
+        for name, _, x in _by_language(batches, own):
+            sums[name] += int(_far(x, centres.get(name)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["name", "w"])
+
+    return run
+
+
+def _draw(own: set, centres: dict, total: dict, turn: int):
+    """Of each name about SEEDS rows, each drawn by its part of the sum of _far, by a hash of the row, so that a draw does not depend on how rows are dealt out."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for name, order, x in _by_language(batches, own):
+            u = (vec.mix(order, 61 + turn) >> vec.U(11)).astype(np.float64) / 2.0**53
+            at = np.flatnonzero(u * total.get(name, 0) < SEEDS * _far(x, centres.get(name)).astype(float))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(order[at].view(np.int64)), pa.array([r.tobytes() for r in x[at]], pa.binary())], names=["name", "order", "x"])
 
-    Topics are learned within a language, since words tell the language first, and its share is a margin of its own.
+    return run
+
+
+def cluster(x: np.ndarray, weight: np.ndarray, k: int, tries: int = 20, rounds: int = 25) -> np.ndarray:
+    """Centres (unit vectors) of k topics of weighted rows by spherical k-means, the best of some tries; fewer where there are not k different rows."""
+    rng, best, most = np.random.default_rng(SEED), x[:0], -1.0
+    for _ in range(tries if len(x) else 0):
+        c = x[[rng.choice(len(x), p=weight / weight.sum())]]
+        while len(c) < k:
+            far = np.maximum(1 - (x @ c.T).max(axis=1), 0) ** 2 * weight
+            if far.sum() < 1e-9:
+                break
+            c = np.concatenate([c, x[[rng.choice(len(x), p=far / far.sum())]]])
+        for _ in range(rounds):
+            of = (x @ c.T).argmax(axis=1)
+            new = np.array([(x[of == i] * weight[of == i, None]).sum(axis=0) if (weight[of == i] > 0).any() else c[i] for i in range(len(c))])
+            new /= np.sqrt((new * new).sum(axis=1, keepdims=True))
+            if np.allclose(new, c, atol=1e-9):
+                break
+            c = new
+        good = float(((x @ c.T).max(axis=1) * weight).sum())
+        if good > most + 1e-9:
+            best, most = c, good
+    return best
+
+
+def _nearest(own: set, centres: dict):
+    """Of each name and centre the rows that are nearest to it: their number and the sum of their vectors in units of 2 ** -20, as integers, so that the order of addition does not matter."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        sums: dict = {}
+        for name, _, x in _by_language(batches, own):
+            if (c := centres.get(name)) is None:
+                continue
+            here = (x @ c.T).argmax(axis=1)[:, None] == np.arange(len(c))
+            n, total = sums.get(name, (0, 0))
+            sums[name] = n + here.sum(axis=0), total + here.T.astype(np.float64) @ np.rint(x * np.float64(1 << 20))
+        out = [(name, i, int(n[i]), total[i].astype(np.int64).tobytes()) for name, (n, total) in sums.items() for i in range(len(n)) if n[i]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 4, (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["name", "centre", "n", "total"])
+
+    return run
+
+
+def _added(batches):
+    """Rows of _nearest with those of one name and centre as one."""
+    import pyarrow as pa
+
+    sums: dict = {}
+    for batch in batches:
+        for name, i, n, total in zip(*(batch.column(c).to_pylist() for c in ("name", "centre", "n", "total")), strict=True):
+            m, so_far = sums.get((name, i), (0, 0))
+            sums[name, i] = m + n, so_far + np.frombuffer(total, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1].tobytes() for v in sums.values()], pa.binary())], names=["name", "centre", "n", "total"])
+
+
+def learn_topics(docs: DataFrame, topics: int = TOPICS, sample: int | None = None, rounds: int = ROUNDS_OF_TOPICS) -> dict[str, np.ndarray]:
+    """Topic centres (unit vectors) of each language, the topic with most documents first, by spherical k-means over all rows of docs (doc_id, text, lang) that have words; under '' those of all languages together, for languages that have less than 1 / RARE of the rows or are not in docs. A language has fewer topics where it has not as many different rows. With `sample`, only about so many rows are learned from, the first by a hash of id and text.
+
+    Topics are learned within a language, since words tell the language first, and its share is a margin of its own. The vectors are written to the shared folder once. In DRAWS passes about SEEDS rows each are drawn from all by their squared distance from those drawn before (k-means||), whose clusters are what the means begin from; each round of means is a pass over all rows, for all languages at once, until no coordinate moves by SETTLED or for `rounds` rounds. To the driver come one row a centre and the drawn rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.xxhash64("doc_id", text, F.lit(SEED)).alias("order"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("(none)")).alias("lang"), text.alias("text"))
-    least = base.select("order", "id").orderBy("order", "id").limit(sample).agg(F.max("order")).first()[0]
-    if least is None:
-        return {"": np.zeros((0, DIMS))}
-    picked = base.where(F.col("order") <= least).dropDuplicates(["order", "id"])
-    found = sorted(((r.order, r.id or 0, r.lang, bytes(r.x)) for r in picked.mapInArrow(_sample_vectors, "order long, id long, lang string, x binary").collect()), key=lambda r: r[:3])
-    x = np.stack([np.frombuffer(r[3], np.float32) for r in found]).astype(float)
-    of = np.array([r[2] for r in found], object)
-    out = {"": cluster(x, topics)} | {name: cluster(x[of == name], topics) for name in sorted(set(of))}
-    for name, c in out.items():
-        rows = x if name == "" else x[of == name]
-        size = np.bincount((rows[rows.any(axis=1)] @ c.T).argmax(axis=1), minlength=len(c)) if len(c) else np.zeros(0, int)
-        out[name] = c[np.argsort(-size, kind="stable")]
-    return out
+    rows = docs.select(F.xxhash64("doc_id", text, F.lit(SEED)).alias("order"), F.coalesce(F.col("lang").cast("string"), F.lit("(none)")).alias("lang"), text.alias("text"))
+    if sample is not None:
+        rows = rows.where(F.col("order") <= F.coalesce(F.lit(rows.select("order").orderBy("order").limit(sample).agg(F.max("order")).first()[0]), F.lit(0)))
+    rows = cut(rows.mapInArrow(_vectors, "order long, lang string, x binary"))
+    n = rows.count()
+    own = {r.lang for r in rows.groupBy("lang").count().where(F.col("count") * RARE >= n).collect()}
+    centres: dict = {}
+    for turn in range(DRAWS if n else 0):
+        total = {r.name: r.w for r in rows.mapInArrow(_weights(own, centres), "name string, w long").groupBy("name").agg(F.sum("w").alias("w")).collect()}
+        found: dict = {}
+        for r in rows.mapInArrow(_draw(own, centres, total, turn), "name string, order long, x binary").distinct().collect():
+            found.setdefault(r.name, []).append((r.order, r.x))
+        for name, some in found.items():
+            more = np.stack([np.frombuffer(x, np.float32) for _, x in sorted(some)]).astype(float)
+            centres[name] = np.concatenate([centres[name], more]) if name in centres else more
+
+    def assigned():
+        sums = rows.mapInArrow(_nearest(own, centres), "name string, centre int, n long, total binary")
+        return sums.repartition("name", "centre").mapInArrow(_added, "name string, centre int, n long, total binary").collect()
+
+    # the drawn rows, each with the number of rows that it is nearest to, stand for all rows where the k-means begins
+    size = {(r.name, r.centre): r.n for r in assigned()} if n else {}
+    centres = {name: cluster(c, np.array([size.get((name, i), 0) for i in range(len(c))], float), topics) for name, c in centres.items()}
+    for _ in range(rounds if n else 0):
+        new = {name: c.copy() for name, c in centres.items()}
+        for r in assigned():
+            total = np.frombuffer(r.total, np.int64).astype(float)
+            new[r.name][r.centre] = total / np.sqrt((total * total).sum())
+        settled = all(np.allclose(new[name], c, rtol=0, atol=SETTLED) for name, c in centres.items())
+        centres = new
+        if settled:
+            break
+    size = {(r.name, r.centre): r.n for r in assigned()} if n else {}
+    drop_cut(rows)
+    every = {"": np.zeros((0, DIMS))}
+    for name, c in sorted(centres.items(), key=lambda x: (x[0] is not None, x[0] or "")):
+        every[name or ""] = c[np.argsort([-size.get((name, i), 0) for i in range(len(c))], kind="stable")]
+    return every
 
 
 def _topics(centres: dict[str, np.ndarray]):

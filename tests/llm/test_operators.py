@@ -369,6 +369,23 @@ def test_topics_are_learned(spark, docs):
         assert all(len(x) == 1 for x in of) and len(set.union(*of)) == 4 and {got[i] for i in (200, 201, 202)} == {-1}
 
 
+def test_topics_are_learned_from_all_rows(spark, docs):
+    """A centre is the mean of all rows that are nearest to it, and rows dealt out otherwise give the same centres."""
+    rng = random.Random(8)
+    themes = [[f"{t}word{i}" for i in range(40)] for t in ("sea", "law", "cook")]
+    texts = [" ".join(rng.choices(themes[i % 3], k=12)) for i in range(4200)]
+    rows = docs(list(enumerate(texts)))
+    centres = mixing.learn_topics(rows, topics=3)
+    raw = [t.encode() for t in texts]
+    x = mixing.vectors(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]))[1]
+    for c in centres.values():
+        of = (x @ c.T).argmax(axis=1)
+        means = np.stack([x[of == i].sum(axis=0) for i in range(3)])
+        assert np.allclose(c, means / np.sqrt((means * means).sum(axis=1, keepdims=True)), atol=2e-4)
+    again = mixing.learn_topics(rows.repartition(7, "text"), topics=3)
+    assert set(again) == set(centres) == {"", "en"} and all(np.allclose(again[k], centres[k], atol=1e-12) for k in centres)
+
+
 def test_margin_report(spark, docs):
     rows = docs([(i, "word " * (5 + i % 9)) for i in range(300)])
     mixed = mixing.mix(rows, budget=0.4)
