@@ -10,15 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .buckets import SCHEMA, collapsed, star_edges
+from .buckets import collapsed, star_edges
 from .product import linked_components
 from .shared import components, cut, drop_cut, join_groups
 
 CHARS, NUM, DEN = 7, 80, 100  # bytes of a shingle (7 at most, so that shingles are compared as they are), threshold
 BANDS, ROWS = 14, 5
 BINS = BANDS * ROWS
+FULL = (1 << 8 * CHARS) - 1
 DEALS = 6  # of the shingles into bins, while bins are empty
-SLICE_BYTES, SLICE_LINES = 1 << 18, 4096  # what is hashed at a time
+SLICE_BYTES = 1 << 18  # what is split into lines at a time
+SEEN_LINES = 1 << 18  # that a task remembers
+KEY_BYTES, KEY_LINES = 1 << 15, 1024  # what is hashed at a time
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray):
@@ -38,45 +41,63 @@ def line_spans(data: np.ndarray, offsets: np.ndarray):
     return starts[some], ends[some], doc[some], number[some]
 
 
-def line_grams(data, starts, ends):
-    """(line, shingle) of the character shingles of each line; a shorter line is one shingle."""
-    count = np.maximum(ends - starts - CHARS + 1, 1)
-    line = np.repeat(np.arange(len(starts)), count)
-    at = np.repeat(starts - np.cumsum(count) + count, count) + np.arange(len(line))
-    return line, vec.short_grams(data, at, np.minimum(ends[line] - at, CHARS))
-
-
-def band_keys(line, grams, n: int) -> np.ndarray:
-    """BANDS keys of each of n lines. line is in order."""
-    low = np.full((n, BINS), ~vec.U(0))
-    todo = np.arange(n)  # lines with empty bins: their shingles are dealt again, by another hash, and fill only those
-    for deal in range(DEALS):
-        g = vec.mix(grams, 41 + deal)
-        part = np.full(len(todo) * BINS, ~vec.U(0))
-        np.minimum.at(part, line * BINS + ((g >> vec.U(40)) * vec.U(BINS) >> vec.U(24)).astype(np.int64), (g & vec.U((1 << 40) - 1)) + vec.U(deal << 40))
-        low[todo] = np.minimum(low[todo], part.reshape(-1, BINS))
-        left = (low[todo] == ~vec.U(0)).any(axis=1)
+def gram_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(count, hash): how many shingles each line has (a shorter line is one shingle), and the hashes of them all. The lines stand in order and do not overlap."""
+    at, size = starts - starts[0], ends - starts
+    eights = vec.eights(data[starts[0] : ends[-1]])
+    x = eights[:-1] & vec.BYTES[CHARS]
+    short = size < CHARS
+    if short.any():
+        x[at[short]] = (eights[at[short]] & vec.BYTES[size[short]]) | (size[short].astype(vec.U) << vec.U(56))
+    count = np.maximum(size - CHARS + 1, 1)
+    runs = np.empty((len(at), 2), np.int64)
+    runs[:, 0], runs[:, 1] = count, np.append(at[1:], len(x)) - at - count
+    h = x[np.repeat(np.arange(2 * len(at)) % 2 == 0, runs.ravel())]
+    for odd in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9):
+        h *= vec.U(odd)
+        h ^= h >> vec.U(32)
+    return count, h
+
+
+def band_keys(count: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """BANDS keys of each line, of gram_hashes. A bin is a range of the hash, so the least hash in it is the one of the shingles dealt there."""
+    n, none = len(count), ~vec.U(0)
+    low = np.full(n * BINS, none)
+    base = np.repeat(np.arange(n, dtype=vec.U) * vec.U(BINS), count)
+    for deal in range(DEALS):  # lines with empty bins: their shingles are dealt again, by another hash, and fill only those
+        g = h * vec.U((0xD6E8FEB86659FD93 * (2 * deal + 1)) & vec.MASK) if deal else h
+        at = (base + (((g >> vec.U(32)) * vec.U(BINS)) >> vec.U(32))).view(np.int64)
+        if deal:
+            use = empty[at]
+            at, g = at[use], g[use]
+        np.minimum.at(low, at, g)
+        empty = low == none
+        left = empty.reshape(n, BINS).any(axis=1)
         if not left.any():
             break
-        todo, used = todo[left], left[line]
-        line, grams = (np.cumsum(left) - 1)[line[used]], grams[used]
-    empty = low == ~vec.U(0)
-    place = np.where(empty, 2 * BINS, np.arange(BINS))  # at last the next filled bin, around the end
-    twice = np.minimum.accumulate(np.concatenate([place, place + BINS], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :BINS]
-    filled = np.take_along_axis(low, twice % BINS, axis=1) + (twice - np.arange(BINS)).astype(vec.U) * vec.U(0x9E3779B97F4A7C15)
+        if not left.all():
+            used = np.repeat(left, count)
+            base, h, count = base[used], h[used], np.where(left, count, 0)
+    low, empty = low.reshape(n, BINS), empty.reshape(n, BINS)
+    if left.any():  # at last the next filled bin, around the end
+        part, hole = low[left], empty[left]
+        place = np.where(hole, 2 * BINS, np.arange(BINS))
+        twice = np.minimum.accumulate(np.concatenate([place, place + BINS], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+        low[left] = np.take_along_axis(part, twice % BINS, axis=1) + (twice - np.arange(BINS)).astype(vec.U) * vec.U(0x9E3779B97F4A7C15)
     acc = np.zeros((n, BANDS), vec.U)
     for r in range(ROWS):
-        acc = vec.mix(acc * vec.PAIR + filled[:, r * BANDS : (r + 1) * BANDS])
+        acc += low[:, r * BANDS : (r + 1) * BANDS]
+        acc *= vec.PAIR
+        acc ^= acc >> vec.U(32)
     return vec.mix(acc + np.arange(BANDS, dtype=vec.U), 42)
 
 
 def keys_of(data, starts, ends) -> np.ndarray:
-    """band_keys of lines, SLICE_LINES lines or about SLICE_BYTES bytes (or one long line) at a time."""
-    upto = np.cumsum(ends - starts)
+    """band_keys of lines that stand in order, KEY_LINES lines or KEY_BYTES bytes (or one long line) at a time."""
     out, i = [np.zeros((0, BANDS), vec.U)], 0
     while i < len(starts):
-        j = max(i + 1, min(i + SLICE_LINES, int(np.searchsorted(upto, upto[i] + SLICE_BYTES))))
-        out.append(band_keys(*line_grams(data, starts[i:j], ends[i:j]), j - i))
+        j = max(i + 1, min(i + KEY_LINES, int(np.searchsorted(ends, starts[i] + KEY_BYTES, side="right"))))
+        out.append(band_keys(*gram_hashes(data, starts[i:j], ends[i:j])))
         i = j
     return np.concatenate(out)
 
@@ -93,42 +114,57 @@ def _lines(batches):
             yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("th").take(at), pa.array(no.astype(np.int32)), *both], names=["id", "th", "no", "lh", "lh2"])
 
 
-def _entries(batches):
-    """Collapsed (key, node) of the lines, the node being lh (a chance match of 64 bits only adds a candidate)."""
+def _entries(batches, n_buckets: int):
+    """Collapsed (key, node) of the lines, the node being lh (a chance match of 64 bits only adds a candidate). A line that the task has just seen is left out: it would give the same rows."""
 
     def blocks():
+        seen: set[int] = set()
         for _, data, offsets in vec.pieces(batches, most=SLICE_BYTES):
             s, e, _, _ = line_spans(data, offsets)
             if len(s):
                 low = vec.LOWER[data]
                 lh, first = np.unique(vec.span_hash(low, s, e), return_index=True)
-                yield keys_of(low, s[first], e[first]).ravel().view(np.int64), np.repeat(lh, BANDS).view(np.int64)
+                new = np.fromiter((h not in seen for h in lh.tolist()), bool, len(lh))
+                if len(seen) > SEEN_LINES:
+                    seen.clear()
+                seen.update(lh.tolist())
+                order = np.argsort(first[new])
+                lh, first = lh[new][order], first[new][order]
+                yield keys_of(low, s[first], e[first]).ravel(), np.repeat(lh, BANDS)
 
-    yield from collapsed(blocks())
+    return collapsed(blocks(), n_buckets)
 
 
 def _contents(batches):
     """The lines listed in `at` (no, lh, lh2, cluster), lower-cased, each with the number of its distinct shingles."""
     import pyarrow as pa
 
-    names = ("cluster", "lh", "lh2", "n", "grams")
     for part, data, offsets in vec.pieces(batches, most=SLICE_BYTES):
         s, e, doc, no = line_spans(data, offsets)
-        low = vec.LOWER[data]
-        raw = low.tobytes()
-        index = {(d, n): i for i, (d, n) in enumerate(zip(doc.tolist(), no.tolist(), strict=True))}
-        rows = [(x["cluster"], x["lh"], x["lh2"], index[d, x["no"]]) for d, at in enumerate(part.column("at").to_pylist()) for x in at]
-        if rows:
-            which = np.array([r[3] for r in rows])
-            n = [len(grams_of(raw[i:j])) for i, j in zip(s[which].tolist(), e[which].tolist(), strict=True)]
+        raw = vec.LOWER[data].tobytes()
+        at = part.column("at")
+        o = at.offsets.to_numpy()
+        wanted = at.values.slice(o[0], o[-1] - o[0]).flatten()
+        lh, lh2, cluster, place = (wanted[at.type.value_type.get_field_index(c)] for c in ("lh", "lh2", "cluster", "no"))
+        if len(place):
+            ids = np.repeat(np.arange(part.num_rows), np.diff(o)) << 32 | place.to_numpy()
+            which = np.searchsorted(doc << 32 | no, ids)
             lines = [raw[i:j] for i, j in zip(s[which].tolist(), e[which].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array(n, pa.int64()), pa.array(lines, pa.binary())], names=names)
+            n = pa.array([len(grams_of(x)) for x in lines], pa.int64())
+            yield pa.RecordBatch.from_arrays([cluster, lh, lh2, n, pa.array(lines, pa.binary())], names=["cluster", "lh", "lh2", "n", "grams"])
 
 
 def grams_of(line: bytes) -> np.ndarray:
-    """Distinct shingles of a line."""
-    data = np.frombuffer(line, np.uint8)
-    return np.unique(line_grams(data, np.zeros(1, np.int64), np.full(1, len(data)))[1]).view(np.int64)
+    """Distinct shingles of a line, as they are: the size of a shorter one stands in the highest byte."""
+    n = len(line) - CHARS + 1
+    if n < 1:
+        return np.array([int.from_bytes(line, "little") | len(line) << 56], np.int64)
+    x = np.ndarray((n,), "<i8", line + b"\0", strides=(1,)) & FULL
+    x.sort()
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -147,7 +183,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     """
     rows = _base(docs)
     lines = cut(rows.mapInArrow(_lines, "id long, th long, no int, lh long, lh2 long"))
-    clusters = components(star_edges(rows.select("text").mapInArrow(_entries, SCHEMA))).select(F.col("node").alias("lh"), F.col("root").alias("cluster"))
+    clusters = components(star_edges(rows.select("text"), _entries)).select(F.col("node").alias("lh"), F.col("root").alias("cluster"))
     rep = lines.groupBy("lh", "lh2").agg(F.min(F.struct("id", "th", "no")).alias("r"), F.count(F.lit(1)).alias("n_lines"))
     rep = cut(rep.join(clusters, "lh", "left").where("n_lines > 1 OR cluster IS NOT NULL"))
     at = rep.where("cluster IS NOT NULL").select("r.id", "r.th", F.struct("r.no", "lh", "lh2", "cluster").alias("x")).groupBy("id", "th").agg(F.collect_list("x").alias("at"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .buckets import SCHEMA, of_lists, star_edges
+from .buckets import of_lists, star_edges
 from .product import linked_components
 from .shared import components, cut, drop_cut, join_groups
 
@@ -108,7 +108,7 @@ def jaccard_components(docs: DataFrame, k_words: int = WORDS, num: int = NUM, de
     rows = cut(docs.mapInArrow(_signatures(k_words, num, den), "id long, th long, n long, n1 long, n2 long, keys array<long>"))
     some = rows.where("n > 0").groupBy("n1", "n2").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("x"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("size"))
     reps = cut(some.select("n1", "n2", "x.id", "x.th", "n", "keys", "size", F.monotonically_increasing_id().alias("node")))
-    clusters = components(star_edges(reps.select("node", "keys").mapInArrow(of_lists, SCHEMA))).withColumnRenamed("root", "cluster")
+    clusters = components(star_edges(reps.select("node", "keys"), of_lists)).withColumnRenamed("root", "cluster")
     wanted = reps.select("node", "id", "th", "n").join(clusters, "node")
     same = (F.col("d.th") == F.col("w.th")) & F.col("d.id").eqNullSafe(F.col("w.id"))
     picked = docs.alias("d").join(wanted.alias("w").hint("merge"), same).select("cluster", "node", "n", "text").mapInArrow(_grams(k_words), "cluster long, node long, n long, grams binary")

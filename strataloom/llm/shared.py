@@ -105,23 +105,40 @@ def _to_least(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in vec.forest(a, b)], names=["a", "b"])
 
 
+FEW_EDGES = 1 << 19  # that one task finishes
+
+
+def _forest(batches):
+    """Edges (node, least node of its component) with the components of the edges a task has, as far as blocks of FEW_EDGES reach."""
+    import pyarrow as pa
+
+    from . import vec
+
+    for a, b in vec.blocks_of(batches, "a", "b", rows=FEW_EDGES + 1):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in vec.forest(a, b)], names=["a", "b"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b longs, in any order): one row a node that has an edge, (node, root), root the smallest node.
 
-    Distributed union-find in rounds: each task reduces its edges by a local union-find, then every node's neighbours are linked to the least of them (star contraction), until a round changes nothing. A hub, which may have a third of all edges, is contracted within the map tasks first, so no task meets all of it. Every round is cut to the shared folder. An empty input gives an empty result.
+    Distributed union-find in rounds: each task reduces its edges by a local union-find, then every node's neighbours are linked to the least of them (star contraction), until a round changes nothing. A hub, which may have a third of all edges, is contracted within the map tasks first, so no task meets all of it. Every round is cut to the shared folder. Where FEW_EDGES edges or fewer are left, one task finishes them. An empty input gives an empty result.
     """
 
     def state(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
 
-    e = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    e = cut(edges.where("a != b").mapInArrow(_forest, "a long, b long"))
     was = None
     for _ in range(max_rounds):
+        if (e.count() if was is None else was[0]) <= FEW_EDGES:
+            new = cut(e.coalesce(1).mapInArrow(_forest, "a long, b long"))
+            drop_cut(e)
+            e = new
+            break
         near = e.mapInArrow(_neighbours, "key long, node long, to long")
         new = cut(near.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_to_least, "a long, b long").distinct())
         now = state(new)
-        if was is not None:
-            drop_cut(e)
+        drop_cut(e)
         e = new
         if not now[0] or now == was:
             break

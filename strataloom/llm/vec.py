@@ -101,12 +101,32 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salts: t
     return [mix(_tree(mix(x, salt), n) + size.astype(U) * PAIR, salt + 1) for salt in salts]
 
 
+STEPS = 8  # of a span's end, a byte each, before the places of all kept bytes are made
+
+
 def trimmed(starts: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans without the bytes at both ends that `keep` (a mask of the bytes) does not hold; spans with none of them are empty, at their start."""
-    where = np.append(np.flatnonzero(keep), len(keep))
-    first = np.minimum(where[np.searchsorted(where, starts)], ends)
-    last = where[np.maximum(np.searchsorted(where, ends) - 1, 0)] + 1
-    some = first < ends
+    first, last = starts.copy(), ends.copy()
+    todo = np.flatnonzero(first < last)
+    for _ in range(STEPS):
+        todo = todo[~keep[first[todo]]]
+        first[todo] += 1
+        todo = todo[first[todo] < last[todo]]
+        if not len(todo):
+            break
+    where = np.append(np.flatnonzero(keep), len(keep)) if len(todo) else None
+    if len(todo):
+        first[todo] = np.minimum(where[np.searchsorted(where, first[todo])], last[todo])
+    todo = np.flatnonzero(first < last)
+    for _ in range(STEPS):
+        todo = todo[~keep[last[todo] - 1]]
+        if not len(todo):
+            break
+        last[todo] -= 1  # first is kept, so this ends there
+    if len(todo):
+        where = np.flatnonzero(keep) if where is None else where
+        last[todo] = where[np.searchsorted(where, last[todo]) - 1] + 1
+    some = first < last
     return np.where(some, first, starts), np.where(some, last, starts)
 
 

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from strataloom.llm import line_dedup, ngram_join, product, shared, suffix_dedup, vec
+from strataloom.llm import buckets, line_dedup, ngram_join, product, shared, suffix_dedup, vec
 from strataloom.llm.exact_dedup import exact_dedup
 from strataloom.llm.shared import components
 
@@ -43,6 +43,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 40, 1 << 19])
+def test_components_of_few_edges(spark, monkeypatch, few):
+    """By rounds, by rounds that one task ends, and by one task at once."""
+    monkeypatch.setattr(shared, "FEW_EDGES", few)
+    rng = random.Random(5)
+    edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)] + [(1000, 1001 + i) for i in range(60)] + [(3, 3)]
+    u = Union()
+    for a, b in edges:
+        if a != b:
+            u.join(a, b)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert got == {x: u.find(x) for x in u.p}
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("big", [64, 2])
 def test_components_with_hubs(spark, monkeypatch, big):
     """A hub whose edges lie in several tasks, chains between hubs, repeated edges."""
@@ -195,6 +210,58 @@ def test_band_recall():
         assert found >= 0.99 * n, (low, high, found, n)
 
 
+@pytest.mark.parametrize("held", [64, 1 << 20])
+def test_packed_buckets(monkeypatch, held):
+    """Equal keys are connected and others are not, and the shuffle gets a row a bucket of a block, not one a key."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(buckets, "HELD", held)
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    tasks = [[(rng.choice(pool[: 3000 // (1 + t)], 500), rng.integers(0, 1 << 64, 500, dtype=np.uint64)) for _ in range(4)] for t in range(3)]
+    tasks[1].append((np.full(300, pool[7]), np.arange(300, dtype=np.uint64)))  # a hot key
+    sent = [batch for blocks in tasks for batch in buckets.collapsed(iter(blocks), 8)]
+    n = sum(len(key) for blocks in tasks for key, _ in blocks)
+    assert sum(b.num_rows for b in sent) <= 2 * 8 * sum(-(-sum(len(k) for k, _ in blocks) // held) for blocks in tasks)
+    table = pa.Table.from_batches(sent).sort_by([("bucket", "ascending"), ("edge", "ascending")]).combine_chunks()
+    u, want = Union(), Union()
+    for batch in buckets._same_key(table.to_batches(max_chunksize=3)):
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            u.join(a, b)
+    first = {}
+    nodes = [(int(k), int(x)) for blocks in tasks for key, node in blocks for k, x in zip(key, node.view(np.int64), strict=True)]
+    for k, x in nodes:
+        want.join(first.setdefault(k, x), x)
+    assert len(nodes) == n and [u.find(x) for _, x in nodes] == [want.find(x) for _, x in nodes]
+
+
+def test_trimmed():
+    """Against a byte by byte trim, with more white space than is stepped over."""
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        size = int(rng.integers(1, 150))
+        keep = rng.random(size) < rng.choice([0, 0.03, 0.4, 1])
+        starts = np.sort(rng.integers(0, size + 1, 6))
+        ends = np.minimum(starts + rng.integers(0, 60, 6), size)
+        for s, e, i, j in zip(starts.tolist(), ends.tolist(), *(x.tolist() for x in vec.trimmed(starts, ends, keep)), strict=True):
+            at = np.flatnonzero(keep[s:e])
+            assert (i, j) == ((s + at[0], s + at[-1] + 1) if len(at) else (s, s))
+
+
+def test_line_shingles():
+    """The hashes that lines get side by side are those that each gets alone, whatever stands beside it; shingles are the line's 7-byte strings."""
+    rng = np.random.default_rng(8)
+    data = rng.integers(97, 100, 3000).astype(np.uint8)
+    starts = np.unique(rng.integers(0, 2900, 120))
+    ends = np.maximum(np.append(starts[1:], 3000) - rng.integers(0, 4, len(starts)), starts + 1)
+    keys = line_dedup.keys_of(data, starts, ends)
+    for i, (s, e) in enumerate(zip(starts, ends, strict=True)):
+        line = data[s:e].tobytes()
+        assert (line_dedup.keys_of(data[s:e], np.zeros(1, np.int64), np.full(1, e - s))[0] == keys[i]).all()
+        want = {line[k : k + 7] for k in range(max(1, len(line) - 6))}
+        assert {x.to_bytes(8, "little")[: min(7, len(line))] for x in line_dedup.grams_of(line).tolist()} == want
+
+
 def test_hashing_memory():
     """Many short lines and one very long line are hashed a slice at a time."""
     import tracemalloc
