@@ -58,6 +58,19 @@ def test_components_of_few_edges(spark, monkeypatch, few):
     assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
+def test_few_edges_take_few_jobs(spark):
+    """A long path, which takes many rounds, is finished without one: written, counted, and written by one task."""
+    sc = spark.sparkContext
+    edges = spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long").repartition(4).cache()
+    edges.count()
+    sc.setJobGroup("few edges", "")
+    found = components(edges)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("few edges"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 6 and {r.root for r in found.collect()} == {0} and found.count() == 401
+    edges.unpersist()
+
+
 @pytest.mark.parametrize("big", [64, 2])
 def test_components_with_hubs(spark, monkeypatch, big):
     """A hub whose edges lie in several tasks, chains between hubs, repeated edges."""
